@@ -66,3 +66,7 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_mixing, op3_hilbert_shards, op4_packing, op6_simhash, op7_langid, op9_sstable)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
