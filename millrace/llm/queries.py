@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, sharding, simhash, sstable
+from . import katz, langid, linktrust, metricjoin, mixing, packing, sharding, simhash, sstable, topk
 from .common import Scratch, id_crc
 
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url of pages by rules, else by trust and distrust that spread over links."""
+    return linktrust.judge(_table(spark, sf_dir, "pages"))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards along a Hilbert curve over source, language and size; equal row counts."""
     rows = sharding.measured(_table(spark, sf_dir, "documents"))
@@ -39,6 +44,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of all documents; a seventh of the ids is not learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    return katz.katz(docs.select("doc_id", "text", (F.pmod(id_crc("doc_id"), F.lit(7)) == 2).alias("held"))).scores
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of all documents."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -57,6 +68,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.pmod(id_crc("doc_id"), F.lit(3)) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.98 and components of all embeddings within their labels."""
+    return metricjoin.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in sorted-string-table shards, as read back from the files."""
     docs = _table(spark, sf_dir, "documents")
@@ -64,8 +80,18 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(shards)
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every 20th embedding."""
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.pmod("vec_id", F.lit(20)) == 0, 20)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_hilbert_shards, op4_packing, op6_simhash, op7_langid, op9_sstable)}
+    every = (
+        op1_mixing, op2_link_trust, op3_hilbert_shards, op4_packing, op5_katz,
+        op6_simhash, op7_langid, op8_metric_join, op9_sstable, op10_top_k,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
