@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,16 +98,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A text that is null or holds no letter is `und` with score 0; so is every text if nothing could be learned.
     Ties go to the language that comes first by name. Rows are judged each for itself.
     """
+    found = judge_rows(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
+def judge_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (all columns) with the columns _lang_pred and _lang_score, as identify() has them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("lang string, score double")
+    def judge(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for b in batches:
-            pred, score = [], []
-            for text, known in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                lang, p = model.predict(text) if known and model.langs else (UNKNOWN, 0.0)
-                pred.append(lang)
-                score.append(min(1.0, p))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select("doc_id", "text", has_letter(F.col("text")).alias("known")).mapInArrow(judge, "doc_id long, lang_pred string, score double")
+        for text, known in texts:
+            found = [model.predict(t) if k and model.langs else (UNKNOWN, 0.0) for t, k in zip(text, known, strict=True)]
+            yield pd.DataFrame(found, columns=["lang", "score"])
+
+    found = docs.withColumn("_found", judge(docs["text"], has_letter(docs["text"])))
+    return found.withColumn("_lang_pred", F.col("_found.lang")).withColumn("_lang_score", F.col("_found.score")).drop("_found")
