@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,12 +40,19 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value found once a row, however often and wherever body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct word n-grams of a normalised text; a shorter text is one shingle, an empty one none."""
-    words = F.split(text, " ")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    whole = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(whole)
+
+    def grams(words: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, F.array_distinct(each)).otherwise(F.filter(F.array(F.array_join(words, " ")), lambda x: x != ""))
+
+    return let(F.split(text, " "), grams)
 
 
 def byte_signs() -> dict[int, str]:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 
 def doubles(x: Column) -> Column:
     return x.cast("array<double>")
@@ -22,24 +24,15 @@ def dot(x: Column, y: Column) -> Column:
 
 def log_sum_exp(x: Column) -> Column:
     """Shifted by the maximum, so that large values don't overflow."""
-    top = F.array_max(x)
-    return top + F.log(total(F.transform(x, lambda e: F.exp(e - top))))
+    return let(F.array_max(x), lambda top: top + F.log(total(F.transform(x, lambda e: F.exp(e - top)))))
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    powers = F.transform(x, lambda e: F.exp(e - top))
-    return F.transform(powers, lambda e: e / total(powers))
-
-
-def softmax_of(powers: Column) -> Column:
-    """Shares of an array of powers that is a column already (so that its sum is found once)."""
-    return F.transform(powers, lambda e: e / total(powers))
+    return let(log_sum_exp(x), lambda lse: F.transform(x, lambda e: F.exp(e - lse)))
 
 
 def log_softmax(x: Column) -> Column:
-    lse = log_sum_exp(x)
-    return F.transform(x, lambda e: e - lse)
+    return let(log_sum_exp(x), lambda lse: F.transform(x, lambda e: e - lse))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
@@ -58,8 +51,8 @@ def silu(x: Column) -> Column:
 def rms_norm(x: Column, weight: list[float] | None = None, eps: float = 1e-5) -> Column:
     scale = F.sqrt(total(F.transform(x, lambda e: e * e)) / F.size(x) + eps)
     if weight is None:
-        return F.transform(x, lambda e: e / scale)
-    return F.zip_with(x, constants(weight), lambda e, w: e / scale * w)
+        return let(scale, lambda s: F.transform(x, lambda e: e / s))
+    return let(scale, lambda s: F.zip_with(x, constants(weight), lambda e, w: e / s * w))
 
 
 def constants(values: list[float]) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from millrace.functions import text as tx
 from millrace.functions import vectors as v
-from pyspark.sql import functions as F
 
 #: Rows of a window and of a tile.
 WINDOW, TILE = 64, 16
@@ -67,7 +68,11 @@ def self_attention_builtin(rows: DataFrame, causal: bool) -> DataFrame:
     both = rows.join(keys, "seq")
     seen = F.filter("keys", lambda k: k["pos"] <= F.col("pos")) if causal else F.col("keys")
     scores = F.transform("seen", lambda k: v.dot(F.col("x"), k["x"]) / F.sqrt(F.size("x")))
-    scored = both.withColumn("seen", seen).withColumn("scores", scores).withColumn("lse", v.log_sum_exp(F.col("scores")))
+    scored = both.withColumn("seen", seen).withColumn("scores", scores)
     width = F.sequence(F.lit(1), F.size("x"))
-    out = F.transform(width, lambda c: F.aggregate(F.zip_with("seen", "scores", lambda k, s: F.element_at(k["x"], c) * F.exp(s - F.col("lse"))), F.lit(0.0), lambda a, b: a + b))
-    return scored.select("seq", "pos", out.alias("out"), "lse")
+
+    def outputs(shares: Column) -> Column:
+        of = lambda c: F.aggregate(F.zip_with("seen", shares, lambda k, s: F.element_at(k["x"], c) * s), F.lit(0.0), lambda a, b: a + b)
+        return F.transform(width, of)
+
+    return scored.select("seq", "pos", tx.let(v.softmax(F.col("scores")), outputs).alias("out"), v.log_sum_exp(F.col("scores")).alias("lse"))

@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 FEATURES = 1 << 14
 # Words that the lexicon scorer counts
 NSFW_WORDS = ("porn", "xxx", "nude", "naked", "sex", "erotic", "hardcore", "nsfw", "fetish", "orgasm", "cock", "dick", "pussy", "tits", "cum", "fuck", "fucking", "blowjob", "anal", "milf")
@@ -19,9 +21,12 @@ CJK_SHARE = 0.2
 
 def character_grams(text: Column, n: int = 3) -> Column:
     """Character n-grams of the lower-cased text."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    last = F.greatest(F.length(t) - n + 1, F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(t, i, F.lit(n)))
+
+    def grams(signs: Column) -> Column:
+        last = F.greatest(F.size(signs) - n + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(signs, i, n), ""))
+
+    return let(F.split(F.lower(F.coalesce(text, F.lit(""))), ""), grams)
 
 
 def word_grams(text: Column) -> Column:

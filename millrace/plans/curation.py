@@ -263,7 +263,7 @@ SELECT n.doc_id, coalesce(l.cluster, n.doc_id) AS cluster FROM normal n LEFT JOI
     "html_text_regex": f"SELECT page_id, md5(t) AS text_md5, length(t)::BIGINT AS n FROM (SELECT page_id, {_PLAIN_SQL} AS t FROM pages)",
     "warc_wet_join": f"SELECT a.page_id, b.page_id AS other_id, length(a.own)::BIGINT AS own_length, md5(b.preview) AS preview_md5 FROM (SELECT url, page_id, {_PLAIN_SQL} AS own FROM pages) a JOIN (SELECT url, page_id, substr(html, 1, 500) AS preview FROM pages) b ON a.url = b.url",
     "warc_semi_join": """SELECT page_id FROM pages WHERE url IN (SELECT url FROM pages WHERE html LIKE '%lang="de"%')""",
-    "first_characters": "SELECT doc_id, least(length(text), 10485760 - at)::BIGINT AS n FROM (SELECT doc_id, text, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM documents) WHERE at < 10485760",
+    "first_characters": "SELECT doc_id, least(length(text), 10485760 - at_)::BIGINT AS n FROM (SELECT doc_id, text, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM documents) WHERE at_ < 10485760",
     "chunk_boundaries": """WITH g AS (SELECT doc_id, text, length(text) AS n, greatest(length(text) // 4, 1) AS step FROM documents),
 c AS (SELECT doc_id, n, 0 AS p FROM g UNION SELECT doc_id, n, n FROM g UNION
     SELECT doc_id, n, CASE WHEN instr(substr(text, k * step + 1), chr(10)) > 0 THEN k * step + instr(substr(text, k * step + 1), chr(10)) - 1 ELSE n END FROM g, (VALUES (1), (2), (3)) t(k))

@@ -95,9 +95,9 @@ def attention_lse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def causal_frame(spark: SparkSession, d: str) -> DataFrame:
-    """Mean of a user's values up to each event."""
+    """Sum of a user's values up to each event."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(w), 4).alias("mean"), F.count("*").over(w).alias("n"))
+    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 2).alias("total"), F.count("*").over(w).alias("n"))
 
 
 def lr_cosine_schedule(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +230,7 @@ SELECT a.vec_id, a.i::BIGINT AS i, round(a.y * cos(a.t) + CASE WHEN a.i % 2 = 0
     "attention_online": _attention_sql(False) + _OUT_SQL,
     "attention_online_causal": _attention_sql(True) + _OUT_SQL,
     "attention_lse": _attention_sql(True) + " SELECT q AS vec_id, round(lse, 4) AS lse FROM l",
-    "causal_frame": "SELECT event_id, round(avg(value) OVER w, 4) AS mean, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "causal_frame": "SELECT event_id, round(sum(value) OVER w, 2) AS total, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "lr_cosine_schedule": f"SELECT range AS id, round(CASE WHEN range < 7 THEN range / 7.0 WHEN range <= 21 THEN 0.1 + (1 + cos((range - 7) / 14.0 * {math.pi})) * 0.45 ELSE 0.1 END, 6)::DOUBLE AS rate FROM range(25)",
     "adamw_step": _X
     + f""", one AS (SELECT vec_id, i, y, y AS p, 0.1 * (y * 0.5) AS m, 0.001 * (y * 0.5) * (y * 0.5) AS v FROM x), moved AS (SELECT vec_id, i, y, {_ADAM.format(t=1)} AS p, m, v FROM one),
