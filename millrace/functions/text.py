@@ -64,13 +64,14 @@ def byte_signs() -> dict[int, str]:
 
 def to_signs(data: Column) -> Column:
     """Binary to its printable signs."""
-    plain = "".join(map(chr, range(256)))
     signs = byte_signs()
-    return F.translate(F.decode(data, "ISO-8859-1"), plain, "".join(signs[b] for b in range(256)))
+    # translate() takes U+0000 for "delete", so that one goes by replace()
+    text = F.replace(F.decode(data, "ISO-8859-1"), F.lit("\0"), F.lit(signs[0]))
+    return F.translate(text, "".join(map(chr, range(1, 256))), "".join(signs[b] for b in range(1, 256)))
 
 
 def from_signs(text: Column) -> Column:
     """Printable signs to binary."""
-    plain = "".join(map(chr, range(256)))
     signs = byte_signs()
-    return F.encode(F.translate(text, "".join(signs[b] for b in range(256)), plain), "ISO-8859-1")
+    text = F.translate(text, "".join(signs[b] for b in range(1, 256)), "".join(map(chr, range(1, 256))))
+    return F.encode(F.replace(text, F.lit(signs[0]), F.lit("\0")), "ISO-8859-1")
