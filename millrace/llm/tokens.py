@@ -10,14 +10,25 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+import re
+import struct
 
 import numpy as np
+import regex
 
-#: Runs whose ids a worker keeps; it starts afresh beyond that. Longer runs than MAX_RUN bytes aren't kept.
-MAX_RUNS = 400_000
+#: Runs whose ids a worker keeps, twice over: the ones before are dropped as so many new ones have come. Longer runs
+#: than MAX_RUN bytes aren't kept.
+MAX_RUNS = 600_000
 MAX_RUN = 64
 
+#: Signs of the Latin blocks without spaces, controls and combining marks.
+_PLAIN = re.compile("[!-~\u00a1-\u024f]+").fullmatch
+#: The splitter's pattern.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+#: Bytes as the signs that stand for them in byte-level vocabularies: themselves where printable, else from U+0100 on.
+_SHIFTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(_SHIFTED)}
+
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -47,36 +58,66 @@ def _splits_at_spaces(definition: dict) -> bool:
     )
 
 
+class _Runs(dict):
+    """Ids by run, made where they are missing. older: those of the time before."""
+
+    def __init__(self, make, older: dict):
+        self.make, self.older = make, dict(older)
+
+    def __missing__(self, run: bytes) -> bytes:
+        ids = self.older.get(run)
+        if ids is None:
+            ids = self.make(run)
+        if len(run) <= MAX_RUN:
+            self[run] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_run = _splits_at_spaces(json.loads(self.tokenizer.to_str()))
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        definition = json.loads(self.tokenizer.to_str())
+        self.model = self.tokenizer.model
+        self.by_run = _splits_at_spaces(definition)
+        added = [re.escape(t["content"].encode("utf-8")) for t in definition.get("added_tokens", [])]
+        self.added = re.compile(b"|".join(added) if added else b"(?!)").search
+        self.pieces: dict[bytes, bytes] = {}
+        self.known = _Runs(self._run, {})
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _run(self, run: bytes) -> bytes:
+        """Ids of a run between white space. Where no sign is a mark that could combine with another, the normaliser
+        is lower case alone; the pieces then go to the library's model straight away."""
+        text = run.decode("utf-8")
+        if not _PLAIN(text) or self.added(run):
+            return self._whole(text)
+        pieces = _PIECE(text.lower())
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            as_bytes = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_BYTE_SIGNS)
+            tokens = self.model.tokenize(as_bytes)
+            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            if len(piece) <= MAX_RUN:
+                if len(self.pieces) >= MAX_RUNS:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text (none for null) as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if not self.by_run:
-            return self._ids([text])[0]
-        runs = text.encode("utf-8").split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, runs))
-        except KeyError:
-            pass
-        if len(known) > MAX_RUNS:
-            known.clear()
-        new = [r for r in set(runs) if r not in known]
-        ids = dict(zip(new, self._ids([r.decode("utf-8") for r in new]), strict=True))
-        known.update((r, i) for r, i in ids.items() if len(r) <= MAX_RUN)
-        return b"".join([known[r] if r in known else ids[r] for r in runs])
-
-    def encode_all(self, texts: Iterable[str | None]) -> Iterable[bytes]:
-        return map(self.encode, texts)
+            return self._whole(text)
+        ids = b"".join(map(self.known.__getitem__, text.encode("utf-8").split()))
+        if len(self.known) >= MAX_RUNS:
+            self.known = _Runs(self._run, self.known)
+        return ids
