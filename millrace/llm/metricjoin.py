@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.components import components
+
 from .common import Scratch, lookup
-from .graph import components
 
 THRESHOLD = 0.98
 #: Vectors that a cell shall hold; the most pivots over all labels (they are broadcast).
@@ -105,7 +106,7 @@ def _join(threshold: float):
     def of_label(f: pd.DataFrame) -> pd.DataFrame:
         left, right = f[f["side"] == 0], f[f["side"] == 1]
         if not len(left) or not len(right):
-            return pd.DataFrame({"node": [], "links": [], "root": []})
+            return pd.DataFrame({k: pd.Series(dtype="int64") for k in ("node", "links", "root")})  # 64-bit names bear no other type
         raw_a, raw_b = np.array(list(left["embedding"]), np.float64), np.array(list(right["embedding"]), np.float64)
         norm_a, norm_b = np.linalg.norm(raw_a, axis=1), np.linalg.norm(raw_b, axis=1)
         a, b, times = left["node"].to_numpy(), right["node"].to_numpy(), right["times"].to_numpy()
