@@ -139,7 +139,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     ranked = global_rank(scratch, rows, [F.col("norm").desc(), F.col("vec_id").asc(), F.col("x").asc()], "ranked", into="row")
     size = max(RUN, -(-rows.count() // MAX_RUNS))
     ranked = scratch.table(ranked.withColumn("run", F.floor(F.col("row") / size)), "runs")
-    runs = ranked.groupBy("run").agg(F.max("norm").alias("longest"))
     asked = ranked.where("asks").count()
     groups = max(1, -(-asked // QUERIES))
     queries = ranked.where("asks").select("row", F.col("vec_id").alias("query_id"), "x", "norm", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("grp"))
@@ -162,10 +161,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     first = meet(queries.withColumn("least", F.lit(None).cast("long")), every.withColumn("run", F.lit(0).cast("long")), "first")
     known = first.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
     told = scratch.table(queries.join(known, "row", "left"), "told")
-    # a group skips a run if none of its queries can reach its k-th score there
+    # a group skips a run if none of its queries can reach its k-th score there; runs come in order of falling length
     bar = F.when(F.col("least").isNull() | (F.col("least") <= 0) | (F.col("norm") == 0), 0.0).otherwise(F.col("least") / F.col("norm"))
-    groups_need = told.groupBy("grp").agg(F.min(bar).alias("bar"))
-    rest = groups_need.join(F.broadcast(runs.where("run > 0")), F.col("longest") >= F.col("bar") * (1 - SLACK)).select("grp", "run")
+    lengths = ranked.where("run > 0").groupBy("run").agg(F.max("norm").alias("longest")).orderBy("run").toPandas()["longest"].to_numpy()
+    shared = scratch.spark.sparkContext.broadcast(lengths)  # below MAX_RUNS numbers
+
+    @F.pandas_udf("long")
+    def runs_needed(bars: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(-shared.value, -bars.to_numpy() * (1 - SLACK), side="right"))
+
+    groups_need = told.groupBy("grp").agg(F.min(bar).alias("bar")).select("grp", runs_needed("bar").alias("n"))
+    rest = groups_need.where("n > 0").select("grp", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("run"))
     second = meet(told, rest, "second")
     best = W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     ranks = first.unionByName(second).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
