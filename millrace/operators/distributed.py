@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.vectors import adamw
+
 
 def mean_gradients(grads: DataFrame) -> DataFrame:
     """param, idx, grad: mean over workers (rank, param, idx, grad); a worker without a value counts as 0."""
@@ -35,3 +38,23 @@ def parameter_count(shapes: DataFrame) -> DataFrame:
 def close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     """Whether two values are equal up to tolerances."""
     return F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b)
+
+
+def with_gradient(params: DataFrame, grads: DataFrame) -> DataFrame:
+    """params (param, idx, ..) that have a gradient, with it."""
+    return params.join(grads.select("param", "idx", "grad"), ["param", "idx"])
+
+
+def sharded_step(state: DataFrame, grads: DataFrame, owners: int, lr: float, **how: float) -> DataFrame:
+    """state (param, idx, p, m, v, t) after one AdamW step, with the owner of each parameter.
+
+    Parameters in order of name are dealt to owners in turn, and each owner keeps the state of its own: rows are laid
+    out by owner before the step. A parameter without a gradient stays as it is.
+    """
+    names = state.select("param").distinct()
+    order = W.orderBy("param")  # one row for each parameter
+    owned = names.select("param", F.pmod(F.row_number().over(order) - 1, F.lit(owners)).alias("owner"))
+    rows = state.join(owned, "param").join(grads.select("param", "idx", "grad"), ["param", "idx"], "left").repartition("owner")
+    step = adamw(F.col("p"), F.col("grad"), F.col("m"), F.col("v"), F.col("t") + 1, lr, **how)
+    kept = F.struct(F.col("p").alias("p"), F.col("m").alias("m"), F.col("v").alias("v"), F.col("t").alias("t"))
+    return rows.select("param", "idx", "owner", F.when(F.col("grad").isNull(), kept).otherwise(step).alias("s")).select("param", "idx", "owner", "s.*")
