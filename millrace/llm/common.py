@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,11 @@ HOT_ROWS = 200
 MAX_HOT_KEYS = 4096
 
 
+def values(column: pa.Array | pa.ChunkedArray) -> Iterator:
+    """A column's values one by one, so that a batch of long texts isn't held twice."""
+    return (x.as_py() for x in column)
+
+
 def id_crc(column: str | Column) -> Column:
     """CRC-32 of an id written as decimal text, unsigned; an id that is null counts as empty text."""
     c = F.col(column) if isinstance(column, str) else column

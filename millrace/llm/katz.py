@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, global_rank
+from .common import Scratch, global_rank, values
 
 #: Counts above K aren't discounted.
 K = 5
@@ -55,7 +55,7 @@ class _Numbers(dict):
         return n
 
 
-CHUNKS = "chunk long, doc_ids array<long>, held binary, lengths binary, tokens binary, words binary, counts binary"
+CHUNKS = "chunk long, doc_ids array<long>, held binary, lengths binary, tokens binary, n_words long, words binary, counts binary"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +68,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained = np.concatenate([t for t, h in zip(parts, held, strict=True) if not h] or [np.zeros(0, np.uint32)])
         counts = np.bincount(trained, minlength=len(numbers)).astype("<u4")
         words = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-        row = [made, doc_ids, np.array(held, bool).tobytes(), _pack(lengths), _pack(np.concatenate(parts)), words.tobytes(), counts.tobytes()]
+        row = [made, doc_ids, np.array(held, bool).tobytes(), _pack(lengths), _pack(np.concatenate(parts)), len(words), words.tobytes(), counts.tobytes()]
         made += 1
-        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 2]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [c.split()[0] for c in CHUNKS.split(", ")])
 
     def fresh() -> tuple:
@@ -79,7 +79,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     numbers, end, doc_ids, held, sizes, parts, total = fresh()
     for b in batches:
-        for doc_id, h, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for doc_id, h, text in zip(*(values(b.column(i)) for i in range(3)), strict=True):
             words = (text or "").encode("utf-8", "surrogatepass").lower().split()
             words.append(b"")
             parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
@@ -182,7 +182,7 @@ def _ask(unknown: int, hot: int, buckets: int):
     def go(chunks: pa.Table, numbers: pa.Table) -> pa.Table:
         rows = []
         for c in chunks.to_pylist():
-            ids = np.full(len(c["words"]) // 8, unknown, np.uint32)
+            ids = np.full(c["n_words"], unknown, np.uint32)
             ids[numbers["pos"].to_numpy()] = numbers["id"].to_numpy()
             tokens = ids[_unpack(c["tokens"], "<u4")]
             train = np.repeat(~np.frombuffer(c["held"], bool), _unpack(c["lengths"], "<u4"))
@@ -382,11 +382,13 @@ def katz(docs: DataFrame) -> Katz:
 
     # a word is asked for once by each chunk, so no word has more rows than there are chunks
     ids = words.join(numbered.select("word", "id"), "word").select("chunk", "pos", "id")
-    asked = chunks.select("chunk", "held", "lengths", "tokens", "words").groupBy("chunk").cogroup(ids.groupBy("chunk"))
+    asked = chunks.select("chunk", "held", "lengths", "tokens", "n_words").groupBy("chunk").cogroup(ids.groupBy("chunk"))
     asks = scratch.table(asked.applyInArrow(_ask(unigrams.known, hot, buckets), PARTS), "asks", ("kind",))
     known = spark.sparkContext.broadcast(unigrams)
     answered = asks.where("kind = 'ask'").select("bucket", "chunk", "data").groupBy("bucket").applyInArrow(_answer(known, hot), PARTS)
+    scratch.drop()  # what the shuffles of the questions left
     model = scratch.table(answered, "model", ("kind",))
+    scratch.drop("asks/kind=ask")
 
     seen = np.zeros(K + 2, np.int64)
     for r in model.where("kind = 'counts'").select("data").toLocalIterator():  # seven numbers for each bucket
@@ -400,6 +402,7 @@ def katz(docs: DataFrame) -> Katz:
     hot_alpha = alphas(stats, unigrams.count(hot_ids).astype(np.float64), d, unigrams.p[-1])
     known = spark.sparkContext.broadcast((unigrams, d, hot_ids, hot_alpha, stats[:K].sum(axis=0) == 0))
 
+    asks = spark.read.schema(asks.schema).parquet(scratch.path("asks"))
     told = asks.where("kind = 'ids'").unionByName(model.where("kind = 'answer'")).select("kind", "bucket", "chunk", "data")
     scored = chunks.select("chunk", "doc_ids", "held", "lengths", "tokens").groupBy("chunk").cogroup(told.groupBy("chunk"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
