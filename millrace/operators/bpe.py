@@ -16,7 +16,7 @@ from millrace.scratch import Scratch
 #: Distinct words that the driver trains on; with more of them every merge is a job of its own.
 MAX_DRIVER_WORDS = 5_000_000
 #: Words whose ids a worker keeps.
-CACHE = 200_000
+CACHE = 1_000_000
 
 
 def word_counts(docs: DataFrame, specials: list[str] | None = None) -> DataFrame:
@@ -112,7 +112,8 @@ def train(docs: DataFrame, vocab_size: int, specials: list[str] | None = None, m
     scratch = Scratch(docs.sparkSession, "bpe")
     words = scratch.table(words, "words")
     if words.count() <= max_driver_words:
-        learned = learn({r["word"]: r["n"] for r in words.toLocalIterator()}, merges)
+        local = words.toArrow()
+        learned = learn(dict(zip(local["word"].to_pylist(), local["n"].to_pylist(), strict=True)), merges)
     else:
         learned = _learn_spread(words, merges, scratch)
     tokens = [bytes([b]) for b in range(256)] + [a + b for a, b in learned] + [s.encode("utf-8") for s in specials]

@@ -6,18 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 
 def next_tokens(tokens: Column) -> Column:
     """Structs (x, y) of each token and the one after it."""
-    n = F.size(tokens) - 1
-    return F.when(n > 0, F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).otherwise(F.array().cast("array<struct<x:string,y:string>>"))
+
+    def pairs(t: Column) -> Column:
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    return let(tokens, pairs)
 
 
 def context_windows(tokens: Column, length: int, stride: int) -> Column:
     """Structs (start, x, y): windows of `length` tokens at every stride, y being x moved by one. None if too short."""
-    last = F.size(tokens) - length - 1
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(tokens, s + 1, length).alias("x"), F.slice(tokens, s + 2, length).alias("y")))
+
+    def cut(t: Column) -> Column:
+        last = F.size(t) - length - 1
+        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(t, s + 1, length).alias("x"), F.slice(t, s + 2, length).alias("y")))
+
+    return let(tokens, cut)
 
 
 def last_tokens(tokens: Column, n: int) -> Column:
