@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors as v
-from millrace.operators import attention, distributed, windows
+from millrace.operators import attention, distributed, transformer, windows
 from millrace.session import table
 
 OUT = 4
@@ -167,6 +167,52 @@ def parameter_count(spark: SparkSession, d: str) -> DataFrame:
     return distributed.parameter_count(rows)
 
 
+def embedding_gather(spark: SparkSession, d: str) -> DataFrame:
+    """The vector of each document, by number, and its squared length."""
+    rows = _vectors(spark, d).select("vec_id", "x")
+    n = rows.count()
+    docs = table(spark, d, "documents").select("doc_id", F.pmod("doc_id", F.lit(n)).alias("vec_id"))
+    return docs.join(rows, "vec_id").select("doc_id", F.round(v.dot(F.col("x"), F.col("x")), 4).alias("y"))
+
+
+def row_dot_sum(spark: SparkSession, d: str) -> DataFrame:
+    """Sum of each vector's components times those of its softmax."""
+    return _vectors(spark, d).select("vec_id", F.round(v.dot(F.col("x"), v.softmax(F.col("x"))), 4).alias("y"))
+
+
+def sharded_adamw(spark: SparkSession, d: str) -> DataFrame:
+    """One step of parameters by label, whose vectors of even number have a gradient, dealt to 4 owners."""
+    rows = _vectors(spark, d).select("vec_id", F.col("label").cast("string").alias("param"), F.posexplode("x").alias("i", "p"))
+    rows = rows.withColumn("idx", F.col("vec_id") * 1_000 + F.col("i"))
+    state = rows.select("param", "idx", "p", F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.lit(0).alias("t"))
+    grads = rows.where("vec_id % 2 = 0").select("param", "idx", (F.col("p") * 0.5).alias("grad"))
+    found = distributed.sharded_step(state, grads, 4, 0.1)
+    return found.select("param", "idx", F.col("owner").cast("long").alias("owner"), (F.round("p", 5) + 0.0).alias("p"), F.col("t").cast("long").alias("t"))
+
+
+LM = transformer.Shape(vocab=50, context=64, width=16, layers=2, heads=4, hidden=32)
+
+
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as rows of ids below the vocabulary's size, no longer than the context."""
+    ids = F.transform(F.slice("x", 1, LM.context), lambda e: F.pmod(F.floor(e * 64), F.lit(LM.vocab)).cast("int"))
+    return _vectors(spark, d).select("vec_id", ids.alias("ids"))
+
+
+def lm_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-entropy of each row under a transformer with random weights."""
+    n = F.size("ids") - 1
+    rows = _ids(spark, d).select("vec_id", F.slice("ids", 1, n).alias("x"), F.slice("ids", 2, n).alias("y"))
+    return transformer.losses(rows, transformer.initial(LM), LM).select("vec_id", F.round("loss", 6).alias("loss"))
+
+
+def lm_generate(spark: SparkSession, d: str) -> DataFrame:
+    """Five ids after each row."""
+    rows = _ids(spark, d).select(F.col("vec_id").alias("prompt_id"), "ids")
+    found = transformer.completions(rows, transformer.initial(LM), LM, 5, temperature=0.8, top_k=20, top_p=0.95)
+    return found.select("prompt_id", F.array_join(F.col("new_ids").cast("array<string>"), " ").alias("new_ids"))
+
+
 def parameters_close(spark: SparkSession, d: str) -> DataFrame:
     """Whether vectors are within tolerances of the mean vector of their label."""
     rows = _vectors(spark, d).select("vec_id", "label", F.posexplode("x").alias("i", "y"))
@@ -180,7 +226,8 @@ QUERIES = {
     for f in (
         vec_softmax, vec_log_softmax, vec_cross_entropy, vec_silu, vec_rmsnorm, vec_rope, vec_linear, vec_swiglu, attention_lse,
         causal_frame, lr_cosine_schedule, adamw_step, grad_allreduce_mean, grad_accumulate, grad_clip, bucket_assignment,
-        round_robin_shard, contiguous_shard, timing_mean_std, parameter_count, parameters_close,
+        round_robin_shard, contiguous_shard, timing_mean_std, parameter_count, parameters_close, embedding_gather, row_dot_sum,
+        sharded_adamw, lm_losses, lm_generate,
     )
 } | {
     "attention": _attention(False, True),
@@ -248,5 +295,11 @@ SELECT l_orderkey, l_linenumber::BIGINT AS line, bucket FROM b""",
     "contiguous_shard": "SELECT p_partkey, least((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // greatest(count(*) OVER (PARTITION BY p_brand) // 4, 1), 3)::BIGINT AS shard FROM part",
     "timing_mean_std": "SELECT event_type, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM events GROUP BY event_type",
     "parameter_count": "SELECT sum(len(embedding) * (label + 1))::BIGINT AS n, sum(CASE WHEN label = 0 THEN 0 ELSE len(embedding) * (label + 1) END)::BIGINT AS n_without_embeddings FROM embeddings",
+    "embedding_gather": "SELECT doc_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS y FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)",
+    "row_dot_sum": _EXP + " SELECT vec_id, round(sum(y * exp(y - lse)), 4) AS y FROM x JOIN l USING (vec_id) GROUP BY vec_id",
+    "sharded_adamw": _X
+    + f""", s AS (SELECT vec_id, label::VARCHAR AS param, vec_id * 1000 + i AS idx, y AS p, 0.1 * (y * 0.5) AS m, 0.001 * (y * 0.5) * (y * 0.5) AS v FROM x),
+o AS (SELECT param, (row_number() OVER (ORDER BY param) - 1) % 4 AS owner FROM (SELECT DISTINCT param FROM s))
+SELECT param, idx::BIGINT AS idx, owner::BIGINT AS owner, round(CASE WHEN vec_id % 2 = 0 THEN {_ADAM.format(t=1)} ELSE p END, 5) + 0.0 AS p, (CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS t FROM s JOIN o USING (param)""",
     "parameters_close": _X + ", m AS (SELECT label, i, avg(y) AS m FROM x GROUP BY label, i) SELECT vec_id, bool_and(abs(y - m) <= 0.3 + 0.05 * abs(m)) AS close FROM x JOIN m USING (label, i) GROUP BY vec_id",
 }
