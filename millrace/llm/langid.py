@@ -11,12 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import uniform
+from .common import uniform, values
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -74,7 +73,7 @@ def fit(labelled: DataFrame, texts: int = FIT_TEXTS, alpha: float = 0.1) -> Mode
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((len(langs), BUCKETS), np.int64)
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for lang, text in zip(values(b.column(0)), values(b.column(1)), strict=True):
                 for g in grams(text):
                     seen[place[lang]] += np.bincount(g, minlength=BUCKETS)
         lang, bucket = np.nonzero(seen)
@@ -106,12 +105,13 @@ def judge_rows(docs: DataFrame, model: Model) -> DataFrame:
     """docs (all columns) with the columns _lang_pred and _lang_score, as identify() has them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def judge(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def judge(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = shared.value
         for text, known in texts:
-            found = [model.predict(t) if k and model.langs else (UNKNOWN, 0.0) for t, k in zip(text, known, strict=True)]
-            yield pd.DataFrame(found, columns=["lang", "score"])
+            found = [model.predict(t) if k and model.langs else (UNKNOWN, 0.0) for t, k in zip(values(text), values(known), strict=True)]
+            lang, score = zip(*found, strict=True) if found else ((), ())
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
     found = docs.withColumn("_found", judge(docs["text"], has_letter(docs["text"])))
     return found.withColumn("_lang_pred", F.col("_found.lang")).withColumn("_lang_score", F.col("_found.score")).drop("_found")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, values
 from .tokens import encoder
 
 LENGTH = 2048
@@ -168,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, win
         rows = Rows(TaskContext.get().partitionId() << 33, with_ids)
         packer = Packer(rows.full, length, windows)
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(values(b.column(0)), values(b.column(1)), strict=True):
                 ids = enc.encode(text) + end
                 packer.add((doc_id, 0, ids, len(ids) // 4))
                 if len(rows.rows) >= 5_000:
