@@ -17,6 +17,7 @@ Files are written under a temporary name and then moved, so that a task that run
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, values
 from .tokens import encoder
 
 BLOCK_BYTES = 64 * 1024
@@ -187,12 +188,16 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch,
         steps = [i / n for i in range(1, n)]
         cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", steps, max(10_000, 10 * n))).first()[0] or []))
     folder = _uri(scratch.path("shards"))
-    # the cut after which a document comes is its shard; one binary search a row, over a number for each shard
-    bounds = docs.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
+    # a number for each shard whose hash sends it to a partition of its own
+    shuffled = docs.sparkSession.range(int(n * (math.log(n) + 12))).select(F.col("id").cast("int").alias("key"))
+    keys = shuffled.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("to")).agg(F.min("key").alias("key")).orderBy("to").toPandas()["key"]
+    shared = docs.sparkSession.sparkContext.broadcast((np.array(cuts, np.int64), np.resize(keys.to_numpy(), n)))
 
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds.value, ids.fillna(-(1 << 63)).astype("int64").to_numpy(), side="right"))
+    @F.pandas_udf("shard int, key int")
+    def place(ids: pd.Series) -> pd.DataFrame:
+        bounds, keys = shared.value
+        shard = np.searchsorted(bounds, ids.fillna(-(1 << 63)).astype("int64").to_numpy(), side="right")
+        return pd.DataFrame({"shard": shard, "key": keys[shard]})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), struct.pack("<I", end_id)
@@ -208,7 +213,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch,
             done.append((now, f"{folder}/{now:08d}.sst", writer.entries, writer.ids))
 
         for b in batches:
-            for shard, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for shard, doc_id, text in zip(*(values(b.column(i)) for i in range(3)), strict=True):
                 if shard != now:
                     if writer:
                         finish()
@@ -221,8 +226,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch,
         names = ["shard", "path", "entries", "ids"]
         yield pa.RecordBatch.from_pydict({k: [d[i] for d in done] for i, k in enumerate(names)}, pa.schema(list(zip(names, [pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True))))
 
-    placed = docs.select((place("doc_id") if cuts else F.lit(0)).alias("shard"), "doc_id", "text")
-    ordered = placed.repartition(n, "shard").sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    placed = docs.select(place("doc_id").alias("at"), "doc_id", "text").select("at.shard", "at.key", "doc_id", "text")
+    ordered = placed.repartition(n, "key").select("shard", "doc_id", "text").sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return scratch.table(ordered.mapInArrow(write, "shard int, path string, entries long, ids long"), "list")
 
 
