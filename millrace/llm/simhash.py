@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.components import components
 
-from .common import Scratch, lookup
+from .common import Scratch, lookup, values
 
 SHINGLE = 3
 SEED = 42
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())
+            prints = pa.array([fingerprint(t) for t in values(b.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), prints], ["doc_id", "content", "print"])
 
     content = F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("content")
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all distinct prints at up to 2 * HALF differing bits, each a pair of those."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print")
     variants = prints.select("print", F.explode(flips).alias("flip")).select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("variant"))
     met = variants.groupBy("variant").agg(F.collect_list("print").alias("met")).where(F.size("met") > 1)
     pairs = met.select(F.array_min("met").alias("a"), F.explode("met").alias("b")).where("a <> b").distinct()
