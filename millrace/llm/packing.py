@@ -174,6 +174,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, win
                 if len(rows.rows) >= 5_000:
                     yield rows.batch()
         rows.left(packer.leftover())
+        enc.rest()
         yield rows.batch()
 
     packed = docs.select("doc_id", "text").mapInArrow(fill, SCHEMA).withColumn("part", F.spark_partition_id().cast("long"))

@@ -223,6 +223,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch,
                 writer.add(key_of(doc_id), enc.encode(text) + end)
         if writer:
             finish()
+        enc.rest()
         names = ["shard", "path", "entries", "ids"]
         yield pa.RecordBatch.from_pydict({k: [d[i] for d in done] for i, k in enumerate(names)}, pa.schema(list(zip(names, [pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True))))
 

@@ -18,7 +18,7 @@ import regex
 
 #: Runs whose ids a worker keeps, twice over: the ones before are dropped as so many new ones have come. Longer runs
 #: than MAX_RUN bytes aren't kept.
-MAX_RUNS = 600_000
+MAX_RUNS = 500_000
 MAX_RUN = 64
 
 #: Signs of the Latin blocks without spaces, controls and combining marks.
@@ -87,6 +87,10 @@ class Encoder:
         self.pieces: dict[bytes, bytes] = {}
         self.known = _Runs(self._run, {})
 
+    def rest(self) -> None:
+        """Called where a task ends: the worker waits for the next one, so let go of what was met longer ago."""
+        self.known.older = {}
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
