@@ -16,7 +16,8 @@ from .common import Scratch, lookup
 #: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-4
-#: A host is blocked if its distrust is above this multiple of a host's mean share and above its trust.
+#: A host is blocked if the distrust that reaches it is above this multiple of what each host had if one seed's were
+#: dealt evenly, and above the trust that reaches it.
 THRESHOLD = 0.5
 
 _AFTER = r"^.*?://"
@@ -54,7 +55,10 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def spread(hosts: DataFrame, links: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """host, trust, distrust: personalised PageRank along and against links, in shares of a host (mean 1).
+    """host, trust, distrust, trust_sum, distrust_sum, blocked: personalised PageRank along and against links.
+
+    trust and distrust are shares of a host (mean 1). The sums are what reaches a host if each seed gives its own
+    weight, so they don't depend on how many other seeds there are or how much those weigh. blocked is the host's own.
 
     hosts: host, trusted, blocked (weights of the seeds). Both go in one iteration, over edges that carry which of
     the two they serve. What reaches a host without edges goes back to the seeds. Rounds end when the ranks move by
@@ -72,13 +76,15 @@ def spread(hosts: DataFrame, links: DataFrame, scratch: Scratch, damping: float
     seed = lambda kind, column: hosts.select(F.lit(kind).alias("kind"), "host", (F.col(column) / (total[kind] or 1.0)).alias("seed"))
     seeds = scratch.table(seed("trust", "trusted").unionByName(seed("distrust", "blocked")).where("seed > 0"), "seeds")
     ranks = seeds.withColumnRenamed("seed", "rank")
+    kept = {}
     if not edges.limit(1).count():
         rounds = 0  # without links the seeds keep all
     for k in range(rounds):
         sent = edges.join(ranks.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg((F.sum(F.col("rank") * F.col("w")) * damping).alias("sent"))
         sent = scratch.table(sent, f"sent{k}")
         got = {r["kind"]: r["s"] for r in sent.groupBy("kind").agg(F.sum("sent").alias("s")).collect()}  # two numbers
-        back = F.when(F.col("kind") == "trust", 1 - got.get("trust", 0.0)).otherwise(1 - got.get("distrust", 0.0))
+        kept = {kind: 1 - got.get(kind, 0.0) for kind in ("trust", "distrust")}
+        back = F.when(F.col("kind") == "trust", kept["trust"]).otherwise(kept["distrust"])
         new = sent.join(seeds, ["kind", "host"], "full").select("kind", "host", (F.coalesce("sent", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0)) * back).alias("rank"))
         new = scratch.table(new, f"ranks{k}")
         moved = new.join(ranks.withColumnRenamed("rank", "old"), ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
@@ -89,14 +95,17 @@ def spread(hosts: DataFrame, links: DataFrame, scratch: Scratch, damping: float
     n = float(total["n"] or 1)
     score = lambda kind: (F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)) * n).alias(kind)
     found = ranks.groupBy("host").agg(score("trust"), score("distrust"))
-    return hosts.select("host").join(found, "host", "left").na.fill(0.0)
+    # ranks hold what went back to the seeds too; a seed's share without it is its weight in the total
+    whole = {f"{kind}_sum": F.col(kind) * ((total[kind] or 0.0) / (n * kept.get(kind, 1.0))) for kind in ("trust", "distrust")}
+    return hosts.select("host", "blocked").join(found.withColumns(whole), "host", "left").na.fill(0.0)
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every row of pages (page_id, url, html).
 
-    The verdict is the rule's where one fits; else block if the host's distrust is above the threshold and above
-    its trust, else allow. A url that is null or has no :// has an empty host and path, no rule and no links, and is
+    The verdict is the rule's where one fits; else block if the host is a blocked seed, or if its distrust is above the
+    threshold and above its trust, else allow. Every seed weighs the same, so a host with very many pages changes
+    nothing for what other seeds reach. A url that is null or has no :// has an empty host and path, no rule and no links, and is
     allowed. Pages without html give no links. Rows that repeat are judged alike.
     """
     scratch = Scratch(pages.sparkSession, "trust")
@@ -108,11 +117,13 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     hosts = rows.groupBy("host").agg(F.count("*").alias("rows"), allowed.alias("allowed"), blocked.alias("blocked"))
     hosts = scratch.table(hosts, "by_host")
     named = hosts.where("host <> ''")
-    weight = lambda mine, other: F.when((F.col(mine) > F.col(other)) & (2 * F.col(mine) > F.col("rows")), F.col(mine).cast("double")).otherwise(0.0)
+    weight = lambda mine, other: F.when((F.col(mine) > F.col(other)) & (2 * F.col(mine) > F.col("rows")), 1.0).otherwise(0.0)
     seeds = named.select("host", weight("allowed", "blocked").alias("trusted"), weight("blocked", "allowed").alias("blocked"))
     links = scratch.table(host_links(pages.select(host.alias("host"), "html")), "links")
-    ranks = spread(seeds, links, scratch)
+    ranks = scratch.table(spread(seeds, links, scratch), "ranks")
+    reached = (F.col("distrust_sum") * F.lit(float(ranks.count())) > threshold) & (F.col("distrust_sum") > F.col("trust_sum"))
+    ranks = ranks.select("host", "trust", "distrust", ((F.col("blocked") > 0) | reached).alias("bad"))
     judged = scratch.table(hosts.select("host", "rows").join(ranks, "host", "left").na.fill(0.0), "judged")
     found = lookup(rows, judged, ["host"], "rows")
-    own = F.when((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    own = F.when(F.col("bad"), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "trust", "distrust")

@@ -55,3 +55,18 @@ def test_distrust_reaches_who_links_to_blocked_hosts(spark):
     assert found[12]["verdict"] == "allow" and found[12]["trust"] > 0
     links = linktrust.host_links(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", linktrust.host_of(F.col("url"))))
     assert {tuple(r) for r in links.collect()} == {("friend.info", "bad.org", 1), ("good.net", "other.info", 1)}
+
+
+def test_a_hot_blocked_host_changes_no_other_verdict(spark):
+    # 60 hosts; the small seeds have 3 blocked pages each and one without a rule, the hot one has 3000
+    pages = [(i, f"http://hot.org/es/{i}", "") for i in range(3000)]
+    for k in range(20):
+        pages += [(4000 + 10 * k + i, f"http://bad{k}.org/es/{i}", "") for i in range(3)] + [(4003 + 10 * k, f"http://bad{k}.org/other", "")]
+    for k in range(10):
+        pages += [(5000 + 2 * k + i, f"http://friend{k}-{i}.info/", f'<a href="http://bad{k}.org/">') for i in range(2)]
+    pages += [(6000 + i, f"http://clean{i}.info/", "") for i in range(18)] + [(7000, "http://good.net/de/1", "<a href=//clean0.info/>")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r["page_id"]: r["verdict"] for r in linktrust.judge(frame).where("rule is null").collect()}
+    assert all(found[4003 + 10 * k] == "block" for k in range(20))
+    assert all(found[5000 + i] == "block" for i in range(20))
+    assert all(found[6000 + i] == "allow" for i in range(18))
