@@ -71,11 +71,12 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, content, print, component_id of every row of docs (doc_id, text).
+    """doc_id, content, print, component_id, component of every row of docs (doc_id, text).
 
     component_id is the least id that links reach; documents without words share print 0 and link like others.
     Rows that repeat are rows of their own in the same component. Null ids are never a component's id, unless no
-    other id is in it (then it is null). An empty table gives an empty result.
+    other id is in it (then it is null). component is a fingerprint of the component: unlike component_id it is never
+    null and tells components apart whose ids are null or the same. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprints(docs), "prints")
@@ -84,14 +85,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = scratch.table(links(distinct.select("print")), "links")
     of = components(distinct.select(F.col("print").alias("node"), "rank"), edges, scratch)
     of = scratch.table(of.withColumnRenamed("node", "print").join(distinct.select("print", "rows"), "print"), "components")
-    return lookup(rows, of.withColumnRenamed("least", "component_id"), ["print"], "rows")
+    return lookup(rows, of.withColumnsRenamed({"least": "component_id", "top": "component"}), ["print"], "rows")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs (all columns) without near-duplicates: of each component the row with the least id, ties by content."""
     scratch = Scratch(docs.sparkSession, "keep")
     found = near_duplicates(docs)
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "doc_id", "content")).alias("k"))
+    kept = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "doc_id", "content")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.content").alias("_kept_content"))
     kept = scratch.table(kept, "kept")
     content = F.when(docs["text"].isNotNull(), F.xxhash64(docs["text"]))

@@ -12,7 +12,8 @@ MAX_BROADCAST_ROWS = 100_000
 
 
 def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """nodes (node, rank), edges (a, b) in either direction; returns node, least: the least rank that a node reaches.
+    """nodes (node, rank), edges (a, b) in either direction; returns node, least, top: the least rank that a node reaches,
+    and the node that has it. All nodes of a component have one top, and no other component has it, whatever the ranks.
 
     Every node starts with the label (own rank, own name) and takes the least label among its neighbours'; then it
     takes the label of the node that its label names, which doubles the reach of each round. Each round is written
@@ -21,7 +22,7 @@ def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFram
     scratch.table(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     edges = scratch.spark.read.parquet(scratch.path("edges"))
     rank = F.coalesce(F.col("rank"), F.lit((1 << 63) - 1))
-    alone = nodes.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select("node", F.col("rank").alias("least"))
+    alone = nodes.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select("node", F.col("rank").alias("least"), F.col("node").alias("top"))
     linked = nodes.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
     labels = scratch.table(linked.select("node", F.struct(rank.alias("rank"), F.col("node").alias("at")).alias("label")), "labels0")
     for turn in range(1, 1000):
@@ -42,4 +43,4 @@ def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFram
         if not changed:
             break
     least = F.nullif(F.col("label.rank"), F.lit((1 << 63) - 1))
-    return alone.unionByName(labels.select("node", least.alias("least")))
+    return alone.unionByName(labels.select("node", least.alias("least"), F.col("label.at").alias("top")))

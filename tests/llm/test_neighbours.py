@@ -51,6 +51,12 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.one_of_each(empty(spark)).count() == 0
 
 
+def test_unrelated_texts_with_null_or_equal_ids_stay(spark):
+    texts = [(None, "the first of two texts without an id"), (None, "quite another story about boats and harbours"), (None, "quite another story about boats and harbours"), (7, "seven apples lie in a green basket"), (7, "nobody knows when the last train leaves"), (8, "seven apples lie in a green basket")]
+    kept = simhash.one_of_each(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([texts[0], texts[1], texts[3], texts[4]])
+
+
 def test_all_links_at_two_bits(spark):
     rng = np.random.default_rng(2)
     prints = set(int(x) for x in rng.integers(0, 1 << 63, 30))
