@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,12 @@ def id_crc(column: str | Column) -> Column:
     return F.crc32(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8"))
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n column names that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((name for name in (f"_m{k}" for k in count()) if name not in taken), n))
+
+
 def uniform(*columns: Column) -> Column:
     """A number in [0, 1) that depends on the columns' values alone."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
