@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +19,15 @@ def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFram
 
     Every node starts with the label (own rank, own name) and takes the least label among its neighbours'; then it
     takes the label of the node that its label names, which doubles the reach of each round. Each round is written
-    out. A null rank counts as greatest. Nodes without edges keep their own rank.
+    out, and rounds go on until no label changes: labels only fall, so that comes. A null rank counts as greater than
+    any number. Nodes without edges keep their own rank.
     """
     scratch.table(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     edges = scratch.spark.read.parquet(scratch.path("edges"))
-    rank = F.coalesce(F.col("rank"), F.lit((1 << 63) - 1))
     alone = nodes.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select("node", F.col("rank").alias("least"), F.col("node").alias("top"))
     linked = nodes.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    labels = scratch.table(linked.select("node", F.struct(rank.alias("rank"), F.col("node").alias("at")).alias("label")), "labels0")
-    for turn in range(1, 1000):
+    labels = scratch.table(linked.select("node", F.struct(F.col("rank").isNull().alias("unranked"), "rank", F.col("node").alias("at")).alias("label")), "labels0")
+    for turn in count(1):
         told = edges.join(labels.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("told"))
         near = labels.join(told, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "told").alias("label"))
         near = scratch.table(near, f"near{turn}")
@@ -42,5 +44,4 @@ def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFram
         labels = jumped.select("node", "label")
         if not changed:
             break
-    least = F.nullif(F.col("label.rank"), F.lit((1 << 63) - 1))
-    return alone.unionByName(labels.select("node", least.alias("least"), F.col("label.at").alias("top")))
+    return alone.unionByName(labels.select("node", F.col("label.rank").alias("least"), F.col("label.at").alias("top")))

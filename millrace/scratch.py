@@ -42,7 +42,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more, and let Spark drop shuffle files of plans that are gone."""
+        """Delete tables that nothing reads any more."""
         for name in names:
             self._fs.delete(self._path(self.path(name)), True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that are gone now rather than when the driver's garbage is next
+        collected. For once or twice in a job that has just shuffled as much as it read; not for every round of a loop."""
         self.spark.sparkContext._jvm.System.gc()
