@@ -386,7 +386,7 @@ def katz(docs: DataFrame) -> Katz:
     asks = scratch.table(asked.applyInArrow(_ask(unigrams.known, hot, buckets), PARTS), "asks", ("kind",))
     known = spark.sparkContext.broadcast(unigrams)
     answered = asks.where("kind = 'ask'").select("bucket", "chunk", "data").groupBy("bucket").applyInArrow(_answer(known, hot), PARTS)
-    scratch.drop()  # what the shuffles of the questions left
+    scratch.release()  # what the shuffles of the questions left
     model = scratch.table(answered, "model", ("kind",))
     scratch.drop("asks/kind=ask")
 

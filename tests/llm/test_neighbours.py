@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -116,25 +117,64 @@ def test_metric_join(spark, monkeypatch):
     assert metricjoin.near_duplicates(table.limit(0)).count() == 0
 
 
+def plain_top_k(rows, k=20):
+    """(query_id, rank, vec_id, score) with Python's integers."""
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(64 * x) for x in v)]
+    out = Counter()
+    for a, (i, q) in enumerate(good):
+        if i is not None and i % 20 == 0:
+            clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+            scores = [(clip(sum(x * y for x, y in zip(q, p))), j) for b, (j, p) in enumerate(good) if b != a]  # noqa: B905
+            best = sorted(scores, key=lambda s: (-s[0], s[1] is None, s[1] or 0))[:k]
+            out.update((i, r + 1, j, s) for r, (s, j) in enumerate(best))
+    return out
+
+
+def found_top_k(table):
+    found = topk.top_k(topk.quantised(table), F.pmod("vec_id", F.lit(20)) == 0, 20)
+    return Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect())
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(i, (rng.normal(size=8) * rng.choice([0.2, 1, 5])).tolist()) for i in range(400)]
-    rows += [(500 + i, rows[7][1]) for i in range(60)] + [(20, rows[20][1]), (900, None), (901, [1.0, float("nan")]), (902, [None]), (903, []), (904, [0.0] * 8), (920, [-0.0] * 8), (None, [1.0] * 8), (940, [1.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(0)).withColumn("rank", F.lit(0))
-    good = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    width = max(len(v) for _, v in good)
-    full = [(i, np.pad(v, (0, width - len(v)))) for i, v in good]
-    want = Counter()
-    for a, (i, q) in enumerate(full):
-        if i % 20 == 0:
-            best = sorted((-int(q @ p), j) for b, (j, p) in enumerate(full) if b != a)[:20]
-            want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
-    for run, bucket, queries, focus in ((16_384, 1_024, 1_024, 0.8), (64, 16, 7, 0.3), (64, 16, 7, 0.99)):
-        monkeypatch.setattr(topk, "RUN", run)
+    rows += [(500 + i, rows[7][1]) for i in range(60)] + [(20, rows[20][1]), (900, None), (901, [1.0, float("nan")]), (902, [None]), (903, []), (904, [0.0] * 8), (920, [-0.0] * 8), (None, [1.0] * 8), (None, [5.0] * 8), (940, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in ("score", "rank", "x", "norm", "run", "grp", "row")})
+    want = plain_top_k(rows)
+    assert any(j is None for _, _, j, _ in want)
+    for numbers, bucket, queries in ((1 << 20, 1_024, 1 << 20), (512, 16, 64), (512, 64, 512)):
+        monkeypatch.setattr(topk, "RUN_NUMBERS", numbers)
         monkeypatch.setattr(topk, "BUCKET", bucket)
-        monkeypatch.setattr(topk, "QUERIES", queries)
-        monkeypatch.setattr(topk, "BY_COORDINATE", focus)
-        found = topk.top_k(topk.quantised(table), F.pmod("vec_id", F.lit(20)) == 0, 20).collect()
-        assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == want
+        monkeypatch.setattr(topk, "QUERY_NUMBERS", queries)
+        assert found_top_k(table) == want
+    monkeypatch.setattr(topk, "MAX_MARKS", 2)
+    assert found_top_k(table) == want
     few = topk.top_k(topk.quantised(table.where("vec_id < 3")), F.col("vec_id") == 0, 20)
     assert few.count() == 2 and topk.top_k(topk.quantised(table.limit(0)), F.lit(True)).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e20, 3e18]), (1, [1e20, 3e18]), (2, [-1e20, 1.0]), (3, [1e8 + 0.3, 7.7e8]), (20, [2.0**40 + 0.1, -(2.0**30)]), (4, [2.0**15 + 1, 2.0**20 + 3]), (5, [1e306, 0.0]), (6, [1e308, 0.0]), (7, [1.5e-300, 0.0]), (8, [0.5, 0.5])]
+    rows += [(40 + i, [2.0**31 + i, 2.0**22 - 3 * i]) for i in range(30)]
+    assert found_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == plain_top_k(rows)
+
+
+def test_top_k_prunes_pairs():
+    rng = np.random.default_rng(8)
+    # like the embeddings: all of one length, the best cosines at about 0.3
+    x = rng.normal(size=(6_000, 64))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    every = {"x": x, "id": np.arange(6_000), "row": np.arange(6_000), "nameless": np.zeros(6_000, bool)}
+    asks = {"x": x[::20], "row": np.arange(6_000)[::20], "least": np.zeros(300, int), "told": np.zeros(300, bool)}
+    tally = Counter()
+    found = topk.search_run(asks, every, 20, tally)
+    scores = (x[::20] @ x.T).astype(int)
+    scores[np.arange(300), np.arange(0, 6_000, 20)] = -(1 << 40)
+    best = np.lexsort((np.broadcast_to(np.arange(6_000), scores.shape), -scores), axis=1)[:, :20]
+    assert (found["vec_id"].reshape(300, 20) == best).all()
+    assert tally["pairs"] == 300 * 6_000 and tally["verified"] < 0.5 * tally["pairs"]
+    # lengths that differ prune more
+    long = x * (1 + 20 * (np.arange(6_000) % 50 == 0))[:, None]
+    tally = Counter()
+    topk.search_run(asks | {"x": long[::20]}, every | {"x": long}, 20, tally)
+    assert tally["verified"] < 0.25 * tally["pairs"]
