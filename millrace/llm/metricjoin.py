@@ -6,6 +6,9 @@ must be copied to: if y lies within the radius of some x at home in cell i, then
 for unit vectors the distance to the bisecting plane between the two pivots is the sharper form of the same bound,
 and both are applied. So all partners of a vector are at hand in its home cell, and cells are joined independently.
 
+The pivots of all labels are broadcast, MAX_PIVOTS of them at most. Cells that are still large are cut again in the
+same way by pivots of their own, level by level, as long as a sample shows that it halves their work at least.
+
 Equal vectors are made one, with their number, before the join. A cell with more vectors than a block holds is
 joined block against block, in tasks of their own. A block gives the number of partners of each vector and a
 spanning forest of its links, never a list of pairs, so a dense cell costs time but not rows.
@@ -13,8 +16,8 @@ spanning forest of its links, never a list of pairs, so a dense cell costs time
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -23,68 +26,157 @@ from pyspark.sql import functions as F
 
 from millrace.operators.components import components
 
-from .common import Scratch, lookup
+from .common import Scratch, lookup, uniform
 
 THRESHOLD = 0.98
 #: Vectors that a cell shall hold; the most pivots over all labels (they are broadcast).
 CELL, MAX_PIVOTS = 2_000, 4_096
+#: Cells with more vectors at home than this are cut again, by so many pivots, in tasks of about so many vectors.
+LARGE, FAN, TASK = 16_000, 64, 20_000
 #: Vectors on each side of a block.
 BLOCK = 2_048
 #: More than rounding can move a distance or a cosine.
 SLACK = 1e-9
 
 
-def _units(vectors: pd.Series | list) -> np.ndarray:
+def _vectors(vectors: pd.Series | list) -> np.ndarray:
+    """Vectors as rows, each scaled by a power of two so that its largest component lies in [0.5, 1): cosines stay as they
+    are, to the last bit, and no square is too large or too small."""
     x = np.array(list(vectors), np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _units(vectors: pd.Series | list) -> np.ndarray:
+    x = _vectors(vectors)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _between(p: np.ndarray) -> np.ndarray:
+    """Distances of pivots."""
+    return np.sqrt(np.maximum(2 - 2 * np.clip(p @ p.T, -1, 1), 0))
+
+
+def _members(x: np.ndarray, p: np.ndarray, between: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest pivot of each vector, whether a vector must be in the cell of a pivot)."""
+    d2 = 2 - 2 * np.clip(x @ p.T, -1, 1)
+    home = d2.argmin(axis=1)
+    rows = np.arange(len(x))
+    own = d2[rows, home][:, None]
+    triangle = np.sqrt(d2) - np.sqrt(own) <= 2 * radius + SLACK
+    plane = d2 - own <= 2 * between[home] * radius + SLACK
+    member = triangle & plane
+    member[rows, home] = True
+    return home, member
+
+
 def _pivots(distinct: DataFrame) -> dict[str, np.ndarray]:
     """Unit vectors of the pivots of each label: every vector is drawn with the same chance, by a hash."""
     sizes = {r["label"]: r["n"] for r in distinct.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_PIVOTS).collect()}
     share = min(1 / CELL, MAX_PIVOTS / 2 / max(1, sum(sizes.values())))
     limits = {k: max(1, round(n * share)) for k, n in sizes.items()}
     chance = F.element_at(F.create_map(*[F.lit(x) for k, n in limits.items() for x in (k, sizes[k] and min(1.0, 2 * n / sizes[k] + 20 / sizes[k]))]), F.col("label"))
-    near = distinct.where((F.col("node").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) < F.coalesce(chance, F.lit(0.0)))
+    near = distinct.where(F.col("u") < F.coalesce(chance, F.lit(0.0)))
     found: dict[str, list] = {}
-    for r in near.select("label", "node", "embedding").orderBy("label", "node").collect():
+    for r in near.select("label", "u", "embedding").orderBy("label", "u").collect():  # a few for each pivot
         found.setdefault(r["label"], []).append(r["embedding"])
     return {k: _units(v[: limits[k]]) for k, v in found.items()}
 
 
 def _assign(pivots: dict[str, np.ndarray], radius: float):
     """Cells of vectors: one row at home and one for each cell that a vector is copied to."""
-    first: dict[str, int] = {}
+    first, spare = {}, 0
     for k, p in pivots.items():
-        first[k] = sum(map(len, (pivots[j] for j in first)))
-    spare = sum(map(len, pivots.values()))
+        first[k], spare = spare, spare + len(p)
 
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        between: dict[str, np.ndarray] = {}
         for all_ in frames:
-            for at in range(0, len(all_), 1_000):
-                for label, f in all_.iloc[at : at + 1_000].groupby("label"):
-                    yield of_label(label, f.reset_index(drop=True))
-
-    def of_label(label: str, f: pd.DataFrame) -> pd.DataFrame:
-        p = pivots.get(label)
-        if p is None:  # such a label shares a cell with others; the block keeps them apart
-            return f.assign(cell=spare + zlib.crc32(label.encode()) % MAX_PIVOTS, home=True)
-        cos = np.clip(_units(f["embedding"]) @ p.T, -1, 1)
-        d2 = 2 - 2 * cos
-        home = d2.argmin(axis=1)
-        rows = np.arange(len(f))
-        own = d2[rows, home][:, None]
-        triangle = np.sqrt(d2) - np.sqrt(own) <= 2 * radius + SLACK
-        between = np.sqrt(np.maximum(2 - 2 * np.clip(p @ p.T, -1, 1), 0))[home]
-        plane = d2 - own <= 2 * between * radius + SLACK
-        member = triangle & plane
-        member[rows, home] = True
-        r, c = np.nonzero(member)
-        return f.iloc[r].assign(cell=first[label] + c, home=c == home[r])
+            for label, f in all_.groupby("label"):
+                p = pivots.get(label)
+                if p is None:  # such a label shares a cell with others; the block keeps them apart
+                    yield f.assign(cell=spare + f["spare"], home=True)
+                    continue
+                if label not in between:
+                    between[label] = _between(p)
+                for at in range(0, len(f), 1_000):
+                    g = f.iloc[at : at + 1_000]
+                    home, member = _members(_units(g["embedding"]), p, between[label], radius)
+                    r, c = np.nonzero(member)
+                    yield g.iloc[r].assign(cell=first[label] + c, home=c == home[r])
+
+    return go
+
+
+def _plan(radius: float):
+    """A sample of a cell's vectors at home to its pivots, or to none where cutting the cell wouldn't halve its work."""
+
+    def go(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["u", "node"])
+        x = _units(f["embedding"])
+        p, others = x[:FAN], x[FAN:]
+        if len(others):
+            home, member = _members(others, p, _between(p), radius)
+            work = (np.bincount(home, minlength=len(p)) / len(others) * member.mean(axis=0)).sum()
+            if work <= 0.5:
+                return pd.DataFrame({"cell": int(key[0]), "k": np.arange(len(p)), "pivot": list(p)})
+        return pd.DataFrame({"cell": pd.Series(dtype="int64"), "k": pd.Series(dtype="int64"), "pivot": pd.Series(dtype=object)})
 
     return go
 
 
+def _cut(radius: float, columns: list[str]):
+    """Rows of a cell and its pivots to rows of smaller cells; where a vector was a copy it stays one."""
+
+    def go(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return rows[columns]
+        p = np.array(list(pivots.sort_values("k")["pivot"]))
+        between, out = _between(p), []
+        for at in range(0, len(rows), 1_000):
+            f = rows.iloc[at : at + 1_000]
+            home, member = _members(_units(f["embedding"]), p, between, radius)
+            r, c = np.nonzero(member)
+            g = f.iloc[r]
+            out.append(g.assign(cell=(g["cell"].to_numpy() + 1) * FAN + c, home=g["home"].to_numpy() & (c == home[r])))
+        return pd.concat(out)[columns]
+
+    return go
+
+
+def _cells(source: DataFrame, radius: float, scratch: Scratch) -> DataFrame:
+    """source (node, times, label, embedding, u, spare) with level, cell, home: every vector once at home, and in all the
+    other cells where partners of it are at home."""
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", cell long, home boolean"
+    now = scratch.table(source.mapInPandas(_assign(_pivots(source), radius), schema), "cells0")
+    done: list[DataFrame] = []
+    for level in count():
+        named = lambda rows: rows.withColumn("level", F.lit(level))  # noqa: B023, E731
+        sizes = scratch.table(now.groupBy("cell").agg(F.count("*").alias("rows"), F.count_if("home").alias("at_home")), f"sizes{level}")
+        large = sizes.where(F.col("at_home") > LARGE)
+        if not large.limit(1).count():
+            done.append(named(now))
+            break
+        # about 512 of each large cell, which are few in comparison
+        sample = lookup(now.where("home"), sizes.select("cell", "at_home", "rows"), ["cell"], "rows").where((F.col("at_home") > LARGE) & (F.col("u") * F.col("at_home") < F.lit(8 * FAN)))
+        pivots = scratch.table(sample.select("cell", "u", "node", "embedding").groupBy("cell").applyInPandas(_plan(radius), "cell long, k long, pivot array<double>"), f"pivots{level}")
+        cut = scratch.table(pivots.select("cell").distinct().join(sizes, "cell").withColumn("parts", F.ceil(F.col("rows") / TASK)), f"cut{level}")
+        if not cut.limit(1).count():
+            done.append(named(now))
+            break
+        placed = lookup(now, sizes.select("cell", "rows").join(cut.select("cell", "parts"), "cell", "left"), ["cell"], "rows")
+        placed = scratch.table(placed, f"placed{level}")
+        done.append(named(placed.where("parts is null").drop("parts")))
+        rows = placed.where("parts is not null").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), "parts")).drop("parts")
+        each = pivots.join(cut.select("cell", "parts"), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        met = rows.groupBy("cell", "part").cogroup(each.groupBy("cell", "part")).applyInPandas(_cut(radius, now.columns), schema)
+        now = scratch.table(met, f"cells{level + 1}")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _forest(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
     """The least member of each node's component among n nodes joined by pairs."""
     label = np.arange(n)
@@ -107,7 +199,7 @@ def _join(threshold: float):
         left, right = f[f["side"] == 0], f[f["side"] == 1]
         if not len(left) or not len(right):
             return pd.DataFrame({k: pd.Series(dtype="int64") for k in ("node", "links", "root")})  # 64-bit names bear no other type
-        raw_a, raw_b = np.array(list(left["embedding"]), np.float64), np.array(list(right["embedding"]), np.float64)
+        raw_a, raw_b = _vectors(left["embedding"]), _vectors(right["embedding"])
         norm_a, norm_b = np.linalg.norm(raw_a, axis=1), np.linalg.norm(raw_b, axis=1)
         a, b, times = left["node"].to_numpy(), right["node"].to_numpy(), right["times"].to_numpy()
         links, pairs = np.zeros(len(a), np.int64), []
@@ -141,39 +233,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Rows are linked if their labels are equal and not null and the cosine is at least the threshold. n_links counts
     the other rows linked to a row directly, equal vectors among them; component_id is the least vec_id within
     reach. Vectors that are null, empty or zero or hold a null, NaN or infinity, and rows without a label, link with
-    nothing, and vectors of different length don't link. Rows that repeat count each for itself. A null vec_id is
+    nothing, and vectors of different length don't link; how long a vector is in the geometric sense makes no odds. Rows that repeat count each for itself. A null vec_id is
     never a component's id unless the component has no other.
     """
     if not 0.5 < threshold < 1:
         raise ValueError("the threshold must lie between 0.5 and 1")
     scratch = Scratch(vectors.sparkSession, "metric")
     x = F.transform("embedding", lambda e: e.cast("double"))
-    # summed from scaled components, so that neither very large nor very small ones get lost
-    top = F.array_max(F.transform(x, F.abs))
-    fit = F.col("label").isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (top > 1e-150) & (top < 1e150)
+    whole = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    fit = F.col("label").isNotNull() & whole & F.exists(x, lambda e: e != 0)
     rows = vectors.select("vec_id", "embedding", "label", F.coalesce(fit, F.lit(False)).alias("fit"))
     rows = scratch.table(rows, "rows")
     fits = rows.where("fit")
     distinct = fits.groupBy("label", "embedding").agg(F.min("vec_id").alias("rank"), F.count("*").alias("times"))
-    distinct = scratch.table(distinct.withColumn("node", F.xxhash64("label", "embedding")), "distinct")
+    # numbered as they are written, so no two vectors share a number
+    distinct = scratch.table(distinct.withColumns({"node": F.monotonically_increasing_id(), "u": uniform(F.lit(2), F.col("label"), F.col("embedding"))}), "distinct")
 
     # vectors of different length are kept apart like those of different labels
-    source = distinct.select(
-        "node", "times", F.concat_ws(":", F.size("embedding"), F.col("label")).alias("label"),
-        F.transform("embedding", lambda e: e.cast("double")).alias("embedding"),
-    )
-    pivots = _pivots(source)
+    kind = F.concat_ws(":", F.size("embedding"), F.col("label"))
+    source = distinct.select("node", "times", kind.alias("label"), "embedding", "u", F.crc32(kind).alias("spare"))
     radius = float(np.sqrt(2 - 2 * threshold))
-    schema = "node long, times long, label string, embedding array<double>, cell long, home boolean"
-    cells = scratch.table(source.mapInPandas(_assign(pivots, radius), schema), "cells")
+    cells = _cells(source, radius, scratch)
     # blocks of a cell: rows at home against all rows, both dealt out by a hash of the vector
-    counts = cells.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).alias("na"), F.ceil(F.count("*") / BLOCK).alias("nb"))
-    placed = cells.join(F.broadcast(counts), "cell")  # one row for each pivot, and as many spare ones at most
+    at = ["level", "cell"]
+    counts = cells.groupBy(*at).agg(F.count("*").alias("rows"), F.ceil(F.count_if("home") / BLOCK).alias("na"), F.ceil(F.count("*") / BLOCK).alias("nb"))
+    placed = lookup(cells, scratch.table(counts, "counts"), at, "rows")
     spread = F.xxhash64(F.lit(3), "node")
     at_home = placed.where("home").select("*", F.lit(0).alias("side"), F.pmod(spread, "na").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"))
     anyone = placed.where("na > 0").select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("i"), F.pmod(spread, "nb").alias("j"))
-    both = at_home.unionByName(anyone).select("node", "label", "times", "embedding", "side", "cell", "i", "j")
-    met = both.groupBy("cell", "i", "j").applyInPandas(_join(threshold), "node long, links long, root long")
+    both = at_home.unionByName(anyone).select("node", "label", "times", "embedding", "side", *at, "i", "j")
+    met = both.groupBy(*at, "i", "j").applyInPandas(_join(threshold), "node long, links long, root long")
     met = scratch.table(met, "met")
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     of = components(distinct.select("node", "rank"), met.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct(), scratch)

@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -83,10 +84,21 @@ def vectors():
         rows.append((k, [float(v) for v in np.float32(x)], k % 4 if k % 11 else None))
     dup = rows[1][1]
     rows += [(700 + k, dup, rows[1][2]) for k in range(300)] + [(2000, [2 * v for v in dup], rows[1][2])]
+    tiny, huge = [1e-200, 0.0, 3e-200], [1e160, 0.0, 3e160]
+    rows += [(3000, tiny, 1), (3001, tiny, 1), (3002, huge, 1), (3003, huge, 1), (3004, [5e-324, 0.0, 0.0], 1), (3005, [1.7e308, 0.0, 1.0], 1), (3006, [0.0, 1e308, 1e-308], 2)]
     rows += [(1100, None, 1), (1101, [], 1), (1102, [0.0] * 16, 1), (1103, [float("nan")] * 16, 1), (1104, [1.0, None], 1), (1105, [float("inf")] * 16, 1), (1106, [1.0, 0.0], 1), (1107, [1.0, 0.0], 1), (1107, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]
     return rows
 
 
+def cosine(x, y):
+    """In fractions, but for the last root, where squares could get lost."""
+    if all(1e-100 < max(map(abs, v)) < 1e100 for v in (x, y)):
+        return np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)
+    dot = lambda a, b: sum(Fraction(u) * Fraction(v) for u, v in zip(a, b, strict=True))
+    s = dot(x, y)
+    return math.sqrt(s * s / (dot(x, x) * dot(y, y))) * (1 if s > 0 else -1)
+
+
 def fits(v):
     return v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
@@ -98,7 +110,7 @@ def test_metric_join(spark, monkeypatch):
     for a in range(n):
         for b in range(a):
             (_, x, k), (_, y, m) = rows[a], rows[b]
-            if k is not None and k == m and fits(x) and fits(y) and len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
+            if k is not None and k == m and fits(x) and fits(y) and len(x) == len(y) and cosine(x, y) >= 0.98:
                 linked.append((a, b))
                 links[a] += 1
                 links[b] += 1
@@ -106,12 +118,18 @@ def test_metric_join(spark, monkeypatch):
     for a, (i, *_) in enumerate(rows):
         least[of[a]] = min([x for x in (least.get(of[a]), i) if x is not None], default=None)
     want = Counter((i, links[a], least[of[a]], i == least[of[a]]) for a, (i, *_) in enumerate(rows))
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit(1)).withColumn("times", F.lit("x")).withColumn("cell", F.lit(0))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1)).withColumn("times", F.lit("x")).withColumn("cell", F.lit(0))
     for cell, block in ((2_000, 2_048), (20, 16)):
         monkeypatch.setattr(metricjoin, "CELL", cell)
         monkeypatch.setattr(metricjoin, "BLOCK", block)
         found = metricjoin.near_duplicates(table).collect()
         assert Counter(tuple(r) for r in found) == want
+    # cells are cut again and again
+    monkeypatch.setattr(metricjoin, "MAX_PIVOTS", 8)
+    monkeypatch.setattr(metricjoin, "LARGE", 12)
+    monkeypatch.setattr(metricjoin, "FAN", 4)
+    monkeypatch.setattr(metricjoin, "TASK", 30)
+    assert Counter(tuple(r) for r in metricjoin.near_duplicates(table).collect()) == want
     monkeypatch.setattr(metricjoin, "MAX_PIVOTS", 2)  # labels without pivots share cells
     assert Counter(tuple(r) for r in metricjoin.near_duplicates(table).collect()) == want
     assert metricjoin.near_duplicates(table.limit(0)).count() == 0
