@@ -29,9 +29,9 @@ def id_crc(column: str | Column) -> Column:
     return F.crc32(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8"))
 
 
-def free_names(df: DataFrame, n: int) -> list[str]:
-    """n column names that df doesn't have, whatever the case of its letters."""
-    taken = {c.lower() for c in df.columns}
+def free_names(df: DataFrame, n: int, *others: DataFrame) -> list[str]:
+    """n column names that df (and others) don't have, whatever the case of their letters."""
+    taken = {c.lower() for side in (df, *others) for c in side.columns}
     return list(islice((name for name in (f"_m{k}" for k in count()) if name not in taken), n))
 
 
@@ -74,17 +74,18 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: st
     total = small.agg(F.sum(rows)).first()[0] or 0
     limit = max(HOT_ROWS, total // MAX_HOT_KEYS)
     others = [c for c in small.columns if c not in (*keys, rows)]
+    names = dict(zip(keys, free_names(big, len(keys), small), strict=True))
 
     def renamed(side: DataFrame) -> DataFrame:
-        return side.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *others)
+        return side.select(*[F.col(k).alias(names[k]) for k in keys], *others)
 
     def on(side: DataFrame) -> Column:
         condition = F.lit(True)
         for k in keys:
-            condition = condition & big[k].eqNullSafe(side[f"_k_{k}"])
+            condition = condition & big[k].eqNullSafe(side[names[k]])
         return condition
 
-    drop = [f"_k_{k}" for k in keys]
+    drop = list(names.values())
     hot, cold = renamed(small.where(F.col(rows) > limit)), renamed(small.where(F.col(rows) <= limit))
     if not small.where(F.col(rows) > limit).limit(1).count():
         return big.join(cold, on(cold), how).drop(*drop)
@@ -100,9 +101,10 @@ def attach(big: DataFrame, small: DataFrame, key: str, salt: Column, buckets: in
     small is broadcast if it is counted at MAX_BROADCAST_ROWS rows or fewer; beyond that its rows are repeated for
     each of `buckets` salts and big is dealt out by key and salt.
     """
-    side = small.withColumnRenamed(key, "_key")
+    name, one, two = free_names(big, 3, small)
+    side = small.withColumnRenamed(key, name)
     if side.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        return big.join(F.broadcast(side), big[key].eqNullSafe(side["_key"]), "left").drop("_key")
-    side = side.withColumn("_salt_s", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    big = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(buckets)).cast("int"))
-    return big.join(side, big[key].eqNullSafe(side["_key"]) & (big["_salt"] == side["_salt_s"]), "left").drop("_key", "_salt", "_salt_s")
+        return big.join(F.broadcast(side), big[key].eqNullSafe(side[name]), "left").drop(name)
+    side = side.withColumn(two, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    big = big.withColumn(one, F.pmod(F.xxhash64(salt), F.lit(buckets)).cast("int"))
+    return big.join(side, big[key].eqNullSafe(side[name]) & (big[one] == side[two]), "left").drop(name, one, two)

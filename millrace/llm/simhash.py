@@ -4,11 +4,17 @@ Two fingerprints at two or fewer differing bits share a variant that differs fro
 distinct fingerprint emits itself and its 64 neighbours at one bit, and rows are shuffled on those variants. At most
 65 fingerprints can meet at a variant, however many documents there are, and any two that meet are at two bits or
 fewer: linking each to the least of them keeps what they connect without listing pairs. Every edge is verified.
+
+That is near_duplicates(), for fingerprints of 64 bits and a given distance. Texts of a similarity of 0.8 differ in
+ten bits of 64 or so, whose ball no one can list. one_of_each() therefore takes several short fingerprints of a text
+(BLOCKS of BITS bits, over its distinct five-word shingles), each of which emits its ball and finds candidates for
+itself, and verifies candidates by the similarity of their shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -19,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.components import components
 
-from .common import Scratch, lookup, values
+from .common import MAX_BROADCAST_ROWS, Scratch, free_names, lookup, values
 
 SHINGLE = 3
 SEED = 42
@@ -88,16 +94,172 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return lookup(rows, of.withColumnsRenamed({"least": "component_id", "top": "component"}), ["print"], "rows")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs (all columns) without near-duplicates: of each component the row with the least id, ties by content."""
+@dataclass(frozen=True)
+class Near:
+    """What counts as near: words in a shingle, least share of common shingles; and how it is searched: fingerprints of
+    a text, bits of each."""
+
+    shingle: int = 5
+    similarity: float = 0.8
+    blocks: int = 8
+    bits: int = 40
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text, upper and lower case of A-Z alike; a text of fewer words is one
+    shingle, one without words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < shingle:
+        return np.array([_hash(b" ".join(words), SEED)], np.uint64)
+    each = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.unique(np.fromiter(map(_hash, each, repeat(SEED)), np.uint64, len(words) - shingle + 1))
+
+
+def short_prints(hashes: np.ndarray, near: Near) -> list[int]:
+    """A text's fingerprints: those bits are 1 that are 1 in over half of its hashes, which each block mixes anew."""
+    out = []
+    for k in range(near.blocks):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), PIECE):
+            h = (hashes[at : at + PIECE] ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            bits = np.unpackbits((h ^ (h >> np.uint64(29))).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones += bits.sum(axis=0, dtype=np.int32)
+        out.append(int(np.packbits(2 * ones > len(hashes)).view(">u8")[0]) >> (64 - near.bits))
+    return out
+
+
+def _marked(docs: DataFrame, one: str, two: str, mark: str) -> DataFrame:
+    """docs with two hashes of the text (null counts as empty) and one of all columns that can be hashed."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    every = [F.col("`" + c.replace("`", "``") + "`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    return docs.withColumns({one: F.xxhash64(F.lit(1), text), two: F.xxhash64(F.lit(2), text), mark: F.xxhash64(*every)})
+
+
+def _candidates(nodes: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes (node, prints) that share a fingerprint or have two within 2 * HALF bits of each other.
+
+    Nodes of the same fingerprint are compared with the first of them, and the firsts of fingerprints that meet at a
+    variant with the first of those: never all with all. nodes whose pair with the first turns out not to be near are
+    compared again among themselves by the caller.
+    """
+    shared = _shared(nodes.select("node", F.posexplode("prints").alias("block", "print")), scratch, "first")
+    firsts = scratch.spark.read.parquet(scratch.path("first_firsts"))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(near.bits)])
+    spread = firsts.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "print")
+    variants = spread.select("a", F.shiftleft(F.col("block").cast("long"), near.bits).alias("block"), "print", F.explode(flips).alias("flip"))
+    variants = variants.select("a", F.col("block").bitwiseOR(F.col("print").bitwiseXOR(F.col("flip"))).alias("variant"))
+    met = variants.groupBy("variant").agg(F.collect_list("a").alias("met")).where(F.size("met") > 1)  # bits + 1 at most
+    between = met.select(F.array_min("met").alias("a"), F.explode("met").alias("b")).where("a <> b").distinct()
+    between = scratch.table(between, "between")
+    scratch.release()
+    return shared.select("a", "b").unionByName(between).distinct()
+
+
+def _shared(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """block, print, a, b: nodes b of rows (node, block, print) with the first node a of the same fingerprint."""
+    firsts = rows.groupBy("block", "print").agg(F.min("node").alias("a"), F.count("*").alias("rows"))
+    firsts = scratch.table(firsts, f"{name}_firsts")
+    met = lookup(rows, firsts.where("rows > 1"), ["block", "print"], "rows", "inner")
+    return scratch.table(met.where("node <> a").select("block", "print", "a", F.col("node").alias("b")), f"{name}_shared")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, near: Near, scratch: Scratch, name: str) -> DataFrame:
+    """Those of pairs (a, b) that are near. sets: node, hashes.
+
+    A node that is the first of very many has its pairs dealt out to several tasks.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).alias("parts"), F.count("*").alias("rows"))
+    parts = scratch.table(parts, f"{name}_parts")
+    placed = lookup(pairs, parts, ["a"], "rows").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    counts = placed.groupBy("b").agg(F.count("*").alias("rows"))
+    other = lookup(placed, counts.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes")), "b"), ["b"], "rows", "inner")
+    of_a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes"))
+    first = parts.join(of_a, "a").select(F.col("a").alias("a"), "hashes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    def go(left: pa.Table, right: pa.Table) -> pa.Table:
+        keep: list[int] = []
+        if left.num_rows and right.num_rows:
+            one = np.frombuffer(right["hashes"][0].as_py(), "<u8")
+            for b, data in zip(left["b"].to_pylist(), left["hashes"], strict=True):
+                two = np.frombuffer(data.as_py(), "<u8")
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                if common >= near.similarity * (len(one) + len(two) - common):
+                    keep.append(b)
+        return pa.table({"a": pa.array([left["a"][0].as_py()] * len(keep) if keep else [], pa.int64()), "b": pa.array(keep, pa.int64())})
+
+    met = other.groupBy("a", "part").cogroup(first.groupBy("a", "part")).applyInArrow(go, "a long, b long")
+    return scratch.table(met, name)
+
+
+def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
+    """One row for each different text of docs (doc_id, text): one, two (hashes of the text, null counting as empty),
+    node, top (the node of the group's least id), doc_id (the text's least), mark (of the row that has it, the least), rows.
+
+    Two texts are linked if their shares of common shingles reach near.similarity and a fingerprint of one is within 2
+    bits of the other's; groups are what links connect. Texts without words are all alike.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = pa.array([short_prints(shingle_hashes(t, near.shingle), near) for t in values(b.column(4))], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), prints], ["doc_id", "one", "two", "mark", "prints"])
+
+    names = free_names(docs, 3)
+    marked = _marked(docs, *names)
+    marked = marked.select("doc_id", *[F.col(a).alias(b) for a, b in zip(names, ("one", "two", "mark"), strict=True)], "text")
+    rows = scratch.table(marked.mapInArrow(go, "doc_id long, one long, two long, mark long, prints array<long>"), "rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    nodes = rows.groupBy("one", "two").agg(least.alias("least"), F.count("*").alias("rows"), F.min("prints").alias("prints"))
+    nodes = nodes.select("one", "two", "least.doc_id", "least.mark", "rows", "prints").sortWithinPartitions("one", "two")
+    nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    pairs = scratch.table(_candidates(nodes, near, scratch), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = scratch.table(nodes.join(named, "node").select("one", "two", "node", F.col("doc_id").alias("id"), F.col("mark").alias("of"), "rows"), "wanted")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingle_hashes(t, near.shingle).astype("<u8").tobytes() for t in values(b.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["node", "hashes"])
+
+    # a text's first row stands for all of them
+    if wanted.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        texts = marked.join(F.broadcast(wanted.drop("rows")), ["one", "two"])
+    else:
+        texts = lookup(marked, wanted, ["one", "two"], "rows", "inner")
+    texts = texts.where(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of"))).select("node", "text")
+    sets = scratch.table(texts.mapInArrow(hashed, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    edges = _verified(pairs, sets, near, scratch, "near0")
+    # whoever shares a fingerprint with others but isn't near the first of them is compared with the next, until none is left
+    left = scratch.spark.read.parquet(scratch.path("first_shared"))
+    last, turn = edges, 0
+    while True:
+        far = left.join(last, ["a", "b"], "left_anti").select(F.col("b").alias("node"), "block", "print")
+        left = _shared(scratch.table(far, f"far{turn}"), scratch, f"again{turn}")
+        if not left.limit(1).count():
+            break
+        turn += 1
+        last = _verified(left.select("a", "b").distinct(), sets, near, scratch, f"near{turn}")
+        edges = edges.unionByName(last)
+    of = components(nodes.select("node", F.col("doc_id").alias("rank")), edges, scratch)
+    return nodes.drop("prints").join(of.select("node", "top"), "node")
+
+
+def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """docs (all columns) without near-duplicates: of each group of near_groups() the row with the least id.
+
+    Null ids come last. Among rows of the same id the one whose columns have the least hash stays, so reruns agree; of
+    rows that are equal in all columns one does. Columns may have any names. An empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession, "keep")
-    found = near_duplicates(docs)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "doc_id", "content")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.content").alias("_kept_content"))
-    kept = scratch.table(kept, "kept")
-    content = F.when(docs["text"].isNotNull(), F.xxhash64(docs["text"]))
-    joined = docs.withColumn("_content", content).join(
-        kept, F.col("_kept_id").eqNullSafe(docs["doc_id"]) & F.col("_kept_content").eqNullSafe(F.col("_content"))
-    )
-    # a row that occurs several times is still there several times
-    return joined.dropDuplicates(["_kept_id", "_kept_content"]).select(*docs.columns)
+    groups = scratch.table(near_groups(docs, near, scratch), "groups")
+    scratch.release()
+    names = free_names(docs, 6)
+    kept = groups.where("node = top").select("one", "two", F.col("doc_id").alias(names[4]), F.col("mark").alias(names[5]), F.col("rows").alias("rows"))
+    kept = kept.withColumnsRenamed(dict(zip(("one", "two", "rows"), names[:3], strict=True)))
+    found = lookup(_marked(docs, names[0], names[1], names[3]), kept, names[:2], names[2], "inner")
+    found = found.where(F.col("doc_id").eqNullSafe(F.col(names[4])) & (F.col(names[3]) == F.col(names[5])))
+    return found.dropDuplicates([names[0], names[1]]).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
