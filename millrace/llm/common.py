@@ -7,6 +7,7 @@ from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.scratch import Scratch
@@ -35,6 +36,11 @@ def free_names(df: DataFrame, n: int, *others: DataFrame) -> list[str]:
     return list(islice((name for name in (f"_m{k}" for k in count()) if name not in taken), n))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def uniform(*columns: Column) -> Column:
     """A number in [0, 1) that depends on the columns' values alone."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
@@ -47,22 +53,39 @@ def global_rank(scratch: Scratch, df: DataFrame, order: list[Column], name: str,
     partitions' offsets are sums over one row per partition.
     """
     # range partitioning looks at its input twice, so df should be a table, not an expensive plan
+    at, part, start = [x for x in free_names(df, 4) if x != into][:3]
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = scratch.table(ordered.withColumn("_at", F.monotonically_increasing_id()), name)
-    part = F.shiftright(F.col("_at"), 33)
-    counts = {r["part"]: r["n"] for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    ordered = scratch.table(ordered.withColumn(at, F.monotonically_increasing_id()), name)
+    of = F.shiftright(F.col(at), 33)
+    counts = {r["part"]: r["n"] for r in ordered.groupBy(of.alias("part")).agg(F.count("*").alias("n")).collect()}
     before, starts = 0, []
     for p in sorted(counts):  # one entry per partition of the shuffle
         starts.append((int(p), before))
         before += counts[p]
-    offsets = scratch.spark.createDataFrame(starts or [(0, 0)], "_part long, _start long")
-    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        ordered.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(into, F.col("_start") + inside)
-        .drop("_part", "_start", "_at")
-    )
+    offsets = scratch.spark.createDataFrame(starts or [(0, 0)], f"{part} long, {start} long")
+    inside = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.withColumn(part, of).join(F.broadcast(offsets), part).withColumn(into, F.col(start) + inside).drop(part, start, at)
+
+
+def sums_before(scratch: Scratch, df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """df with, for each of sums (column name, value), the sum of the values of all rows before it in a total order; one
+    range shuffle. Only one row for each partition meets in the driver."""
+    ordered = df.withColumns({f"_v_{k}": v for k, v in sums.items()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = scratch.table(ordered.withColumn("_at", F.monotonically_increasing_id()), name)
+    ordered = ordered.withColumn("_part", F.shiftright(F.col("_at"), 33))
+    totals = ordered.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(k) for k in sums]).orderBy("_part").collect()
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
+    now, starts = dict.fromkeys(sums, 0), []
+    for r in totals:
+        starts.append((r["_part"], *now.values()))
+        now = {k: now[k] + (r[k] or 0) for k in sums}
+    schema = "_part long, " + ", ".join(f"_s_{k} {kinds[f'_v_{k}']}" for k in sums)
+    rows = [(p, *[float(x) if kinds[f"_v_{k}"] == "double" else x for k, x in zip(sums, of, strict=True)]) for p, *of in starts]
+    offsets = scratch.spark.createDataFrame(rows, schema)
+    inside = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    found = ordered.join(F.broadcast(offsets), "_part")
+    before = {k: F.col(f"_s_{k}") + F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0).cast(kinds[f"_v_{k}"])) for k in sums}
+    return found.withColumns(before).drop("_part", "_at", *[f"_{x}_{k}" for k in sums for x in "vs"])
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: str = "left") -> DataFrame:

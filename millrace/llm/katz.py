@@ -33,7 +33,7 @@ from .common import Scratch, global_rank, values
 #: Counts above K aren't discounted.
 K = 5
 #: Tokens of a chunk; tokens of all texts for each bucket.
-CHUNK_TOKENS, BUCKET_TOKENS = 3 << 20, 1 << 22
+CHUNK_TOKENS, BUCKET_TOKENS = 5 << 19, 7 << 19
 #: Words beyond this share of the training tokens have their pairs spread: there are at most so many of them.
 MAX_HOT = 4_096
 

@@ -8,20 +8,21 @@ distrusted. Both are compared for each host.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lookup
+from .common import HOT_ROWS, MAX_HOT_KEYS, Scratch, lookup
 
 #: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-4
+#: The tolerance is on a host's rank times the number of hosts; ROUNDS go by between two tables.
+DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-3, 4
 #: A host is blocked if the distrust that reaches it is above this multiple of what each host had if one seed's were
 #: dealt evenly, and above the trust that reaches it.
 THRESHOLD = 0.5
 
-_AFTER = r"^.*?://"
-
 
 def host_of(url: Column) -> Column:
     """The host in lower case (A to Z): after the first :// up to / ? # or the end; empty without ://."""
@@ -54,50 +55,69 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(hosts: DataFrame, links: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def spread(hosts: DataFrame, links: DataFrame, scratch: Scratch, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust, trust_sum, distrust_sum, blocked: personalised PageRank along and against links.
 
     trust and distrust are shares of a host (mean 1). The sums are what reaches a host if each seed gives its own
     weight, so they don't depend on how many other seeds there are or how much those weigh. blocked is the host's own.
 
     hosts: host, trusted, blocked (weights of the seeds). Both go in one iteration, over edges that carry which of
-    the two they serve. What reaches a host without edges goes back to the seeds. Rounds end when the ranks move by
-    less than the tolerance altogether.
+    the two they serve. Rounds go on until no host's rank is further than the tolerance from where it will end: what
+    moves in all shrinks by the damping with each round, so that comes, and bounds what is still to come.
+
+    A host that very many link to sends along all those edges in the distrust's direction. Such hosts are few (their
+    edges add up to no more than all); their ranks are broadcast, all others are shuffled.
     """
     both = links.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n")
     )
-    out = both.groupBy("kind", "a").agg(F.sum("n").alias("all"))
-    edges = scratch.table(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w")), "edges")
+    out = both.groupBy("kind", "a").agg(F.sum("n").alias("all"), F.count("*").alias("rows"))
+    out = scratch.table(out, "out")
+    limit = max(HOT_ROWS, (out.agg(F.sum("rows")).first()[0] or 0) // MAX_HOT_KEYS)
+    weighed = lookup(both, out, ["kind", "a"], "rows").select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w"))
+    edges = scratch.table(weighed, "edges")
+    hot = scratch.table(out.where(F.col("rows") > limit).select("kind", "a"), "hot")  # MAX_HOT_KEYS rows at most
+    hubs = hot.limit(1).count() > 0
+    if hubs:
+        many = scratch.table(edges.join(F.broadcast(hot), ["kind", "a"], "left_semi"), "many")
+        few = scratch.table(edges.join(F.broadcast(hot), ["kind", "a"], "left_anti"), "few")
     linked = edges.select(F.col("a").alias("host")).unionByName(edges.select(F.col("b").alias("host"))).distinct()
     hosts = hosts.join(linked, "host", "full").na.fill({"trusted": 0.0, "blocked": 0.0})
     hosts = scratch.table(hosts, "hosts")
-    total = hosts.agg(F.sum("trusted").alias("trust"), F.sum("blocked").alias("distrust"), F.count("*").alias("n")).first()
-    seed = lambda kind, column: hosts.select(F.lit(kind).alias("kind"), "host", (F.col(column) / (total[kind] or 1.0)).alias("seed"))
+    n = float(hosts.count() or 1)
+    seed = lambda kind, column: hosts.select(F.lit(kind).alias("kind"), "host", F.col(column).alias("seed"))
     seeds = scratch.table(seed("trust", "trusted").unionByName(seed("distrust", "blocked")).where("seed > 0"), "seeds")
+
+    def onward(ranks: DataFrame) -> DataFrame:
+        from_ = ranks.withColumnRenamed("host", "a")
+        if hubs:
+            of_hubs = F.broadcast(from_.join(F.broadcast(hot), ["kind", "a"], "left_semi"))
+            met = many.join(of_hubs, ["kind", "a"]).unionByName(few.join(from_, ["kind", "a"]))
+        else:
+            met = edges.join(from_, ["kind", "a"])
+        sent = met.groupBy("kind", F.col("b").alias("host")).agg((F.sum(F.col("rank") * F.col("w")) * damping).alias("sent"))
+        rank = F.coalesce("sent", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0))
+        return sent.join(seeds, ["kind", "host"], "full").select("kind", "host", rank.alias("rank"))
+
     ranks = seeds.withColumnRenamed("seed", "rank")
-    kept = {}
-    if not edges.limit(1).count():
-        rounds = 0  # without links the seeds keep all
-    for k in range(rounds):
-        sent = edges.join(ranks.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg((F.sum(F.col("rank") * F.col("w")) * damping).alias("sent"))
-        sent = scratch.table(sent, f"sent{k}")
-        got = {r["kind"]: r["s"] for r in sent.groupBy("kind").agg(F.sum("sent").alias("s")).collect()}  # two numbers
-        kept = {kind: 1 - got.get(kind, 0.0) for kind in ("trust", "distrust")}
-        back = F.when(F.col("kind") == "trust", kept["trust"]).otherwise(kept["distrust"])
-        new = sent.join(seeds, ["kind", "host"], "full").select("kind", "host", (F.coalesce("sent", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0)) * back).alias("rank"))
+    shrinks = damping**ROUNDS
+    for k in count() if edges.limit(1).count() else ():  # without links the seeds keep all
+        new = ranks
+        for _ in range(ROUNDS):
+            new = onward(new)
         new = scratch.table(new, f"ranks{k}")
         moved = new.join(ranks.withColumnRenamed("rank", "old"), ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        scratch.drop(f"sent{k}", *([f"ranks{k - 1}"] if k else []))
+        if k:
+            scratch.drop(f"ranks{k - 1}")
         ranks = new
-        if (moved or 0.0) < tolerance:
+        if (moved or 0.0) * n * shrinks / (1 - shrinks) < tolerance:
             break
-    n = float(total["n"] or 1)
-    score = lambda kind: (F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)) * n).alias(kind)
-    found = ranks.groupBy("host").agg(score("trust"), score("distrust"))
-    # ranks hold what went back to the seeds too; a seed's share without it is its weight in the total
-    whole = {f"{kind}_sum": F.col(kind) * ((total[kind] or 0.0) / (n * kept.get(kind, 1.0))) for kind in ("trust", "distrust")}
-    return hosts.select("host", "blocked").join(found.withColumns(whole), "host", "left").na.fill(0.0)
+    score = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(f"{kind}_sum")
+    found = scratch.table(ranks.groupBy("host").agg(score("trust"), score("distrust")), "found")
+    # what reaches dead ends goes back to the seeds, in proportion: shares are the sums over their total
+    total = found.agg(F.sum("trust_sum").alias("trust"), F.sum("distrust_sum").alias("distrust")).first()
+    shares = {kind: F.col(f"{kind}_sum") * (n / (total[kind] or 1.0)) for kind in ("trust", "distrust")}
+    return hosts.select("host", "blocked").join(found.withColumns(shares), "host", "left").na.fill(0.0)
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:

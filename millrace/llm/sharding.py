@@ -14,10 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
-from .common import Scratch, attach, global_rank
+from .common import Scratch, attach, columns_of, free_names, global_rank, sums_before
 
 BITS = 8
 SHARDS = 8
@@ -50,55 +49,60 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _quantised(rows: DataFrame, name: str, bits: int) -> DataFrame:
-    """rows with column _q_<name>: the level of column <name>; null is level 0."""
+def _quantised(rows: DataFrame, name: str, level: str, bits: int, total: int, scratch: Scratch) -> DataFrame:
+    """rows with column `level`: the level of column `name`; null is level 0."""
     levels = 1 << bits
     if isinstance(rows.schema[name].dataType, StringType):
-        # a value's level is where its middle lies among all rows sorted by value; one row per value here
-        values = rows.groupBy(F.col(name).alias("_value")).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(W.orderBy(F.col("_value").asc_nulls_first()))
-        total = F.sum("_n").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-        at = F.least(F.floor((upto - F.col("_n") / 2) * levels / total), F.lit(levels - 1)).cast("int")
-        values = values.select(F.col("_value").alias(name), F.when(F.col("_value").isNull(), 0).otherwise(at).alias(f"_q_{name}"))
-        return attach(rows, values, name, F.col("doc_id"))
+        # a value's level is where its middle lies among all rows sorted by value
+        values = scratch.table(rows.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n")), f"values_{level}")
+        placed = sums_before(scratch, values, [F.col("value").asc_nulls_first()], {"before": F.col("n")}, f"placed_{level}")
+        at = F.least(F.floor((F.col("before") + F.col("n") / 2) * levels / max(1, total)), F.lit(levels - 1)).cast("int")
+        placed = placed.select(F.col("value").alias(name), F.when(F.col("value").isNull(), 0).otherwise(at).alias(level))
+        return attach(rows, scratch.table(placed, f"levels_{level}"), name, F.struct(*columns_of(rows)))
     cuts = rows.agg(F.percentile_approx(F.col(name).cast("double"), [i / levels for i in range(1, levels)], 10 * levels)).first()[0]
     cuts = sorted(set(cuts or []))  # below 2**bits numbers
     if not cuts:
-        return rows.withColumn(f"_q_{name}", F.lit(0))
+        return rows.withColumn(level, F.lit(0))
     bounds = F.array(*[F.lit(float(c)) for c in cuts])
     at = F.size(F.filter(bounds, lambda b: b <= F.col(name).cast("double")))
-    return rows.withColumn(f"_q_{name}", F.when(F.col(name).isNull(), 0).otherwise(at).cast("int"))
+    return rows.withColumn(level, F.when(F.col(name).isNull(), 0).otherwise(at).cast("int"))
 
 
 def hilbert_shards(rows: DataFrame, dims: list[str], n_shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """rows (doc_id and at least the columns dims) with columns curve, shard, slot: row counts one apart at most.
 
-    Null ids and null dimensions count as lowest. Equal rows keep an arbitrary order among themselves; whatever
-    order that is, the result is the same set of rows. An empty table gives an empty result.
+    The order is by curve, then by id, so rows of equal texts lie together only as far as their metadata do: with row
+    counts one apart at most, a group of copies that holds a third of all rows can't stay in one shard. Null ids and
+    null dimensions count as lowest. Equal rows keep an arbitrary order among themselves; whatever order that is, the
+    result is the same set of rows. Columns curve, shard and slot of rows are replaced, others may have any names. An
+    empty table gives an empty result.
     """
     if bits * len(dims) > 62:
         raise ValueError("the curve index must fit 62 bits")
+    if {"curve", "shard", "slot"} & set(dims):
+        raise ValueError("curve, shard and slot can't be dimensions")
     scratch = Scratch(rows.sparkSession, "shard")
-    rows = scratch.table(rows, "rows")
+    rows = scratch.table(rows.drop("curve", "shard", "slot"), "rows")
+    total = rows.count()
+    *levels, rank = free_names(rows, len(dims) + 1)
     placed = rows
-    for d in dims:
-        placed = _quantised(placed, d, bits)
+    for d, level in zip(dims, levels, strict=True):
+        placed = _quantised(placed, d, level, bits, total, scratch)
 
     @F.pandas_udf("long")
     def index(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in it:
             yield pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns]), bits))
 
-    placed = placed.withColumn("curve", index(*[F.col(f"_q_{d}") for d in dims]))
-    placed = scratch.table(placed.select(*rows.columns, "curve"), "placed")
-    ties = [F.col(c).asc_nulls_first() for c in rows.columns if c != "doc_id"]
-    ranked = global_rank(scratch, placed, [F.col("curve").asc(), F.col("doc_id").asc_nulls_first(), *ties], "ranked")
-    total = placed.count()
+    placed = placed.withColumn("curve", index(*levels))
+    placed = scratch.table(placed.select(*columns_of(rows), "curve"), "placed")
+    ties = [c.asc_nulls_first() for c, (name, kind) in zip(columns_of(rows), rows.dtypes, strict=True) if name != "doc_id" and not kind.startswith(("map", "variant"))]
+    ranked = global_rank(scratch, placed, [F.col("curve").asc(), F.col("doc_id").asc_nulls_first(), *ties], "ranked", into=rank)
     if not total:
-        return ranked.withColumn("shard", F.lit(0)).withColumn("slot", F.col("rank")).drop("rank")
-    shard = F.expr(f"rank * {n_shards} div {total}").cast("int")
+        return ranked.withColumn("shard", F.lit(0)).withColumnRenamed(rank, "slot")
+    shard = F.expr(f"{rank} * {n_shards} div {total}").cast("int")
     first = F.expr(f"(shard * {total}L + {n_shards - 1}) div {n_shards}")
-    return ranked.withColumn("shard", shard).withColumn("slot", F.col("rank") - first).drop("rank")
+    return ranked.withColumn("shard", shard).withColumn("slot", F.col(rank) - first).drop(rank)
 
 
 def manifest(sharded: DataFrame, dims: list[str]) -> DataFrame:

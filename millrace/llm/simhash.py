@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.components import components
 
-from .common import MAX_BROADCAST_ROWS, Scratch, free_names, lookup, values
+from .common import MAX_BROADCAST_ROWS, Scratch, columns_of, free_names, lookup, values
 
 SHINGLE = 3
 SEED = 42
@@ -262,4 +262,4 @@ def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
     kept = kept.withColumnsRenamed(dict(zip(("one", "two", "rows"), names[:3], strict=True)))
     found = lookup(_marked(docs, names[0], names[1], names[3]), kept, names[:2], names[2], "inner")
     found = found.where(F.col("doc_id").eqNullSafe(F.col(names[4])) & (F.col(names[3]) == F.col(names[5])))
-    return found.dropDuplicates([names[0], names[1]]).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return found.dropDuplicates([names[0], names[1]]).select(*columns_of(docs))

@@ -37,8 +37,9 @@ from .tokens import encoder
 
 BLOCK_BYTES = 64 * 1024
 BITS_A_KEY, PROBES = 10, 7
-#: Documents in one shard; shards are cut at quantiles of the id.
-SHARD_ROWS = 8_192
+#: Documents in one shard, which are cut at quantiles of the id; and the most shards, since the driver keeps a list of
+#: them: in larger tables shards hold more documents.
+SHARD_ROWS, MAX_SHARDS = 8_192, 65_536
 FOOTER = struct.Struct("<QQQQQII8s")
 MAGIC = b"mrsstbl1"
 
@@ -178,26 +179,37 @@ def _uri(path: str) -> str:
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Write docs (doc_id, text) as shards and return their list: shard, path, entries, ids, in ascending order.
 
-    A null or empty text is the end id alone. Repeated ids lie next to each other, in order of their texts; a null
-    id comes first. An empty table gives no shard.
+    A null or empty text is the end id alone. Repeated ids lie next to each other, in order of their texts within a
+    file; a null id comes first. An id (or none) that more rows have than a shard shall hold fills several shards that
+    hold nothing else, its rows dealt out evenly. An empty table gives no shard.
     """
-    total = docs.count()
-    n = max(1, -(-total // shard_rows))
+    counts = docs.agg(F.count("*").alias("all"), F.count("doc_id").alias("named")).first()
+    shard_rows = max(shard_rows, -(-counts["all"] // MAX_SHARDS))
+    nameless = -(-(counts["all"] - counts["named"]) // shard_rows)
+    n = max(1, -(-counts["named"] // shard_rows))
     cuts: list[int] = []
     if n > 1:
+        # an id with very many rows is several quantiles
         steps = [i / n for i in range(1, n)]
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", steps, max(10_000, 10 * n))).first()[0] or []))
+        cuts = sorted(docs.agg(F.percentile_approx("doc_id", steps, max(10_000, 10 * n))).first()[0] or [])
     folder = _uri(scratch.path("shards"))
+    n += nameless
     # a number for each shard whose hash sends it to a partition of its own
     shuffled = docs.sparkSession.range(int(n * (math.log(n) + 12))).select(F.col("id").cast("int").alias("key"))
     keys = shuffled.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("to")).agg(F.min("key").alias("key")).orderBy("to").toPandas()["key"]
     shared = docs.sparkSession.sparkContext.broadcast((np.array(cuts, np.int64), np.resize(keys.to_numpy(), n)))
 
     @F.pandas_udf("shard int, key int")
-    def place(ids: pd.Series) -> pd.DataFrame:
+    def place(ids: pd.Series, row: pd.Series) -> pd.DataFrame:
         bounds, keys = shared.value
-        shard = np.searchsorted(bounds, ids.fillna(-(1 << 63)).astype("int64").to_numpy(), side="right")
-        return pd.DataFrame({"shard": shard, "key": keys[shard]})
+        none, row = ids.isna().to_numpy(), row.to_numpy()
+        known = ids.fillna(0).astype("int64").to_numpy()
+        low, high = (np.searchsorted(bounds, known, side=s) for s in ("left", "right"))
+        # an id that is one cut begins the shard after it; one that is several has all but the last for itself
+        alone = high - low > 1
+        shard = nameless + np.where(alone, low + 1 + row % np.maximum(1, high - low - 1), high)
+        shard = np.where(none, row % max(1, nameless), shard)
+        return pd.DataFrame({"shard": shard.astype("int32"), "key": keys[shard]})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), struct.pack("<I", end_id)
@@ -227,7 +239,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch,
         names = ["shard", "path", "entries", "ids"]
         yield pa.RecordBatch.from_pydict({k: [d[i] for d in done] for i, k in enumerate(names)}, pa.schema(list(zip(names, [pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True))))
 
-    placed = docs.select(place("doc_id").alias("at"), "doc_id", "text").select("at.shard", "at.key", "doc_id", "text")
+    placed = docs.select(place("doc_id", F.monotonically_increasing_id()).alias("at"), "doc_id", "text").select("at.shard", "at.key", "doc_id", "text")
     ordered = placed.repartition(n, "key").select("shard", "doc_id", "text").sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return scratch.table(ordered.mapInArrow(write, "shard int, path string, entries long, ids long"), "list")
 
@@ -235,7 +247,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch,
 def read_shards(shards: DataFrame) -> DataFrame:
     """Go through the files of a list of shards: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
     before, starts = 0, []
-    for r in shards.orderBy("shard").collect():  # one row for each file
+    for r in shards.orderBy("shard").collect():  # one row for each file, about MAX_SHARDS at most
         starts.append((r["path"], before))
         before += r["ids"]
     spark = shards.sparkSession

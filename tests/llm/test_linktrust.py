@@ -33,7 +33,7 @@ def test_ranks_against_matrices(spark):
     links = spark.createDataFrame([(hosts[i], hosts[j], int(n[i, j])) for i in range(12) for j in range(12) if n[i, j]], "src string, dst string, n long")
     trusted, blocked = np.eye(12)[0] + 2 * np.eye(12)[3], np.eye(12)[5]
     seeds = spark.createDataFrame([(h, float(t), float(b)) for h, t, b in zip(hosts, trusted, blocked, strict=True)], "host string, trusted double, blocked double")
-    found = {r["host"]: r for r in linktrust.spread(seeds, links, Scratch(spark, "t"), rounds=60, tolerance=1e-9).collect()}
+    found = {r["host"]: r for r in linktrust.spread(seeds, links, Scratch(spark, "t"), tolerance=1e-9).collect()}
 
     def rank(m, seed):
         seed = seed / seed.sum()
@@ -70,3 +70,49 @@ def test_a_hot_blocked_host_changes_no_other_verdict(spark):
     assert all(found[4003 + 10 * k] == "block" for k in range(20))
     assert all(found[5000 + i] == "block" for i in range(20))
     assert all(found[6000 + i] == "allow" for i in range(18))
+
+
+def plain_judge(pages):
+    """page_id to verdict, with dense matrices; pages: (page_id, host, path, links)."""
+    ruled = {}
+    for i, host, path, _ in pages:
+        fits = [(len(h + p), len(h), h, p, kind) for kind, h, p in linktrust.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        ruled[i] = max(fits)[4] if fits else None
+    hosts = sorted({h for _, h, _, _ in pages} | {x for *_, links in pages for x in links})
+    at = {h: k for k, h in enumerate(hosts)}
+    kinds = {h: [] for h in hosts}
+    n = np.zeros((len(hosts), len(hosts)))
+    for i, h, _, links in pages:
+        kinds[h].append(ruled[i])
+        for x in links:
+            n[at[h], at[x]] += x != h
+    seed = {k: np.array([float(2 * kinds[h].count(k) > len(kinds[h]) > 0) for h in hosts]) for k in ("allow", "block")}
+
+    def reach(m, s):
+        p = m / np.maximum(m.sum(1, keepdims=True), 1)
+        return np.linalg.solve(np.eye(len(hosts)) - 0.85 * p.T, s)
+
+    trust, distrust = reach(n, seed["allow"]), reach(n.T, seed["block"])
+    margin = [abs(distrust[k] * len(hosts) - 0.5) < 1e-2 or abs(distrust[k] - trust[k]) * len(hosts) < 1e-2 for k in range(len(hosts))]
+    bad = (seed["block"] > 0) | ((distrust * len(hosts) > 0.5) & (distrust > trust))
+    return {i: ruled[i] or ("block" if bad[at[h]] else "allow") for i, h, _, _ in pages}, {i for i, h, _, _ in pages if margin[at[h]] and not ruled[i]}
+
+
+def test_judge_over_a_linked_web_against_matrices(spark, monkeypatch):
+    """1,500 hosts, of which one is linked to by a third: the method's verdicts, host by host."""
+    rng = np.random.default_rng(9)
+    names = [f"h{k}.{'org' if k < 40 else 'net' if k < 120 else 'info'}" for k in range(1_500)]
+    pages = []
+    for k, h in enumerate(names):
+        for j in range(1 + k % 3):
+            path = "/es/x" if k < 40 and j < 2 else "/de/x" if 40 <= k < 120 and j < 2 else f"/p{j}"
+            links = [names[int(x)] for x in rng.zipf(1.3, 4) - 1 if x <= 1_500] + ([names[0]] if k % 3 == 0 and k >= 120 else [])
+            pages.append((len(pages), h, path, links))
+    want, unsure = plain_judge(pages)
+    rows = [(i, f"https://{h.upper()}{path}?q", " ".join(f"<a href='http://{x}/'>" for x in links) or None) for i, h, path, links in pages]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for hot in (linktrust.HOT_ROWS, 3):  # with and without hosts that count as hot
+        monkeypatch.setattr(linktrust, "HOT_ROWS", hot)
+        found = {r["page_id"]: r["verdict"] for r in linktrust.judge(frame).collect()}
+        assert len(unsure) < 60 and all(found[i] == want[i] for i in want if i not in unsure)
+    assert 100 < sum(v == "block" for v in want.values()) < len(want) - 100

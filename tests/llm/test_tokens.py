@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -94,6 +95,19 @@ def test_shards(spark, whole):
     assert sstable.read_shards(sstable.write_shards(empty(spark), PATH, 2, Scratch(spark, "none"))).count() == 0
 
 
+def test_hot_ids_fill_shards_of_their_own(spark, whole):
+    rows = [(7, f"hot {i}") for i in range(400)] + [(None, "none")] * 300 + [(i, f"text {i}") for i in range(-50, 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    shards = sstable.write_shards(docs, PATH, 2, Scratch(spark, "hot"), shard_rows=40)
+    sizes = [r["entries"] for r in shards.collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 130 and len(sizes) >= 15
+    found = sorted(sstable.read_shards(shards).collect(), key=lambda r: r["start"])
+    order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in found]
+    assert order == sorted(order) and Counter(r["doc_id"] for r in found) == Counter(i for i, _ in rows)
+    ends = [r["start"] + r["n_tokens"] for r in found]
+    assert [r["start"] for r in found] == [0, *ends[:-1]]
+
+
 def test_files_of_many_blocks(tmp_path):
     keys = sorted([*range(-50, 3000, 3), 30, 30, 30])
     with open(tmp_path / "x", "wb") as f:
