@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,17 +49,20 @@ def _order(token: bytes) -> tuple[int, ...]:
 def learn(counts: dict[str, int], merges: int) -> list[tuple[bytes, bytes]]:
     """Merges learned from words and their counts: each time the most frequent pair, ties to the greatest bytes.
 
-    Only words that hold the merged pair are looked at again; the heap may hold outdated entries, which are put back
-    with their true count when they come up.
+    Symbols are numbers. Only words that hold the merged pair are looked at again, and in those only the pairs beside
+    the places of the merge change their counts; the heap may hold outdated entries, which are put back with their
+    true count when they come up.
     """
-    words = [(list(map(lambda b: bytes([b]), w.encode("utf-8"))), n) for w, n in counts.items() if w]
-    total: Counter = Counter()
-    inside: dict[tuple[bytes, bytes], set[int]] = defaultdict(set)
+    tokens = [bytes([b]) for b in range(256)]
+    order = [_order(t) for t in tokens]
+    words = [(list(w.encode("utf-8")), n) for w, n in counts.items() if w]
+    total: dict[tuple[int, int], int] = defaultdict(int)
+    inside: dict[tuple[int, int], set[int]] = defaultdict(set)
     for k, (symbols, n) in enumerate(words):
         for pair in zip(symbols, symbols[1:]):  # noqa: B905
             total[pair] += n
             inside[pair].add(k)
-    entry = lambda pair: (-total[pair], _order(pair[0]), _order(pair[1]), pair)
+    entry = lambda pair: (-total[pair], order[pair[0]], order[pair[1]], pair)
     heap = [entry(p) for p in total]
     heapq.heapify(heap)
     learned: list[tuple[bytes, bytes]] = []
@@ -68,26 +72,41 @@ def learn(counts: dict[str, int], merges: int) -> list[tuple[bytes, bytes]]:
             if total[pair] > 0:
                 heapq.heappush(heap, entry(pair))
             continue
-        learned.append(pair)
+        a, b = pair
+        learned.append((tokens[a], tokens[b]))
+        made = len(tokens)
+        tokens.append(tokens[a] + tokens[b])
+        order.append(_order(tokens[made]))
         grown = set()
         for k in inside.pop(pair):
             symbols, times = words[k]
-            before = Counter(zip(symbols, symbols[1:]))  # noqa: B905
-            symbols[:] = merge(symbols, pair)
-            after = Counter(zip(symbols, symbols[1:]))  # noqa: B905
-            for p in before.keys() | after.keys():
-                change = after[p] - before[p]
-                if change:
-                    total[p] += change * times
-                    if change > 0:
-                        grown.add(p)
-                if after[p]:
-                    inside[p].add(k)
-                elif p in inside:
-                    inside[p].discard(k)
+            at = 0
+            while True:
+                try:
+                    at = symbols.index(a, at)
+                except ValueError:
+                    break
+                if at + 1 >= len(symbols) or symbols[at + 1] != b:
+                    at += 1
+                    continue
+                symbols[at : at + 2] = [made]
+                if at:
+                    left = symbols[at - 1]
+                    total[left, a] -= times
+                    total[left, made] += times
+                    inside[left, made].add(k)
+                    grown.add((left, made))
+                if at + 1 < len(symbols):
+                    right = symbols[at + 1]
+                    total[b, right] -= times
+                    total[made, right] += times
+                    inside[made, right].add(k)
+                    grown.add((made, right))
+                at += 1
         del total[pair]
         for p in grown:
-            heapq.heappush(heap, entry(p))
+            if total[p] > 0:
+                heapq.heappush(heap, entry(p))
     return learned
 
 
@@ -142,6 +161,20 @@ def _learn_spread(words: DataFrame, merges: int, scratch: Scratch) -> list[tuple
     return learned
 
 
+class _Words(dict):
+    """Ids by word, made where they are missing."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str) -> list[int]:
+        self[word] = ids = self.make(word)
+        return ids
+
+    def __reduce__(self):
+        return _Words, (self.make,)
+
+
 class Codec:
     """Encodes and decodes with a vocabulary and merges; words are remembered up to a bound."""
 
@@ -157,32 +190,32 @@ class Codec:
         self.rank = {p: k for k, p in enumerate(merges)}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.pattern = regex.compile(tx.PRETOKEN)
-        self.known: dict[str, list[int]] = {}
+        self.special_ids = {s: self.ids[s.encode("utf-8")] for s in self.specials}
+        self.known = _Words(self._make)
 
     def word(self, word: str) -> list[int]:
-        found = self.known.get(word)
-        if found is None:
-            symbols = [bytes([b]) for b in word.encode("utf-8")]
-            while len(symbols) > 1:
-                pair = min(zip(symbols, symbols[1:]), key=lambda p: self.rank.get(p, len(self.rank)))  # noqa: B905
-                if pair not in self.rank:
-                    break
-                symbols = merge(symbols, pair)
-            found = [self.ids[s] for s in symbols]
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        """Ids of a word; remembered, up to CACHE words."""
+        return self.known[word]
+
+    def _make(self, word: str) -> list[int]:
+        symbols = [bytes([b]) for b in word.encode("utf-8")]
+        while len(symbols) > 1:
+            pair = min(zip(symbols, symbols[1:]), key=lambda p: self.rank.get(p, len(self.rank)))  # noqa: B905
+            if pair not in self.rank:
+                break
+            symbols = merge(symbols, pair)
+        return [self.ids[s] for s in symbols]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for null."""
         out: list[int] = []
         for part in self.split.split(text or "") if self.split else [text or ""]:
-            if part in self.specials:
-                out.append(self.ids[part.encode("utf-8")])
+            if part in self.special_ids:
+                out.append(self.special_ids[part])
             else:
-                for m in self.pattern.finditer(part):
-                    out += self.word(m.group())
+                out += chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(part)))
+        if len(self.known) >= CACHE:
+            self.known.clear()
         return out
 
     def encode_iterable(self, chunks: Iterable[str]) -> Iterator[int]:

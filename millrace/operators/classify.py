@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import HashingTF, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let
@@ -37,45 +38,81 @@ def word_grams(text: Column) -> Column:
     return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
-def _scored(model: PipelineModel, rows: DataFrame, labels: list[str]) -> DataFrame:
-    found = model.transform(rows)
-    names = F.array(*[F.lit(x) for x in labels])
-    return found.select("doc_id", F.element_at(names, F.col("prediction").cast("int") + 1).alias("label"), F.array_max(vector_to_array("probability")).alias("score"))
+@dataclass
+class Classifier:
+    """A fitted pipeline and the names of its classes; without a model (nothing to learn from) it names nothing."""
 
+    model: PipelineModel | None
+    labels: list[str]
 
-def language(docs: DataFrame, labelled: DataFrame, fit_rows: int = 2_000) -> DataFrame:
-    """doc_id, label, score: naive Bayes on hashed character 3-grams, fitted on about fit_rows labelled texts.
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows (.., grams) with label and score; null and 0 without a model."""
+        if self.model is None:
+            return rows.withColumns({"label": F.lit(None).cast("string"), "score": F.lit(0.0)})
+        names = F.array(*[F.lit(x) for x in self.labels])
+        label = F.element_at(names, F.col("prediction").cast("int") + 1)
+        return self.model.transform(rows).withColumns({"label": label, "score": F.array_max(vector_to_array("probability"))})
 
-    Texts of which a fifth or more of the letters are Chinese characters are zh, whether or not that was learned.
-    """
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the classifier to a folder."""
+        rows = [(k, x, self.model is not None) for k, x in enumerate(self.labels)] or [(-1, "", False)]
+        spark.createDataFrame(rows, "k int, label string, learned boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+        if self.model is not None:
+            self.model.write().overwrite().save(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Classifier":
+        rows = spark.read.parquet(f"{path}/labels").orderBy("k").collect()
+        return cls(PipelineModel.load(f"{path}/model") if rows[0]["learned"] else None, [r["label"] for r in rows if r["k"] >= 0])
+
+
+def _sample(known: DataFrame, rows: int) -> DataFrame:
+    """About so many of the rows, drawn by a hash of id and text."""
+    share = min(1.0, rows / max(1, known.count()))
+    return known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+
+
+def fit_language(labelled: DataFrame, fit_rows: int = 2_000) -> Classifier:
+    """Naive Bayes on hashed character 3-grams, fitted on about fit_rows of the labelled texts (doc_id, text, lang)."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, fit_rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
-    grams = chosen.select("lang", character_grams(F.col("text")).alias("grams"))
-    steps = [StringIndexer(inputCol="lang", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"), HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="x"), NaiveBayes(featuresCol="x", labelCol="y")]
-    indexer = steps[0].fit(grams)
-    model = Pipeline(stages=steps[1:]).fit(indexer.transform(grams))
-    rows = docs.select("doc_id", "text", character_grams(F.col("text")).alias("grams"))
-    found = _scored(model, rows, list(indexer.labels))
-    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
-    chinese = F.length(F.regexp_replace("text", r"[^\p{IsHan}]", ""))
-    zh = docs.select(F.col("doc_id").alias("_id"), (F.coalesce(chinese / F.nullif(letters, F.lit(0)), F.lit(0.0))).alias("_zh"))
-    joined = found.join(zh, F.col("doc_id") == F.col("_id"))
-    is_zh = F.col("_zh") >= CJK_SHARE
-    return joined.select("doc_id", F.when(is_zh, "zh").otherwise(F.col("label")).alias("label"), F.when(is_zh, F.col("_zh")).otherwise(F.col("score")).alias("score"))
+    grams = _sample(known, fit_rows).select("lang", character_grams(F.col("text")).alias("grams"))
+    if not grams.limit(1).count():
+        return Classifier(None, [])
+    indexer = StringIndexer(inputCol="lang", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(grams)
+    steps = [HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="x"), NaiveBayes(featuresCol="x", labelCol="y")]
+    return Classifier(Pipeline(stages=steps).fit(indexer.transform(grams)), list(indexer.labels))
 
 
-def binary(docs: DataFrame, labels: DataFrame, column: str, names: tuple[str, str], fit_rows: int = 4_000) -> DataFrame:
-    """doc_id, label, score: logistic regression on hashed words and word pairs; names: of 0 and of 1.
+def language(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: int = 2_000, classifier: Classifier | None = None) -> DataFrame:
+    """doc_id, label, score of every row of docs, by a classifier or by one that is fitted on labelled.
 
-    It is fitted on about fit_rows of the labelled documents, drawn by a hash of the id.
+    Texts of which a fifth or more of the letters are Chinese characters are zh, whether or not that was learned. Null
+    texts count as empty, ids may be null or repeat. Where there was nothing to learn from, the label is null.
     """
-    known = docs.join(labels.select("doc_id", F.col(column).cast("double").alias("y")), "doc_id")
-    share = min(1.0, fit_rows / max(1, labels.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    classifier = classifier or fit_language(labelled, fit_rows)
+    text = F.coalesce("text", F.lit(""))
+    letters, chinese = (F.length(F.regexp_replace(text, signs, "")) for signs in (r"[^\p{L}]", r"[^\p{IsHan}]"))
+    share = F.coalesce(chinese / F.nullif(letters, F.lit(0)), F.lit(0.0))
+    found = classifier.scored(docs.select("doc_id", character_grams(F.col("text")).alias("grams"), share.alias("zh")))
+    is_zh = F.col("zh") >= CJK_SHARE
+    return found.select("doc_id", F.when(is_zh, "zh").otherwise(F.col("label")).alias("label"), F.when(is_zh, F.col("zh")).otherwise(F.col("score")).alias("score"))
+
+
+def fit_binary(docs: DataFrame, labels: DataFrame, column: str, names: tuple[str, str], fit_rows: int = 4_000) -> Classifier:
+    """Logistic regression on hashed words and word pairs; names: of 0 and of 1. It is fitted on about fit_rows of the
+    documents that have a label, null labels aside."""
+    known = docs.join(labels.where(F.col(column).isNotNull()).select("doc_id", F.col(column).cast("double").alias("y")), "doc_id").select("doc_id", "text", "y")
+    chosen = _sample(known, fit_rows).select("y", word_grams(F.col("text")).alias("grams"))
+    if not chosen.limit(1).count():
+        return Classifier(None, [])
     steps = [HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", maxIter=20, regParam=0.01)]
-    model = Pipeline(stages=steps).fit(chosen.select("y", word_grams(F.col("text")).alias("grams")))
-    return _scored(model, docs.select("doc_id", word_grams(F.col("text")).alias("grams")), list(names))
+    return Classifier(Pipeline(stages=steps).fit(chosen), list(names))
+
+
+def binary(docs: DataFrame, labels: DataFrame, column: str, names: tuple[str, str], fit_rows: int = 4_000) -> DataFrame:
+    """doc_id, label, score of every row of docs; null and 0 where there was nothing to learn from."""
+    found = fit_binary(docs, labels, column, names, fit_rows).scored(docs.select("doc_id", word_grams(F.col("text")).alias("grams")))
+    return found.select("doc_id", "label", "score")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -45,16 +45,38 @@ def with_gradient(params: DataFrame, grads: DataFrame) -> DataFrame:
     return params.join(grads.select("param", "idx", "grad"), ["param", "idx"])
 
 
-def sharded_step(state: DataFrame, grads: DataFrame, owners: int, lr: float, **how: float) -> DataFrame:
-    """state (param, idx, p, m, v, t) after one AdamW step, with the owner of each parameter.
+def adamw_rule(lr: float, **how: float):
+    """AdamW as a rule for sharded_step(): state columns p, m, v, t."""
+    return lambda grad: adamw(F.col("p"), grad, F.col("m"), F.col("v"), F.col("t") + 1, lr, **how)
 
-    Parameters in order of name are dealt to owners in turn, and each owner keeps the state of its own: rows are laid
-    out by owner before the step. A parameter without a gradient stays as it is.
+
+def sgd_rule(lr: float):
+    """Plain gradient descent as a rule for sharded_step(): state column p."""
+    return lambda grad: F.struct((F.col("p") - F.lit(lr) * grad).alias("p"))
+
+
+def reduced_buckets(grads: DataFrame, buckets: DataFrame) -> DataFrame:
+    """bucket, param, idx, grad: means over workers (rank, param, idx, grad), bucket by bucket (param, bucket), laid out so
+    that each task holds parts of one bucket. Parameters of no bucket are left out."""
+    placed = grads.join(F.broadcast(buckets), "param")  # one row for each parameter
+    workers = grads.agg(F.count_distinct("rank").alias("workers"))
+    summed = placed.groupBy("bucket", "param", "idx").agg(F.sum("grad").alias("s"))
+    return summed.join(F.broadcast(workers)).select("bucket", "param", "idx", (F.col("s") / F.col("workers")).alias("grad"))
+
+
+def sharded_step(state: DataFrame, grads: DataFrame, owners: int, lr: float | None = None, rule=None, **how: float) -> DataFrame:
+    """state (param, idx, p and what the rule keeps) after one step, with the owner of each parameter.
+
+    rule: from the gradient's column to a struct of the new state; AdamW (p, m, v, t) with the rate lr by default.
+    Parameters in order of name are dealt to owners in turn. Rows are laid out by owner and place, so an owner's state
+    is spread over as many tasks as it needs. A parameter without a gradient stays as it is.
     """
+    rule = rule or adamw_rule(lr, **how)
+    kept_columns = [c for c in state.columns if c not in ("param", "idx")]
     names = state.select("param").distinct()
     order = W.orderBy("param")  # one row for each parameter
     owned = names.select("param", F.pmod(F.row_number().over(order) - 1, F.lit(owners)).alias("owner"))
-    rows = state.join(owned, "param").join(grads.select("param", "idx", "grad"), ["param", "idx"], "left").repartition("owner")
-    step = adamw(F.col("p"), F.col("grad"), F.col("m"), F.col("v"), F.col("t") + 1, lr, **how)
-    kept = F.struct(F.col("p").alias("p"), F.col("m").alias("m"), F.col("v").alias("v"), F.col("t").alias("t"))
+    rows = state.join(owned, "param").join(grads.select("param", "idx", "grad"), ["param", "idx"], "left").repartition("owner", "param", "idx")
+    step = rule(F.col("grad"))
+    kept = F.struct(*[F.col(c).alias(c) for c in kept_columns])
     return rows.select("param", "idx", "owner", F.when(F.col("grad").isNull(), kept).otherwise(step).alias("s")).select("param", "idx", "owner", "s.*")

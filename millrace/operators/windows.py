@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let
+from millrace.ordering import free_names, sums_before
+from millrace.scratch import Scratch
 
 
 def next_tokens(tokens: Column) -> Column:
@@ -70,9 +72,11 @@ def top_p(probabilities: DataFrame, p: float) -> DataFrame:
 
 
 def draw(probabilities: DataFrame, u: float) -> DataFrame:
-    """The item whose share of [0, 1) holds u, items in order (one multinomial draw)."""
-    upto = F.sum("p").over(W.orderBy("item"))
-    return probabilities.withColumn("_upto", upto).where(F.col("_upto") > u).orderBy("_upto").limit(1).select("item", "p")
+    """The item whose share of [0, 1) holds u, items in order (one multinomial draw). The running sum is taken range by
+    range; where u lies beyond the sum of all, since that isn't quite 1, there is no row."""
+    (before,) = free_names(1, probabilities)
+    placed = sums_before(Scratch(probabilities.sparkSession, "draw"), probabilities, [F.col("item").asc()], {before: F.col("p")}, "items")
+    return placed.where((F.col(before) <= u) & (F.col(before) + F.col("p") > u)).orderBy(before).limit(1).select("item", "p")
 
 
 def round_robin(position: Column, n: int) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from millrace.functions import gopher, html, pii
 from millrace.functions import text as tx
 from millrace.operators import classify, dedup
+from millrace.scratch import Scratch
 from millrace.session import table
 from millrace.sources import text as source
+from millrace.sources import warc
 
 PARAMS = dedup.MinHash(hashes=100, bands=10, ngrams=5, threshold=0.8)
 
@@ -102,23 +104,28 @@ def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of documents that share a bucket; equal normalised texts are one document, the first."""
-    return dedup.candidates(dedup.bands(dedup.signatures(_firsts(spark, d), PARAMS), PARAMS))
+    """Pairs of documents that share a bucket, of different normalised texts, and each further copy of a text with the first."""
+    firsts, copies = _firsts(spark, d)
+    return dedup.candidates(dedup.bands(dedup.signatures(firsts, PARAMS), PARAMS)).unionByName(copies)
 
 
-def _firsts(spark: SparkSession, d: str) -> DataFrame:
+def _firsts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text of the first document of each normalised text; a, b: that document and each other of the same text)."""
     docs = _docs(spark, d)
-    normal = docs.select("doc_id", tx.normalised(F.col("text")).alias("t"))
-    first = normal.where("t <> ''").groupBy(_digest("t")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.select("doc_id", "text").join(first, "doc_id", "left_semi")
+    normal = docs.select("doc_id", tx.normalised(F.col("text")).alias("t")).where("t <> ''").select("doc_id", _digest("t").alias("digest"))
+    normal = Scratch(spark, "firsts").table(normal, "normal")
+    first = normal.groupBy("digest").agg(F.min("doc_id").alias("a"))
+    copies = normal.join(first, "digest").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    return docs.select("doc_id", "text").join(first.select(F.col("a").alias("doc_id")), "doc_id", "left_semi"), copies
 
 
 def shingle_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs with their similarity, where that is 0.8 or more."""
-    docs = _firsts(spark, d)
-    pairs = dedup.candidates(dedup.bands(dedup.signatures(docs, PARAMS), PARAMS))
-    near = dedup.jaccard(pairs, dedup.shingled(docs, PARAMS.ngrams)).where(F.col("similarity") >= PARAMS.threshold)
-    return near.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """All pairs of different normalised texts whose similarity is 0.8 or more, and each further copy of a text with the
+    first, at 1."""
+    docs, copies = _firsts(spark, d)
+    scratch = Scratch(spark, "jaccard")
+    near = dedup.near_pairs(scratch.table(dedup.shingled(docs, PARAMS.ngrams), "sets"), PARAMS.threshold, scratch)
+    return near.select("a", "b", F.round("similarity", 6).alias("similarity")).unionByName(copies.withColumn("similarity", F.lit(1.0)))
 
 
 def minhash_dedup_survivors(spark: SparkSession, d: str) -> DataFrame:
@@ -156,11 +163,28 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def warc_wet_join(spark: SparkSession, d: str) -> DataFrame:
-    """Own text of each page beside the first 500 characters of another extraction, joined on url."""
-    pages = table(spark, d, "pages")
-    own = pages.select("url", "page_id", html.html_text_plain(F.col("html")).alias("own"))
-    other = pages.select("url", F.col("page_id").alias("other_id"), source.preview(F.col("html")).alias("preview"))
-    return own.join(other, "url").select("page_id", "other_id", F.length("own").cast("long").alias("own_length"), _digest("preview").alias("preview_md5"))
+    """Own text of each page of a .warc archive beside the first 500 characters of the .wet archive's, joined on url."""
+    responses, texts = _archives(spark, d)
+    own = responses.select("url", html.html_text_plain(F.col("payload").cast("string")).alias("own"))
+    other = texts.select("url", source.preview(F.col("payload").cast("string")).alias("preview"))
+    return own.join(other, "url").select("url", F.length("own").cast("long").alias("own_length"), _digest("preview").alias("preview_md5"))
+
+
+def _archives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Responses and conversions of pages, as read back from archives that were written of them."""
+    scratch = Scratch(spark, "archive")
+    pages = table(spark, d, "pages").where("url is not null")
+    rows = pages.select("url", F.lit("response").alias("warc_type"), F.encode("html", "UTF-8").alias("payload"))
+    text = rows.withColumns({"warc_type": F.lit("conversion"), "payload": F.encode(html.html_text_plain(F.col("payload").cast("string")), "UTF-8")})
+    warc.write_warc(rows, scratch.path("warc"))
+    warc.write_warc(text, scratch.path("wet"), "none")
+    return warc.read_warc(spark, scratch.path("warc")), warc.read_warc(spark, scratch.path("wet"), ("conversion",))
+
+
+def warc_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every response and every conversion of the archives, by url."""
+    responses, texts = _archives(spark, d)
+    return responses.unionByName(texts).select("url", "warc_type", F.md5("payload").alias("payload_md5"), F.octet_length("payload").cast("long").alias("bytes"))
 
 
 def warc_semi_join(spark: SparkSession, d: str) -> DataFrame:
@@ -205,9 +229,8 @@ def classify_nsfw(spark: SparkSession, d: str) -> DataFrame:
 def curated_by_language(spark: SparkSession, d: str) -> DataFrame:
     """Documents that pass all rules, masked, without repeated lines: how many and how long, by language."""
     docs = _docs(spark, d).where(gopher.passes(F.col("text")))
-    clean = dedup.exact_lines(docs.select("doc_id", pii.mask_all(F.col("text")).alias("text")))
-    langs = docs.select("doc_id", "lang")
-    return clean.join(langs, "doc_id").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("characters"))
+    clean = dedup.exact_lines(docs.select("doc_id", "lang", pii.mask_all(F.col("text")).alias("text")))
+    return clean.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("characters"))
 
 
 _any_nsfw = "(?i)\\b(?:" + "|".join(classify.NSFW_WORDS) + ")\\b"
@@ -229,6 +252,7 @@ QUERIES = {
     "html_text_regex": html_text_regex,
     "html_text": html_text,
     "warc_wet_join": warc_wet_join,
+    "warc_records": warc_records,
     "warc_semi_join": warc_semi_join,
     "first_characters": first_characters,
     "chunk_boundaries": chunk_boundaries,
@@ -253,15 +277,20 @@ SQL = {
     "exact_line_dedup": f"SELECT doc_id, md5(text) AS text_md5 FROM ({_DEDUP.format('documents', _LINES)})",
     "exact_doc_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text",
     "minhash_signature": _minhash_sql().replace("SOURCE", "(SELECT * FROM normal WHERE t <> '')") + " SELECT doc_id, md5(string_agg(m::VARCHAR, ',' ORDER BY k)) AS signature_md5 FROM sig GROUP BY doc_id",
-    "lsh_candidates": _bands_sql() + " SELECT a, b FROM pairs",
-    "shingle_jaccard_pairs": _bands_sql() + " SELECT a, b, round(similarity, 6) AS similarity FROM near",
+    "lsh_candidates": _bands_sql() + " SELECT a, b FROM pairs UNION ALL SELECT f.doc_id, n.doc_id FROM normal n JOIN firsts f ON n.t = f.t AND n.doc_id <> f.doc_id",
+    "shingle_jaccard_pairs": _bands_sql().split(", bands AS")[0]
+    + """, sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON y.g = x.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id)
+SELECT a, b, round(c::DOUBLE / (x.n + y.n - c), 6) AS similarity FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8
+UNION ALL SELECT f.doc_id, n.doc_id, 1.0::DOUBLE FROM normal n JOIN firsts f ON n.t = f.t AND n.doc_id <> f.doc_id""",
     "minhash_dedup_survivors": _bands_sql()
     + """, edges AS (SELECT a AS x, b AS y FROM near UNION SELECT b, a FROM near),
 reach(x, y) AS (SELECT doc_id, doc_id FROM firsts UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
 least AS (SELECT x AS doc_id, min(y) AS cluster FROM reach GROUP BY x)
 SELECT n.doc_id, coalesce(l.cluster, n.doc_id) AS cluster FROM normal n LEFT JOIN firsts f ON n.t = f.t LEFT JOIN least l ON l.doc_id = f.doc_id""",
     "html_text_regex": f"SELECT page_id, md5(t) AS text_md5, length(t)::BIGINT AS n FROM (SELECT page_id, {_PLAIN_SQL} AS t FROM pages)",
-    "warc_wet_join": f"SELECT a.page_id, b.page_id AS other_id, length(a.own)::BIGINT AS own_length, md5(b.preview) AS preview_md5 FROM (SELECT url, page_id, {_PLAIN_SQL} AS own FROM pages) a JOIN (SELECT url, page_id, substr(html, 1, 500) AS preview FROM pages) b ON a.url = b.url",
+    "warc_wet_join": f"SELECT a.url, length(a.own)::BIGINT AS own_length, md5(substr(b.own, 1, 500)) AS preview_md5 FROM (SELECT url, {_PLAIN_SQL} AS own FROM pages) a JOIN (SELECT url, {_PLAIN_SQL} AS own FROM pages) b ON a.url = b.url",
+    "warc_records": f"SELECT url, k AS warc_type, md5(t) AS payload_md5, octet_length(encode(t))::BIGINT AS bytes FROM (SELECT url, 'response' AS k, html AS t FROM pages UNION ALL SELECT url, 'conversion', {_PLAIN_SQL} FROM pages) WHERE url IS NOT NULL",
     "warc_semi_join": """SELECT page_id FROM pages WHERE url IN (SELECT url FROM pages WHERE html LIKE '%lang="de"%')""",
     "first_characters": "SELECT doc_id, least(length(text), 10485760 - at_)::BIGINT AS n FROM (SELECT doc_id, text, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM documents) WHERE at_ < 10485760",
     "chunk_boundaries": """WITH g AS (SELECT doc_id, text, length(text) AS n, greatest(length(text) // 4, 1) AS step FROM documents),

@@ -12,7 +12,7 @@ from millrace.session import table
 from millrace.sources import tokens as token_source
 from millrace.streaming import encode as streaming
 
-VOCAB = 300
+VOCAB = 10_000
 SPECIALS = [tx.END_OF_TEXT]
 TOP_K, TOP_P, TEMPERATURE = 50, 0.9, 0.7
 

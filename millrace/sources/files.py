@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,10 +16,21 @@ from millrace.sources.text import utf8_or_signs
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """doc_id (in order of the paths given), name, text."""
-    order = spark.createDataFrame([(i, p, p.rstrip("/").rsplit("/", 1)[-1]) for i, p in enumerate(paths)], "doc_id long, given string, name string")
+    """doc_id (in order of the paths given), name, text. The name is the file's; where several have the same, the number
+    goes before it, so that names differ."""
+    base = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
+    several = {n for n, k in Counter(base).items() if k > 1}
+    names = [f"{i}-{n}" if n in several else n for i, n in enumerate(base)]
+    order = spark.createDataFrame([(i, _full(spark, p), n) for i, (p, n) in enumerate(zip(paths, names, strict=True))], "doc_id long, path string, name string")
     rows = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select("path", utf8_or_signs("content").alias("text"))
-    return order.join(rows, F.endswith("path", "given")).select("doc_id", "name", "text")
+    return order.join(rows, "path").select("doc_id", "name", "text")
+
+
+def _full(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers give it: with its scheme, and from the root on."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(hadoop).toString()
 
 
 def write_files(docs: DataFrame, folder: str) -> int:
@@ -49,7 +61,7 @@ def write_files(docs: DataFrame, folder: str) -> int:
 def exact_line_files(spark: SparkSession, paths: list[str], folder: str) -> int:
     """Write each file without the lines that occur more than once in all of them."""
     docs = read_files(spark, paths)
-    return write_files(dedup.exact_lines(docs).join(docs.select("doc_id", "name"), "doc_id"), folder)
+    return write_files(dedup.exact_lines(docs), folder)
 
 
 def minhash_files(spark: SparkSession, paths: list[str], folder: str, num_hashes: int, num_bands: int, ngrams: int, jaccard_threshold: float) -> int:

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from millrace.ordering import free_names, sums_before
+from millrace.scratch import Scratch
+
 
 @F.pandas_udf(StringType())
 def utf8_or_signs(data: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -31,16 +33,14 @@ def delimited(spark: SparkSession, path: str, delimiter: str = "<|endoftext|>")
 def first_characters(docs: DataFrame, most: int) -> DataFrame:
     """doc_id, text: texts in order of id as long as they begin within the first `most` characters, the last one cut.
 
-    Lengths are first added up over ranges of ids, so that no task sums over all rows.
+    Lengths are added up range by range, so no task sums over all rows. Rows without an id come first, rows of one id in
+    order of their texts; null texts have no characters.
     """
-    lengths = docs.select("doc_id", F.length("text").alias("n"))
-    span = F.floor(F.col("doc_id") / 1000)
-    ranges = lengths.groupBy(span.alias("span")).agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select("span", before.alias("before")).where(F.col("before") < most)
-    inside = F.coalesce(F.sum(F.length("text")).over(W.partitionBy("span").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = docs.select("doc_id", "text", span.alias("span")).join(ranges, "span").withColumn("at", F.col("before") + inside)
-    return rows.where(F.col("at") < most).select("doc_id", F.substring("text", F.lit(1), (F.lit(most) - F.col("at")).cast("int")).alias("text"))
+    scratch = Scratch(docs.sparkSession, "first")
+    (before,) = free_names(1, docs)
+    rows = docs.select("doc_id", "text")
+    placed = sums_before(scratch, rows, [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()], {before: F.coalesce(F.length("text"), F.lit(0)).cast("long")}, "texts")
+    return placed.where(F.col(before) < most).select("doc_id", F.substring("text", F.lit(1), F.least(F.lit(most) - F.col(before), F.lit((1 << 31) - 1)).cast("int")).alias("text"))
 
 
 def chunk_boundaries(text: Column, chunks: int, delimiter: str) -> Column:

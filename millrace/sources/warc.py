@@ -1,67 +1,53 @@
-"""Web archives: records of .warc and .wet files, plain or gzipped."""
+"""Web archives: records of .warc and .wet files, plain or gzipped, read as a stream of records."""
 
 from __future__ import annotations
 
-import io
-import zlib
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+# Fixed value: what ends a record and begins the next
+_BETWEEN = "\r\n\r\nWARC/1."
+_GAP = "\r\n\r\n"
 
-SCHEMA = "url string, warc_type string, payload binary"
-_SCHEMA = pa.schema([("url", pa.string()), ("warc_type", pa.string()), ("payload", pa.binary())])
 
+def _field(head: Column, name: str) -> Column:
+    found = F.regexp_extract(head, rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1)
+    return F.nullif(found, F.lit(""))
 
-def _unzipped(data: bytes) -> bytes:
-    """All members of a gzip file, or the data as they are."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        data = z.unused_data
-    return b"".join(out)
 
+def _after(text: Column, gap: str) -> Column:
+    """The bytes after the first gap; null if there is none. text: bytes as a string, broken UTF-8 or not."""
+    head = F.octet_length(F.substring_index(text, gap, 1))
+    return F.when(head < F.octet_length(text), F.substring(text.cast("binary"), head + len(gap) + 1, F.octet_length(text)))
 
-def records(data: bytes) -> Iterator[tuple[str | None, str, bytes]]:
-    """(url, type, content) of each record; the content of a response is its body, without the HTTP head."""
-    f = io.BytesIO(_unzipped(data))
-    while line := f.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        head: dict[str, str] = {}
-        while (line := f.readline().rstrip(b"\r\n")) != b"":
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip().lower()] = value.strip()
-        content = f.read(int(head.get("content-length", 0)))
-        kind = head.get("warc-type", "")
-        if kind == "response":
-            for gap in (b"\r\n\r\n", b"\n\n"):
-                if gap in content:
-                    content = content.split(gap, 1)[1]
-                    break
-        yield head.get("warc-target-uri"), kind, content
 
-
-def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("response",)) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("response",), most: int | None = None) -> DataFrame:
     """url, warc_type, payload of the records of the given kinds ("response" of .warc, "conversion" of .wet files).
 
-    The kind is tested as records are read, so others are never handed on.
+    Files are read as text whose lines are records, so a reader holds one record at a time, plain files are split
+    among readers, and gzipped ones are unzipped as they are read. The content of a response is its body, without the
+    HTTP head. most: stop after so many records; no file is read further than that takes. Records without a
+    Content-Length keep all that comes before the next record.
     """
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0):
-                rows: list[tuple] = []
-                for url, kind, content in records(data.as_py()):
-                    if kind in kinds:
-                        rows.append((url, kind, content))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)  # noqa: B905
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)  # noqa: B905
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, SCHEMA)
+    rows = spark.read.option("lineSep", _BETWEEN).text(path).select("value")
+    head = F.substring_index("value", _GAP, 1)
+    rows = rows.select("value", head.alias("head"), F.lower(_field(head, "WARC-Type")).alias("warc_type")).where(F.col("warc_type").isin(*kinds))
+    length = F.coalesce(_field(F.col("head"), "Content-Length").try_cast("int"), F.lit((1 << 31) - 1))
+    content = F.coalesce(F.substring(F.col("value").cast("binary"), F.octet_length("head") + len(_GAP) + 1, length), F.lit(b""))
+    text = F.col("content").cast("string")
+    body = F.when(F.col("warc_type") == "response", F.coalesce(_after(text, _GAP), _after(text, "\n\n"))).otherwise(F.lit(None))
+    found = rows.select(_field(F.col("head"), "WARC-Target-URI").alias("url"), "warc_type", content.alias("content"))
+    found = found.select("url", "warc_type", F.coalesce(body, F.col("content")).alias("payload"))
+    return found if most is None else found.limit(most)
+
+
+def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
+    """records (url, warc_type, payload) as archive files; a response gets a plain HTTP head."""
+    http = F.when(F.col("warc_type") == "response", F.lit(b"HTTP/1.1 200 OK\r\n\r\n")).otherwise(F.lit(b""))
+    content = F.concat(http, F.coalesce("payload", F.lit(b"")))
+    head = F.concat(
+        F.lit("WARC/1.0\r\nWARC-Type: "), "warc_type", F.lit("\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")),
+        F.lit("\r\nContent-Length: "), F.octet_length(content).cast("string"), F.lit(_GAP),
+    )
+    rows = records.select(F.concat(F.encode(head, "UTF-8"), content).cast("string").alias("value"))
+    rows.write.mode("overwrite").option("lineSep", _GAP).option("compression", compression).text(path)

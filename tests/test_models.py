@@ -90,3 +90,23 @@ def test_files(spark, tmp_path):
     assert {p.name for p in (tmp_path / "near").iterdir() if p.suffix == ".txt"} == {"a.txt", "b.txt", "c.txt"}
     files.write_csv(spark.range(2), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_files_of_the_same_name(spark, tmp_path, monkeypatch):
+    for folder, text in (("a", "one\nboth"), ("b", "two\nboth")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "1.txt").write_text(text)
+    (tmp_path / "a" / "11.txt").write_text("eleven")
+    paths = [str(tmp_path / p) for p in ("a/1.txt", "b/1.txt", "a/11.txt")]
+    assert [(r["doc_id"], r["name"], r["text"]) for r in files.read_files(spark, paths).orderBy("doc_id").collect()] == [(0, "0-1.txt", "one\nboth"), (1, "1-1.txt", "two\nboth"), (2, "11.txt", "eleven")]
+    assert files.exact_line_files(spark, [f"file://{paths[0]}", *paths[1:]], str(tmp_path / "out")) == 3
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir() if p.suffix == ".txt"} == {"0-1.txt": "one", "1-1.txt": "two", "11.txt": "eleven"}
+
+
+def test_rules_and_buckets(spark):
+    state = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0), ("c", 0, 3.0)], "param string, idx long, p double")
+    grads = spark.createDataFrame([(r, n, 0, g) for r, g in ((0, 0.5), (1, 1.5)) for n in "ab"], "rank int, param string, idx long, grad double")
+    mean = distributed.reduced_buckets(grads, spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "param string, bucket int"))
+    assert sorted(tuple(r) for r in mean.collect()) == [(0, "a", 0, 1.0), (1, "b", 0, 1.0)]
+    found = distributed.sharded_step(state, mean, 2, rule=distributed.sgd_rule(0.1))
+    assert {r["param"]: round(r["p"], 6) for r in found.collect()} == {"a": 0.9, "b": 1.9, "c": 3.0}

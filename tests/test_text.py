@@ -87,3 +87,23 @@ def test_classifiers(spark):
     assert all(r["label"] == ("wiki" if r["doc_id"] % 2 else "cc") for r in classify.quality(docs.where("doc_id < 40"), labels).collect())
     assert all(r["label"] == ("non-toxic" if r["doc_id"] % 2 else "toxic") for r in classify.toxic(docs.where("doc_id < 40"), labels).collect())
     assert one(spark, classify.nsfw(F.col("t")), t="XXX pics")["label"] == "nsfw" and one(spark, classify.nsfw(F.col("t")), t="a classic essex cocktail")["label"] == "non-nsfw"
+
+
+def test_classifiers_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null texts, nothing to learn from; saved and loaded."""
+    rows = [(i % 7 if i % 3 else None, t, g) for i, (t, g) in enumerate([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), (None, "en"), ("", None), ("中文 文本", None)] * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = classify.language(docs, docs)
+    assert found.count() == len(rows) and found.where("label = 'zh'").count() == 8
+    nothing = classify.language(docs, docs.limit(0))
+    assert nothing.count() == len(rows) and nothing.where("label is not null").count() == 8
+    named = spark.createDataFrame([(i, ("good text here " if i % 2 else "bad spam there ") * 5) for i in range(40)], "doc_id long, text string")
+    labels = named.select("doc_id", F.pmod("doc_id", F.lit(2)).alias("quality"))
+    assert classify.quality(docs, labels.limit(0)).where("label is null and score = 0").count() == len(rows)
+    fitted = classify.fit_binary(named, labels, "quality", ("cc", "wiki"))
+    fitted.save(spark, str(tmp_path / "c"))
+    again = classify.Classifier.load(spark, str(tmp_path / "c"))
+    scored = again.scored(named.select("doc_id", classify.word_grams(F.col("text")).alias("grams"))).collect()
+    assert all((r["label"] == "wiki") == (r["doc_id"] % 2 == 1) for r in scored)
+    classify.Classifier(None, []).save(spark, str(tmp_path / "none"))
+    assert classify.Classifier.load(spark, str(tmp_path / "none")).model is None

@@ -97,3 +97,17 @@ def test_windows(spark):
     assert windows.draw(p, 0.65).first()["item"] == "b"
     sizes = spark.createDataFrame([([3.0, 3.0, 10.0, 1.0, 4.0, 5.0],)], "s array<double>")
     assert sizes.select(windows.size_buckets(F.col("s"), 6.0).alias("b")).first()["b"] == [0, 0, 1, 2, 2, 3]
+
+
+def test_warc_of_broken_text_stops_early(spark, tmp_path):
+    records = spark.createDataFrame([("http://a", "response", bytearray(b"\xff\xfe<p>\r\n\r\nx")), ("http://b", "conversion", bytearray("é\n\nb".encode())), (None, "response", None), ("http://c", "request", bytearray(b"GET"))], "url string, warc_type string, payload binary")
+    for compression in ("gzip", "none"):
+        warc.write_warc(records, str(tmp_path / compression), compression)
+        found = warc.read_warc(spark, str(tmp_path / compression), ("response", "conversion"))
+        assert {(r["url"], r["warc_type"], bytes(r["payload"])) for r in found.collect()} == {("http://a", "response", b"\xff\xfe<p>\r\n\r\nx"), ("http://b", "conversion", "é\n\nb".encode()), (None, "response", b"")}
+    many = spark.range(5_000).select(F.lit("u").alias("url"), F.lit("response").alias("warc_type"), F.encode(F.repeat(F.lit("x"), 2_000), "UTF-8").alias("payload"))
+    warc.write_warc(many.coalesce(1), str(tmp_path / "many"), "none")
+    assert warc.read_warc(spark, str(tmp_path / "many")).count() == 5_000
+    assert warc.read_warc(spark, str(tmp_path / "many"), most=10).count() == 10
+    (tmp_path / "empty.warc").write_bytes(b"")
+    assert warc.read_warc(spark, str(tmp_path / "empty.warc")).count() == 0
