@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.ordering import free_names
 from millrace.scratch import Scratch
 
 #: Most rows of a table that is broadcast as a lookup; larger ones are shuffled.
@@ -30,12 +29,6 @@ def id_crc(column: str | Column) -> Column:
     return F.crc32(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8"))
 
 
-def free_names(df: DataFrame, n: int, *others: DataFrame) -> list[str]:
-    """n column names that df (and others) don't have, whatever the case of their letters."""
-    taken = {c.lower() for side in (df, *others) for c in side.columns}
-    return list(islice((name for name in (f"_m{k}" for k in count()) if name not in taken), n))
-
-
 def columns_of(df: DataFrame) -> list[Column]:
     """The columns of df, whatever signs their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
@@ -53,7 +46,7 @@ def global_rank(scratch: Scratch, df: DataFrame, order: list[Column], name: str,
     partitions' offsets are sums over one row per partition.
     """
     # range partitioning looks at its input twice, so df should be a table, not an expensive plan
-    at, part, start = [x for x in free_names(df, 4) if x != into][:3]
+    at, part, start = [x for x in free_names(4, df) if x != into][:3]
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered = scratch.table(ordered.withColumn(at, F.monotonically_increasing_id()), name)
     of = F.shiftright(F.col(at), 33)
@@ -67,27 +60,6 @@ def global_rank(scratch: Scratch, df: DataFrame, order: list[Column], name: str,
     return ordered.withColumn(part, of).join(F.broadcast(offsets), part).withColumn(into, F.col(start) + inside).drop(part, start, at)
 
 
-def sums_before(scratch: Scratch, df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
-    """df with, for each of sums (column name, value), the sum of the values of all rows before it in a total order; one
-    range shuffle. Only one row for each partition meets in the driver."""
-    ordered = df.withColumns({f"_v_{k}": v for k, v in sums.items()}).repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = scratch.table(ordered.withColumn("_at", F.monotonically_increasing_id()), name)
-    ordered = ordered.withColumn("_part", F.shiftright(F.col("_at"), 33))
-    totals = ordered.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(k) for k in sums]).orderBy("_part").collect()
-    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
-    now, starts = dict.fromkeys(sums, 0), []
-    for r in totals:
-        starts.append((r["_part"], *now.values()))
-        now = {k: now[k] + (r[k] or 0) for k in sums}
-    schema = "_part long, " + ", ".join(f"_s_{k} {kinds[f'_v_{k}']}" for k in sums)
-    rows = [(p, *[float(x) if kinds[f"_v_{k}"] == "double" else x for k, x in zip(sums, of, strict=True)]) for p, *of in starts]
-    offsets = scratch.spark.createDataFrame(rows, schema)
-    inside = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-    found = ordered.join(F.broadcast(offsets), "_part")
-    before = {k: F.col(f"_s_{k}") + F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0).cast(kinds[f"_v_{k}"])) for k in sums}
-    return found.withColumns(before).drop("_part", "_at", *[f"_{x}_{k}" for k in sums for x in "vs"])
-
-
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: str = "left") -> DataFrame:
     """Join big (many rows a key) with small (one row a key, whose column `rows` counts the key's rows in big).
 
@@ -97,7 +69,7 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: st
     total = small.agg(F.sum(rows)).first()[0] or 0
     limit = max(HOT_ROWS, total // MAX_HOT_KEYS)
     others = [c for c in small.columns if c not in (*keys, rows)]
-    names = dict(zip(keys, free_names(big, len(keys), small), strict=True))
+    names = dict(zip(keys, free_names(len(keys), big, small), strict=True))
 
     def renamed(side: DataFrame) -> DataFrame:
         return side.select(*[F.col(k).alias(names[k]) for k in keys], *others)
@@ -124,7 +96,7 @@ def attach(big: DataFrame, small: DataFrame, key: str, salt: Column, buckets: in
     small is broadcast if it is counted at MAX_BROADCAST_ROWS rows or fewer; beyond that its rows are repeated for
     each of `buckets` salts and big is dealt out by key and salt.
     """
-    name, one, two = free_names(big, 3, small)
+    name, one, two = free_names(3, big, small)
     side = small.withColumnRenamed(key, name)
     if side.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         return big.join(F.broadcast(side), big[key].eqNullSafe(side[name]), "left").drop(name)

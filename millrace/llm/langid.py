@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, uniform, values
+from millrace.ordering import free_names
+
+from .common import uniform, values
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -227,6 +229,6 @@ def judge_rows(docs: DataFrame, model: Model) -> tuple[DataFrame, tuple[str, str
                     lang[i] = model.langs[k]
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
-    both, lang, score = free_names(docs, 3)
+    both, lang, score = free_names(3, docs)
     found = docs.withColumn(both, judge(docs["text"], has_letter(docs["text"])))
     return found.withColumns({lang: F.col(both)["lang"], score: F.col(both)["score"]}).drop(both), (lang, score)

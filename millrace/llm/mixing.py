@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, attach, columns_of, free_names, global_rank, lookup, sums_before, uniform
+from millrace.ordering import free_names, sums_before
+
+from .common import Scratch, attach, columns_of, global_rank, lookup, uniform
 
 #: Words are runs of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -215,7 +217,7 @@ def take(docs: DataFrame, size: Column | None = None, **options) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "take")
     plan = mix(docs, size=size, **options)
     each = plan.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("all"), F.min("copies").alias("low"))
-    size_, n, all_, low, rows, copies, more, nth, first, tie = free_names(docs, 10)
+    size_, n, all_, low, rows, copies, more, nth, first, tie = free_names(10, docs)
     each = each.withColumn("rows", F.col("n")).withColumnsRenamed({"size": size_, "n": n, "all": all_, "low": low, "rows": rows})
     each = scratch.table(each.withColumn(more, F.col(all_) - F.col(low) * F.col(n)), "copies")  # so many rows get one copy more
     key = ["doc_id", "source", size_]

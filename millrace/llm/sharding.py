@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import Scratch, attach, columns_of, free_names, global_rank, sums_before
+from millrace.ordering import free_names, sums_before
+
+from .common import Scratch, attach, columns_of, global_rank
 
 BITS = 8
 SHARDS = 8
@@ -84,7 +86,7 @@ def hilbert_shards(rows: DataFrame, dims: list[str], n_shards: int = SHARDS, bit
     scratch = Scratch(rows.sparkSession, "shard")
     rows = scratch.table(rows.drop("curve", "shard", "slot"), "rows")
     total = rows.count()
-    *levels, rank = free_names(rows, len(dims) + 1)
+    *levels, rank = free_names(len(dims) + 1, rows)
     placed = rows
     for d, level in zip(dims, levels, strict=True):
         placed = _quantised(placed, d, level, bits, total, scratch)

@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.components import components
+from millrace.ordering import free_names
 
-from .common import MAX_BROADCAST_ROWS, Scratch, columns_of, free_names, lookup, values
+from .common import MAX_BROADCAST_ROWS, Scratch, columns_of, lookup, values
 
 SHINGLE = 3
 SEED = 42
@@ -207,7 +208,7 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
             prints = pa.array([short_prints(shingle_hashes(t, near.shingle), near) for t in values(b.column(4))], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), prints], ["doc_id", "one", "two", "mark", "prints"])
 
-    names = free_names(docs, 3)
+    names = free_names(3, docs)
     marked = _marked(docs, *names)
     marked = marked.select("doc_id", *[F.col(a).alias(b) for a, b in zip(names, ("one", "two", "mark"), strict=True)], "text")
     rows = scratch.table(marked.mapInArrow(go, "doc_id long, one long, two long, mark long, prints array<long>"), "rows")
@@ -257,7 +258,7 @@ def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "keep")
     groups = scratch.table(near_groups(docs, near, scratch), "groups")
     scratch.release()
-    names = free_names(docs, 6)
+    names = free_names(6, docs)
     kept = groups.where("node = top").select("one", "two", F.col("doc_id").alias(names[4]), F.col("mark").alias(names[5]), F.col("rows").alias("rows"))
     kept = kept.withColumnsRenamed(dict(zip(("one", "two", "rows"), names[:3], strict=True)))
     found = lookup(_marked(docs, names[0], names[1], names[3]), kept, names[:2], names[2], "inner")
