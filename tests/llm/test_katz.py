@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm import katz
+from millrace.llm import katz, ngrams
 
 from .data import empty, odd
 
@@ -91,3 +91,66 @@ def test_odd_rows(spark):
     assert katz.katz(empty(spark).withColumn("held", F.lit(True))).scores.count() == 0
     alone = katz.katz(docs.withColumn("held", F.lit(True))).scores.collect()
     assert len(alone) == len(rows) and all(r["score"] == r["base_score"] == 0 and r["n_known"] == r["train_tokens"] == 0 for r in alone)
+
+
+class PlainOrder:
+    """Katz backoff of any order, word for word."""
+
+    def __init__(self, texts, order):
+        self.order, self.grams = order, [Counter() for _ in range(order + 1)]
+        for t in texts:
+            padded = ["", *t]
+            for j in range(1, len(padded)):
+                for k in range(1, order + 1):
+                    if k - 1 <= j:
+                        self.grams[k][(*padded[j - k + 1 : j], padded[j])] += 1
+        self.d = [None, *(katz.discounts(np.bincount([min(n, 7) for n in c.values()] or [0], minlength=8)[:7]) for c in self.grams[1:])]
+        self.after = [defaultdict(dict) for _ in range(order + 1)]
+        for k in range(1, order + 1):
+            for g, n in self.grams[k].items():
+                self.after[k][g[:-1]][g[-1]] = n
+        n = sum(self.grams[1].values())
+        kept = sum(self.d[1][min(c, 6)] * c for c in self.grams[1].values())
+        self.over1 = n + (n - kept <= 1e-9 * max(1, n))
+        self.unknown = (self.over1 - kept) / self.over1
+
+    def seen(self, h, w):
+        f = self.after[len(h) + 1][h]
+        over = self.over1 if not h else sum(f.values()) + (min(f.values()) > 5)
+        return self.d[len(h) + 1][min(f[w], 6)] * f[w] / over
+
+    def p(self, h, w):
+        if w in self.after[len(h) + 1].get(h, {}):
+            return self.seen(h, w)
+        if not h:
+            return self.unknown
+        f = self.after[len(h) + 1].get(h)
+        alpha = 1.0 if f is None else (1 - sum(self.seen(h, x) for x in f)) / (1 - sum(self.p(h[1:], x) for x in f))
+        return alpha * self.p(h[1:], w)
+
+
+def test_tables_of_any_order(spark, tmp_path):
+    rows = corpus()[:90] + [(1, None, False), (1, "", True), (None, "again and again", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    train = [split(t) for _, t, h in rows if not h]
+    for order in (1, 3):
+        plain = PlainOrder(train, order)
+        for h in [(), *[h for h in plain.after[order] if len(h) == order - 1][:25], ("never", "seen")[: order - 1]]:
+            assert abs(sum(plain.p(h, w) for w in plain.after[1][()]) + plain.p(h, "not a word") - 1) < 1e-9
+        ngrams.train(docs.where("not held"), order, str(tmp_path / str(order)))
+        model = ngrams.Model(spark, str(tmp_path / str(order)))
+        want = Counter()
+        for i, t, _ in rows:
+            s = ["", *split(t)]
+            score = sum(math.log10(plain.p(tuple(s[max(0, j - order + 1) : j]), s[j])) for j in range(1, len(s)))
+            want[i, len(s) - 1, sum((w,) in plain.grams[1] for w in s[1:]), round(score, 6)] += 1
+        found = model.score(docs.select("doc_id", "text")).collect()
+        assert model.order == order and model.train_tokens == sum(map(len, train))
+        assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["score"], 6)) for r in found) == want
+    # order two gives the scores of the packed computation
+    model = ngrams.train(docs.where("not held"), 2, str(tmp_path / "2"))
+    packed = Counter((r["doc_id"], round(r["score"], 6)) for r in katz.katz(docs).scores.collect())
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in model.score(docs).collect()) == packed
+    nothing = ngrams.train(docs.limit(0), 3, str(tmp_path / "0")).score(docs).collect()
+    assert len(nothing) == len(rows) and all(r["score"] == 0 and r["n_known"] == 0 for r in nothing)
+    assert model.score(docs.limit(0)).count() == 0
