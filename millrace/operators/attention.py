@@ -62,6 +62,19 @@ def self_attention(rows: DataFrame, causal: bool, tile: int = TILE) -> DataFrame
     return rows.groupBy("seq").applyInPandas(go, "seq long, pos long, out array<double>, lse double")
 
 
+def self_attention_backward(rows: DataFrame, causal: bool) -> DataFrame:
+    """seq, pos, dq, dk, dv of windows (seq, pos, x, grad), each row being query, key and value; grad: of the output."""
+
+    def go(w: pd.DataFrame) -> pd.DataFrame:
+        w = w.sort_values("pos")
+        x, grad = (np.array(list(w[c]), np.float64) for c in ("x", "grad"))
+        pos = w["pos"].to_numpy()
+        seen = pos[None, :] <= pos[:, None] if causal else np.ones((len(x), len(x)), bool)
+        return pd.DataFrame({"seq": w["seq"].to_numpy(), "pos": pos, **dict(zip(("dq", "dk", "dv"), map(list, backward(x, x, x, seen, grad)), strict=True))})
+
+    return rows.groupBy("seq").applyInPandas(go, "seq long, pos long, dq array<double>, dk array<double>, dv array<double>")
+
+
 def self_attention_builtin(rows: DataFrame, causal: bool) -> DataFrame:
     """The same by built-in functions: the window's rows as an array beside each of its rows, at most WINDOW long."""
     keys = rows.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("keys"))

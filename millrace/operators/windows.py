@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +35,30 @@ def context_windows(tokens: Column, length: int, stride: int) -> Column:
     return let(tokens, cut)
 
 
+def random_windows(rows: DataFrame, length: int, each: int, seed: int) -> DataFrame:
+    """rows (doc_id, tokens) to doc_id, start, x, y: `each` windows of `length` tokens a row at starts drawn by a hash of
+    seed, id and number, y being x moved by one. Rows that are too short give none. Reruns agree."""
+    room = F.size("tokens") - length  # starts from 0 to room - 1
+    numbered = rows.where(room > 0).select("doc_id", "tokens", F.explode(F.sequence(F.lit(1), F.lit(each))).alias("k"))
+    start = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "k"), room).cast("int")
+    placed = numbered.select("doc_id", start.alias("start"), "tokens")
+    return placed.select("doc_id", "start", F.slice("tokens", F.col("start") + 1, length).alias("x"), F.slice("tokens", F.col("start") + 2, length).alias("y"))
+
+
+def batches(windows: DataFrame, size: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows (doc_id, start, x, y) as batches of arrays (size, length) in an order drawn by a hash; the last batch may be
+    smaller. Partitions come to the driver one after another, so it holds one of them and a batch."""
+    order = [F.xxhash64(F.lit(seed), "doc_id", "start"), F.col("doc_id"), F.col("start")]
+    held: list = []
+    for r in windows.repartitionByRange(*order).sortWithinPartitions(*order).select("x", "y").toLocalIterator():
+        held.append(r)
+        if len(held) == size:
+            yield np.array([h["x"] for h in held]), np.array([h["y"] for h in held])
+            held = []
+    if held:
+        yield np.array([h["x"] for h in held]), np.array([h["y"] for h in held])
+
+
 def last_tokens(tokens: Column, n: int) -> Column:
     """The last n tokens, or all."""
     return F.when(F.size(tokens) > n, F.slice(tokens, -n, n)).otherwise(tokens)

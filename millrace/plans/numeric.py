@@ -94,6 +94,14 @@ def attention_lse(spark: SparkSession, d: str) -> DataFrame:
     return attention.self_attention(rows, True).select((F.col("seq") * attention.WINDOW + F.col("pos")).alias("vec_id"), F.round("lse", 4).alias("lse"))
 
 
+def attention_backward(spark: SparkSession, d: str) -> DataFrame:
+    """Gradients of the values under causal attention whose output has the gradient 1 in every component."""
+    rows = attention.windows(_vectors(spark, d).select(F.col("vec_id").alias("id"), "x"))
+    found = attention.self_attention_backward(rows.withColumn("grad", F.transform("x", lambda e: F.lit(1.0))), True)
+    found = found.select((F.col("seq") * attention.WINDOW + F.col("pos")).alias("vec_id"), "dv")
+    return _flat(found, F.col("dv"))
+
+
 def causal_frame(spark: SparkSession, d: str) -> DataFrame:
     """Sum of a user's values up to each event."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
@@ -224,7 +232,7 @@ def parameters_close(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vec_softmax, vec_log_softmax, vec_cross_entropy, vec_silu, vec_rmsnorm, vec_rope, vec_linear, vec_swiglu, attention_lse,
+        vec_softmax, vec_log_softmax, vec_cross_entropy, vec_silu, vec_rmsnorm, vec_rope, vec_linear, vec_swiglu, attention_lse, attention_backward,
         causal_frame, lr_cosine_schedule, adamw_step, grad_allreduce_mean, grad_accumulate, grad_clip, bucket_assignment,
         round_robin_shard, contiguous_shard, timing_mean_std, parameter_count, parameters_close, embedding_gather, row_dot_sum,
         sharded_adamw, lm_losses, lm_generate,
@@ -276,6 +284,7 @@ SELECT a.vec_id, a.i::BIGINT AS i, round(a.y * cos(a.t) + CASE WHEN a.i % 2 = 0
     "attention_causal": _attention_sql(True) + _OUT_SQL,
     "attention_online": _attention_sql(False) + _OUT_SQL,
     "attention_online_causal": _attention_sql(True) + _OUT_SQL,
+    "attention_backward": _attention_sql(True) + ", g AS (SELECT s.k AS vec_id, sum(exp(s - lse)) AS y FROM s JOIN l USING (q) GROUP BY s.k) SELECT vec_id, i::BIGINT AS i, round(g.y, 4) + 0.0 AS y FROM g JOIN x USING (vec_id)",
     "attention_lse": _attention_sql(True) + " SELECT q AS vec_id, round(lse, 4) AS lse FROM l",
     "causal_frame": "SELECT event_id, round(sum(value) OVER w, 2) AS total, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "lr_cosine_schedule": f"SELECT range AS id, round(CASE WHEN range < 7 THEN range / 7.0 WHEN range <= 21 THEN 0.1 + (1 + cos((range - 7) / 14.0 * {math.pi})) * 0.45 ELSE 0.1 END, 6)::DOUBLE AS rate FROM range(25)",

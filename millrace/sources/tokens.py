@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -83,29 +83,66 @@ def read_printable(spark: SparkSession, vocab_json: str, merges_txt: str) -> tup
 
 
 @dataclass
-class RunConfig:
-    """Settings of a training run; the paths have no default."""
+class Paths:
+    """Where a run reads and writes; none has a default."""
+
+    train: str
+    valid: str
+    out: str
+
 
-    train_path: str
-    valid_path: str
-    context_length: int = 1024
-    vocab_size: int = 50_257
-    d_model: int = 768
+@dataclass
+class ModelConfig:
+    vocab: int = 50_257
+    context: int = 1024
+    width: int = 768
     layers: int = 12
     heads: int = 12
-    d_ff: int = 3072
+    hidden: int = 3072
     theta: float = 10_000.0
+
+
+@dataclass
+class Training:
     batch_size: int = 32
     steps: int = 1_000
     learning_rate: float = 1e-3
     seed: int = 0
 
+
+@dataclass
+class RunConfig:
+    """Settings of a training run in three groups."""
+
+    paths: Paths
+    model: ModelConfig = field(default_factory=ModelConfig)
+    training: Training = field(default_factory=Training)
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
     @classmethod
     def from_json(cls, text: str) -> "RunConfig":
-        return cls(**json.loads(text))
+        """Groups that are missing take their defaults; a name that no group has is an error."""
+        groups = json.loads(text)
+        kinds = {"paths": Paths, "model": ModelConfig, "training": Training}
+        if unknown := set(groups) - set(kinds):
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return cls(**{k: kinds[k](**v) for k, v in groups.items()})
+
+
+def save_pretrained(spark: SparkSession, config: ModelConfig, weights: dict[str, np.ndarray], path: str) -> None:
+    """A model as a folder: its configuration and its weights."""
+    spark.createDataFrame([(json.dumps(asdict(config), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+    rows = [(name, list(w.shape), bytearray(np.ascontiguousarray(w, "<f8").tobytes())) for name, w in sorted(weights.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").write.mode("overwrite").parquet(f"{path}/weights")
+
+
+def from_pretrained(spark: SparkSession, path: str) -> tuple[ModelConfig, dict[str, np.ndarray]]:
+    """Configuration and weights of a folder. Prefixes that compiled models put before names go."""
+    config = ModelConfig(**json.loads(spark.read.text(f"{path}/config").first()["value"]))
+    rows = spark.read.parquet(f"{path}/weights").withColumn("name", plain_name(F.col("name"))).collect()  # one row for each weight
+    return config, {r["name"]: np.frombuffer(bytes(r["data"]), "<f8").reshape(r["shape"]).copy() for r in rows}
 
 
 def plain_name(name: Column) -> Column:

@@ -1,5 +1,6 @@
 import gzip
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
@@ -67,8 +68,12 @@ def test_token_tables_and_vocabularies(spark, tmp_path):
     tk.save_checkpoint(state, 7, scratch.path("c"))
     loaded, iteration = tk.load_checkpoint(spark, scratch.path("c"))
     assert iteration == 7 and loaded.first()["name"] == "w"
-    config = tk.RunConfig("a", "b", steps=5)
-    assert tk.RunConfig.from_json(config.to_json()) == config
+    config = tk.RunConfig(tk.Paths("a", "b", "c"), training=tk.Training(steps=5))
+    assert tk.RunConfig.from_json(config.to_json()) == config and tk.RunConfig.from_json('{"paths": {"train": "a", "valid": "b", "out": "c"}}').model == tk.ModelConfig()
+    weights = {"w": np.arange(6.0).reshape(2, 3), "_orig_mod.b": np.ones(1)}
+    tk.save_pretrained(spark, tk.ModelConfig(vocab=7), weights, scratch.path("m"))
+    model, found = tk.from_pretrained(spark, scratch.path("m"))
+    assert model == tk.ModelConfig(vocab=7) and set(found) == {"w", "b"} and (found["w"] == weights["w"]).all()
 
 
 def test_warc(spark, tmp_path):
@@ -111,3 +116,15 @@ def test_warc_of_broken_text_stops_early(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "many"), most=10).count() == 10
     (tmp_path / "empty.warc").write_bytes(b"")
     assert warc.read_warc(spark, str(tmp_path / "empty.warc")).count() == 0
+
+
+def test_random_windows_and_batches(spark):
+    rows = spark.createDataFrame([(i, list(range(100 * i, 100 * i + 5 + i))) for i in range(12)], "doc_id long, tokens array<int>")
+    found = windows.random_windows(rows, 8, 3, seed=1).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(3 * list(range(4, 12)))
+    assert all(r["x"] == list(range(100 * r["doc_id"] + r["start"], 100 * r["doc_id"] + r["start"] + 8)) and r["y"] == [t + 1 for t in r["x"]] for r in found)
+    again = windows.random_windows(rows.repartition(3), 8, 3, seed=1)
+    assert sorted(map(tuple, ((r["doc_id"], r["start"]) for r in again.collect()))) == sorted((r["doc_id"], r["start"]) for r in found)
+    one, two = ([(x.tolist(), y.tolist()) for x, y in windows.batches(again, 5, seed=s)] for s in (1, 2))
+    assert [len(x) for x, _ in one] == [5, 5, 5, 5, 4] and one != two
+    assert sorted(map(tuple, sum((x for x, _ in one), []))) == sorted(map(tuple, sum((x for x, _ in two), [])))
