@@ -14,6 +14,10 @@ of the model's tables, and answers every chunk in the order of its questions. Wi
 texts, word for word. Words that follow very many others (they are few, whatever the corpus) have their pairs spread
 over all buckets; all others have theirs in one. No pair is dropped, and a pair is sent once by a chunk, not once for
 each time it occurs.
+
+The order is two, and numbers of words have 32 bits: more than 2**32 - 2 distinct words are an error. Words are told
+apart by 64-bit hashes, so two of some billions of distinct words may count as one. ngrams.py has neither bound, any
+order, and models that are kept.
 """
 
 from __future__ import annotations

@@ -16,6 +16,8 @@ import struct
 import numpy as np
 import regex
 
+from millrace.functions.text import byte_signs
+
 #: Runs whose ids a worker keeps, twice over: the ones before are dropped as so many new ones have come. Longer runs
 #: than MAX_RUN bytes aren't kept.
 MAX_RUNS = 500_000
@@ -23,11 +25,10 @@ MAX_RUN = 64
 
 #: Signs of the Latin blocks without spaces, controls and combining marks.
 _PLAIN = re.compile("[!-~\u00a1-\u024f]+").fullmatch
-#: The splitter's pattern.
+# Fixed value: the splitter's pattern, as the tokenizer's file has it
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-#: Bytes as the signs that stand for them in byte-level vocabularies: themselves where printable, else from U+0100 on.
-_SHIFTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(_SHIFTED)}
+#: Bytes as the signs that stand for them in byte-level vocabularies.
+_BYTE_SIGNS = byte_signs()
 
 _loaded: dict[str, "Encoder"] = {}
 
@@ -42,6 +43,7 @@ def encoder(path: str) -> "Encoder":
 def _splits_at_spaces(definition: dict) -> bool:
     """Whether the definition is of the kind described above: NFC, white space made one, lower case; a splitter that
     drops what lies between runs of letters, single digits and runs of other signs; BPE with an end-of-word suffix."""
+    # the pattern and the names below are fixed values of the files' format
     norm, pre, model = (definition.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
     steps = norm.get("normalizers", [])
     split, *rest = pre.get("pretokenizers") or [{}]

@@ -1,10 +1,12 @@
 import math
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import katz, ngrams
+from millrace.llm import katz, ngrams, queries
 
 from .data import empty, odd
 
@@ -154,3 +156,16 @@ def test_tables_of_any_order(spark, tmp_path):
     nothing = ngrams.train(docs.limit(0), 3, str(tmp_path / "0")).score(docs).collect()
     assert len(nothing) == len(rows) and all(r["score"] == 0 and r["n_known"] == 0 for r in nothing)
     assert model.score(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_of_the_queries(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    found = queries.queries()[name](spark, sf)
+    assert sorted(found.columns) == sorted(columns)
+    assert Counter(tuple(r) for r in found.select(*columns).collect()) == Counter(want.fetchall())
