@@ -9,7 +9,7 @@ from millrace.functions import gopher, html, pii
 from millrace.functions import text as tx
 from millrace.operators import classify, dedup
 from millrace.scratch import Scratch
-from millrace.session import table
+from millrace.session import spread, table
 from millrace.sources import text as source
 from millrace.sources import warc
 
@@ -17,7 +17,7 @@ PARAMS = dedup.MinHash(hashes=100, bands=10, ngrams=5, threshold=0.8)
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _digest(column: str):
@@ -155,11 +155,11 @@ near AS (SELECT a, b, c::DOUBLE / (x.n + y.n - c) AS similarity FROM common JOIN
 
 
 def html_text_regex(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", html.html_text_plain(F.col("html")).alias("t")).select("page_id", _digest("t").alias("text_md5"), F.length("t").cast("long").alias("n"))
+    return spread(table(spark, d, "pages")).select("page_id", html.html_text_plain(F.col("html")).alias("t")).select("page_id", _digest("t").alias("text_md5"), F.length("t").cast("long").alias("n"))
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", html.html_text("html").alias("text"))
+    return spread(table(spark, d, "pages")).select("page_id", html.html_text("html").alias("text"))
 
 
 def warc_wet_join(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +173,7 @@ def warc_wet_join(spark: SparkSession, d: str) -> DataFrame:
 def _archives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Responses and conversions of pages, as read back from archives that were written of them."""
     scratch = Scratch(spark, "archive")
-    pages = table(spark, d, "pages").where("url is not null")
+    pages = spread(table(spark, d, "pages")).where("url is not null")
     rows = pages.select("url", F.lit("response").alias("warc_type"), F.encode("html", "UTF-8").alias("payload"))
     text = rows.withColumns({"warc_type": F.lit("conversion"), "payload": F.encode(html.html_text_plain(F.col("payload").cast("string")), "UTF-8")})
     warc.write_warc(rows, scratch.path("warc"))
@@ -189,7 +189,7 @@ def warc_records(spark: SparkSession, d: str) -> DataFrame:
 
 def warc_semi_join(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose url occurs among those with an article in German."""
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages"))
     return pages.join(pages.where(F.col("html").contains('lang="de"')).select("url"), "url", "left_semi").select("page_id")
 
 

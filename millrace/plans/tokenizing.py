@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as tx
 from millrace.operators import bpe, windows
 from millrace.scratch import Scratch
-from millrace.session import table
+from millrace.session import spread, table
 from millrace.sources import tokens as token_source
 from millrace.streaming import encode as streaming
 
@@ -18,7 +18,7 @@ TOP_K, TOP_P, TEMPERATURE = 50, 0.9, 0.7
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def pretoken_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,20 @@ def session(name: str = "millrace", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from files, dealt out to all cores where the files are small and fewer than those.
+
+    A file of one row group can't be split, so a small table in few files would be worked on by few cores. Files that
+    are larger than a task's share of input, or many, stay as they are: the shuffle is never larger than a task's share
+    for each core.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, len(df.inputFiles())
+    share = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if 0 < files < cores and size <= files * share else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
