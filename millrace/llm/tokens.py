@@ -20,7 +20,7 @@ from millrace.functions.text import byte_signs
 
 #: Runs whose ids a worker keeps, twice over: the ones before are dropped as so many new ones have come. Longer runs
 #: than MAX_RUN bytes aren't kept.
-MAX_RUNS = 500_000
+MAX_RUNS = 300_000
 MAX_RUN = 64
 
 #: Signs of the Latin blocks without spaces, controls and combining marks.
