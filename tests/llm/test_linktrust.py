@@ -111,8 +111,7 @@ def test_judge_over_a_linked_web_against_matrices(spark, monkeypatch):
     want, unsure = plain_judge(pages)
     rows = [(i, f"https://{h.upper()}{path}?q", " ".join(f"<a href='http://{x}/'>" for x in links) or None) for i, h, path, links in pages]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for hot in (linktrust.HOT_ROWS, 3):  # with and without hosts that count as hot
-        monkeypatch.setattr(linktrust, "HOT_ROWS", hot)
-        found = {r["page_id"]: r["verdict"] for r in linktrust.judge(frame).collect()}
-        assert len(unsure) < 60 and all(found[i] == want[i] for i in want if i not in unsure)
+    monkeypatch.setattr(linktrust, "HOT_ROWS", 3)  # many hosts count as hot; in the other tests none does
+    found = {r["page_id"]: r["verdict"] for r in linktrust.judge(frame).collect()}
+    assert len(unsure) < 60 and all(found[i] == want[i] for i in want if i not in unsure)
     assert 100 < sum(v == "block" for v in want.values()) < len(want) - 100
