@@ -145,9 +145,9 @@ reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.x, e.y
 c AS (SELECT x, min(y) AS least FROM reach GROUP BY x), n AS (SELECT x, count(*) AS n FROM e GROUP BY x)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least AS component_id, least = vec_id AS kept FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id"""
 
-_TOP_K = f"""WITH v AS (SELECT row_number() OVER () AS at, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)) AS x FROM embeddings WHERE {_FINITE}),
-s AS (SELECT a.at, a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.at <> b.at WHERE a.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY at ORDER BY score DESC, vec_id) AS k FROM s)
+_TOP_K = f"""WITH v AS (SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)) AS x FROM embeddings WHERE {_FINITE}),
+s AS (SELECT a.nr, a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.nr <> b.nr WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 20"""
 
 
