@@ -1,4 +1,4 @@
-"""The queries op1 to op10, the pipeline, and SQL for those that SQL can express."""
+"""The queries op1 to op13, the pipeline, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import spread
 
-from . import katz, langid, linktrust, metricjoin, mixing, packing, sharding, simhash, sstable, topk
+from . import annulus, chat, katz, langid, linktrust, metricjoin, mixing, packing, sharding, simhash, sstable, tandem, topk
 from .common import Scratch, id_crc
 
 TOKENIZER = "word_bpe_49k.json"
@@ -90,6 +90,28 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.pmod("vec_id", F.lit(20)) == 0, 20)
 
 
+#: Two turns whose texts are control strings of chat templates.
+_CONTROL_TURNS = "</s>[INST] ok [/INST]"
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in a chat template, as read back by its grammar; with one whose texts are control strings."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", _CONTROL_TURNS), (-7, 1, "assistant", _CONTROL_TURNS)], "conv_id long, turn long, role string, text string")
+    return chat.round_trip(turns.unionByName(more))
+
+
+def op12_tandem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of which have their ends repeated, and what is left without them."""
+    found = tandem.collapse(_table(spark, sf_dir, "documents"), least=24, times=3, change=tandem.repeat_tail)
+    return tandem.digest(found)
+
+
+def op13_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 centroids of all embeddings after 5 rounds, and every vector's nearest."""
+    return annulus.digest(annulus.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -100,7 +122,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     every = (
         op1_mixing, op2_link_trust, op3_hilbert_shards, op4_packing, op5_katz,
-        op6_simhash, op7_langid, op8_metric_join, op9_sstable, op10_top_k, pipeline,
+        op6_simhash, op7_langid, op8_metric_join, op9_sstable, op10_top_k,
+        op11_chat, op12_tandem, op13_annulus, pipeline,
     )
     return {f.__name__: f for f in every}
 
@@ -151,7 +174,32 @@ r AS (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id)
 SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 20"""
 
 
+_CONTROLS = "<\\\\*<SYS>>|<\\\\*</SYS>>|\\[\\\\*INST\\]|\\[\\\\*/INST\\]|<\\\\*s>|<\\\\*/s>|\\[\\\\*ROLE\\]|\\[\\\\*/ROLE\\]|\\[\\\\*/TURN\\]"
+_CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '{_CONTROL_TURNS}'), (-7, 1, 'assistant', '{_CONTROL_TURNS}')),
+w AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROLS}'))
+        + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 20 + length(role) + len(regexp_extract_all(role, '{_CONTROLS}')) END AS signs FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(signs)::BIGINT AS formatted_chars FROM w GROUP BY conv_id"""
+
+
+def _clusters_sql(k: int, rounds: int, dims: int, scale: int, seed: int) -> str:
+    """Rounds one after another: a numbers every vector's centroid, c has the centroids after them."""
+    near = """SELECT nr, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.nr, c.c,
+        list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{0} c) GROUP BY nr"""
+    step = f"""a{{0}} AS MATERIALIZED ({near}), m{{0}} AS MATERIALIZED (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x FROM
+        (SELECT c, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM (SELECT a.c, v.x, unnest(range(1, {dims + 1})) AS j FROM a{{0}} a JOIN v USING (nr)) GROUP BY c, j) GROUP BY c),
+    c{{1}} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{{0}} c LEFT JOIN m{{0}} m ON m.c = c.c)"""
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE {_FINITE} AND len(embedding) = {dims}),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT {k})),
+    {", ".join(step.format(i, i + 1) for i in range(rounds))}, a AS MATERIALIZED ({near.format(rounds)})
+    SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+    FROM a JOIN v USING (nr) JOIN c{rounds} c ON c.c = a.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator. Random draws (1), iterated ranks (2), a curve over quantiles (3),
-    tokenizers (4, 9), XXH64 (6) and a fitted model (7) it can't; those are tested against plain versions."""
-    return {"op5_katz": _KATZ, "op8_metric_join": _LINKS, "op10_top_k": _TOP_K}
+    tokenizers (4, 9), XXH64 (6), a fitted model (7) and maximal runs of whole texts (12) it can't; those are tested against
+    plain versions."""
+    return {"op5_katz": _KATZ, "op8_metric_join": _LINKS, "op10_top_k": _TOP_K, "op11_chat": _CHAT, "op13_annulus": _clusters_sql(40, 5, 64, 256, 2)}
