@@ -33,7 +33,7 @@ _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 #: A piece: doc_id, start, ids (4 bytes each), tokens of the document.
-Piece = tuple[int | None, int, bytes, int]
+Piece = tuple[int | None, int, bytes | memoryview, int]
 
 
 class Packer:
@@ -47,7 +47,7 @@ class Packer:
 
     def add(self, piece: Piece) -> None:
         doc_id, start, ids, total = piece
-        whole = 4 * self.length
+        ids, whole = memoryview(ids), 4 * self.length  # cuts don't copy what is left; what stays open is copied
         while len(ids) >= whole:
             self.full([(doc_id, start, ids[:whole], total)])
             start, ids = start + self.length, ids[whole:]
@@ -61,11 +61,11 @@ class Packer:
                 self.pieces[w] = []
             else:  # none holds it: fill the fullest
                 room, w = self.rooms.pop(0)
-                self.pieces[w].append((doc_id, start, ids[: 4 * room], total))
+                self.pieces[w].append((doc_id, start, bytes(ids[: 4 * room]), total))
                 self.full(self.pieces.pop(w))
                 start, ids = start + room, ids[4 * room :]
                 continue
-            self.pieces[w].append((doc_id, start, ids, total))
+            self.pieces[w].append((doc_id, start, bytes(ids), total))
             if room == need:
                 self.full(self.pieces.pop(w))
             else:
@@ -104,7 +104,7 @@ class Rows:
         at = 0
         for doc_id, start, ids, total in pieces:
             n = len(ids) // 4
-            self.rows.append((doc_id, start, n, zlib.crc32(ids), total, self.next, at, ids if self.keep else None))
+            self.rows.append((doc_id, start, n, zlib.crc32(ids), total, self.next, at, bytes(ids) if self.keep else None))
             at += n
         self.next += 1
 
@@ -169,12 +169,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, win
         packer = Packer(rows.full, length, windows)
         for b in batches:
             for doc_id, text in zip(values(b.column(0)), values(b.column(1)), strict=True):
-                ids = enc.encode(text) + end
-                packer.add((doc_id, 0, ids, len(ids) // 4))
-                if len(rows.rows) >= 5_000:
-                    yield rows.batch()
+                ids = memoryview(enc.encode(text) + end)
+                # cut at whole sequences, which packs as the whole would
+                for at in range(0, len(ids), 2000 * length):
+                    packer.add((doc_id, at // 4, ids[at : at + 2000 * length], len(ids) // 4))
+                    if len(rows.rows) >= 5_000:
+                        yield rows.batch()
         rows.left(packer.leftover())
-        enc.rest()
+        enc.forget()
         yield rows.batch()
 
     packed = docs.select("doc_id", "text").mapInArrow(fill, SCHEMA).withColumn("part", F.spark_partition_id().cast("long"))

@@ -8,13 +8,16 @@ fewer: linking each to the least of them keeps what they connect without listing
 That is near_duplicates(), for fingerprints of 64 bits and a given distance. Texts of a similarity of 0.8 differ in
 ten bits of 64 or so, whose ball no one can list. one_of_each() therefore takes several short fingerprints of a text
 (BLOCKS of BITS bits, over its distinct five-word shingles), each of which emits its ball and finds candidates for
-itself, and verifies candidates by the similarity of their shingles.
+itself, and verifies candidates by the similarity of their shingles. So that short fingerprints don't meet by chance in a
+large corpus, each has the least hash of the text's shingles beside it, which texts of that similarity have in common
+with that chance; both are one number, whose low bits vary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -98,12 +101,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Near:
     """What counts as near: words in a shingle, least share of common shingles; and how it is searched: fingerprints of
-    a text, bits of each."""
+    a text, bits of each that may vary."""
 
     shingle: int = 5
     similarity: float = 0.8
     blocks: int = 8
-    bits: int = 40
+    bits: int = 20
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -119,16 +122,21 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def short_prints(hashes: np.ndarray, near: Near) -> list[int]:
-    """A text's fingerprints: those bits are 1 that are 1 in over half of its hashes, which each block mixes anew."""
-    out = []
+    """A text's fingerprints, as signed 64-bit numbers. Each block mixes the hashes anew; the low bits are 1 where more than
+    half of the mixed hashes have a 1, the others come from the least of them."""
+    out, bytes_ = [], -(-near.bits // 8)
     for k in range(near.blocks):
-        ones = np.zeros(64, np.int64)
+        ones, least = np.zeros(8 * bytes_, np.int64), (1 << 64) - 1
         for at in range(0, len(hashes), PIECE):
             h = (hashes[at : at + PIECE] ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            bits = np.unpackbits((h ^ (h >> np.uint64(29))).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            h ^= h >> np.uint64(29)
+            least = min(least, int(h.min()))
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8)[:, :bytes_], axis=1)
             ones += bits.sum(axis=0, dtype=np.int32)
-        out.append(int(np.packbits(2 * ones > len(hashes)).view(">u8")[0]) >> (64 - near.bits))
+        low = int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big") & ((1 << near.bits) - 1)
+        high = _hash(least.to_bytes(8, "little"), SEED + k) >> near.bits << near.bits
+        out.append(((high | low) ^ (1 << 63)) - (1 << 63))
     return out
 
 
@@ -139,32 +147,37 @@ def _marked(docs: DataFrame, one: str, two: str, mark: str) -> DataFrame:
     return docs.withColumns({one: F.xxhash64(F.lit(1), text), two: F.xxhash64(F.lit(2), text), mark: F.xxhash64(*every)})
 
 
-def _candidates(nodes: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of nodes (node, prints) that share a fingerprint or have two within 2 * HALF bits of each other.
+def _first(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """print, a, b: nodes b of rows (node, print) with one node a of the same fingerprint, the first in an order that differs
+    from fingerprint to fingerprint. The table name_firsts has print, a of all fingerprints."""
+    first = F.min_by("node", F.xxhash64("node", "print"))
+    firsts = rows.groupBy("print").agg(first.alias("a"), F.count("*").alias("rows"))
+    firsts = scratch.table(firsts, f"{name}_firsts")
+    met = lookup(rows, firsts.where("rows > 1"), ["print"], "rows", "inner")
+    return scratch.table(met.where("node <> a").select("print", "a", F.col("node").alias("b")), f"{name}_shared")
 
-    Nodes of the same fingerprint are compared with the first of them, and the firsts of fingerprints that meet at a
-    variant with the first of those: never all with all. nodes whose pair with the first turns out not to be near are
-    compared again among themselves by the caller.
-    """
-    shared = _shared(nodes.select("node", F.posexplode("prints").alias("block", "print")), scratch, "first")
-    firsts = scratch.spark.read.parquet(scratch.path("first_firsts"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(near.bits)])
-    spread = firsts.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "print")
-    variants = spread.select("a", F.shiftleft(F.col("block").cast("long"), near.bits).alias("block"), "print", F.explode(flips).alias("flip"))
-    variants = variants.select("a", F.col("block").bitwiseOR(F.col("print").bitwiseXOR(F.col("flip"))).alias("variant"))
-    met = variants.groupBy("variant").agg(F.collect_list("a").alias("met")).where(F.size("met") > 1)  # bits + 1 at most
-    between = met.select(F.array_min("met").alias("a"), F.explode("met").alias("b")).where("a <> b").distinct()
-    between = scratch.table(between, "between")
-    scratch.release()
-    return shared.select("a", "b").unionByName(between).distinct()
 
+def _variants(firsts: DataFrame, near: Near) -> DataFrame:
+    """print, a, variant: the fingerprints within HALF bits of each of firsts (print, a)."""
+    flips = F.array(*[F.lit(x).cast("long") for x in (0, *[1 << b for b in range(near.bits)])])
+    spread = firsts.repartition(int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print")
+    return spread.select("print", "a", F.explode(flips).alias("flip")).select("print", "a", F.col("print").bitwiseXOR(F.col("flip")).alias("variant"))
 
-def _shared(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """block, print, a, b: nodes b of rows (node, block, print) with the first node a of the same fingerprint."""
-    firsts = rows.groupBy("block", "print").agg(F.min("node").alias("a"), F.count("*").alias("rows"))
-    firsts = scratch.table(firsts, f"{name}_firsts")
-    met = lookup(rows, firsts.where("rows > 1"), ["block", "print"], "rows", "inner")
-    return scratch.table(met.where("node <> a").select("block", "print", "a", F.col("node").alias("b")), f"{name}_shared")
+
+def _between(firsts: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b) of the first nodes of fingerprints within 2 * HALF bits of each other: they meet at a variant, where at
+    most bits + 1 fingerprints can meet, however many texts there are."""
+    met = _variants(firsts, near).groupBy("variant").agg(F.collect_list(F.struct("print", "a")).alias("met")).where(F.size("met") > 1)
+    pairs = met.select("met", F.explode("met").alias("one")).select("one", F.explode("met").alias("two"))
+    return pairs.where("one.print < two.print and one.a <> two.a").select(F.least("one.a", "two.a").alias("a"), F.greatest("one.a", "two.a").alias("b")).distinct()
+
+
+def _beside(firsts: DataFrame, further: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b) of further (print, a) with firsts and with one another, of fingerprints within 2 * HALF bits."""
+    mine = _variants(further, near).withColumnsRenamed({"print": "other", "a": "b"})
+    every = _variants(firsts.unionByName(further), near)
+    pairs = mine.join(every, "variant").where("print <> other and a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, near: Near, scratch: Scratch, name: str) -> DataFrame:
@@ -200,7 +213,9 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
     node, top (the node of the group's least id), doc_id (the text's least), mark (of the row that has it, the least), rows.
 
     Two texts are linked if their shares of common shingles reach near.similarity and a fingerprint of one is within 2
-    bits of the other's; groups are what links connect. Texts without words are all alike.
+    bits of the other's; groups are what links connect. Among texts of one fingerprint, each is compared with the first, those
+    that aren't near it with the next, and so on; these firsts and nexts are compared with those of other fingerprints.
+    Texts without words are all alike.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +232,13 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
     nodes = nodes.select("one", "two", "least.doc_id", "least.mark", "rows", "prints").sortWithinPartitions("one", "two")
     nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    pairs = scratch.table(_candidates(nodes, near, scratch), "pairs")
+    rows = nodes.select("node", F.explode(F.array_distinct("prints")).alias("print"))
+    left = _first(rows, scratch, "first")
+    firsts = scratch.spark.read.parquet(scratch.path("first_firsts")).select("print", "a")
+    between = scratch.table(_between(firsts, near), "between")
+    scratch.release()
+    pairs = scratch.table(left.select("a", "b").unionByName(between).distinct(), "pairs")
+    # all nodes that share a fingerprint or are the first of theirs: who else is compared later is among them
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = scratch.table(nodes.join(named, "node").select("one", "two", "node", F.col("doc_id").alias("id"), F.col("mark").alias("of"), "rows"), "wanted")
 
@@ -235,16 +256,19 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
     sets = scratch.table(texts.mapInArrow(hashed, "node long, hashes binary").dropDuplicates(["node"]), "sets")
     edges = _verified(pairs, sets, near, scratch, "near0")
     # whoever shares a fingerprint with others but isn't near the first of them is compared with the next, until none is left
-    left = scratch.spark.read.parquet(scratch.path("first_shared"))
-    last, turn = edges, 0
+    last, turn, further = edges, 0, []
     while True:
-        far = left.join(last, ["a", "b"], "left_anti").select(F.col("b").alias("node"), "block", "print")
-        left = _shared(scratch.table(far, f"far{turn}"), scratch, f"again{turn}")
-        if not left.limit(1).count():
+        far = scratch.table(left.join(last, ["a", "b"], "left_anti").select(F.col("b").alias("node"), "print"), f"far{turn}")
+        if not far.limit(1).count():
             break
+        left = _first(far, scratch, f"again{turn}")
+        further.append(scratch.spark.read.parquet(scratch.path(f"again{turn}_firsts")).select("print", "a"))
         turn += 1
         last = _verified(left.select("a", "b").distinct(), sets, near, scratch, f"near{turn}")
         edges = edges.unionByName(last)
+    if further:  # those next ones meet other fingerprints as well
+        more = scratch.table(_beside(firsts, reduce(DataFrame.unionByName, further), near), "beside")
+        edges = edges.unionByName(_verified(more, sets, near, scratch, "near_beside"))
     of = components(nodes.select("node", F.col("doc_id").alias("rank")), edges, scratch)
     return nodes.drop("prints").join(of.select("node", "top"), "node")
 

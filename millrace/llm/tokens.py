@@ -93,6 +93,10 @@ class Encoder:
         """Called where a task ends: the worker waits for the next one, so let go of what was met longer ago."""
         self.known.older = {}
 
+    def forget(self) -> None:
+        """Called where a task of a stage among others ends: the worker goes on to other work, so let go of all that was met."""
+        self.known, self.pieces = _Runs(self._run, {}), {}
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -42,6 +43,25 @@ def test_caches_are_bounded(monkeypatch, whole):
         assert len(e.known) <= 20 and len(e.pieces) <= 20
 
 
+def test_packing_is_linear_in_a_documents_length():
+    """100 MB of ids in one document."""
+    made = []
+    packer = packing.Packer(made.append)
+    began = time.time()
+    packer.add((1, 0, bytes(100 << 20), 25 << 20))
+    rest = packer.leftover()
+    assert time.time() - began < 5
+    assert len(made) == 12_800 and not rest and made[-1][0][1] == 12_799 * 2048
+
+
+def test_a_document_of_many_sequences(spark, whole):
+    text = "some words that go on " * 90_000
+    found = sorted(map(tuple, packing.pack(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string").coalesce(1), PATH, end_id=1, with_ids=True).where("doc_id = 1").select("start", "length", "ids", "ids_crc32").collect()))
+    ids = b"".join(bytes(r[2]) for r in found)
+    assert np.frombuffer(ids, "<u4").tolist() == [*whole(text), 1]
+    assert [r[0] for r in found] == [sum(x[1] for x in found[:i]) for i in range(len(found))] and all(zlib.crc32(r[2]) == r[3] for r in found)
+
+
 def test_packing(spark, whole):
     rows = odd_rows() + [(1000 + i, "some words to fill " * (i % 60), "en", "a", *odd_rows()[0][4:]) for i in range(300)]
     docs = spark.createDataFrame(rows, odd(spark).schema).repartition(5)
