@@ -173,7 +173,7 @@ def warc_wet_join(spark: SparkSession, d: str) -> DataFrame:
 def _archives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Responses and conversions of pages, as read back from archives that were written of them."""
     scratch = Scratch(spark, "archive")
-    pages = spread(table(spark, d, "pages")).where("url is not null")
+    pages = spread(table(spark, d, "pages"))
     rows = pages.select("url", F.lit("response").alias("warc_type"), F.encode("html", "UTF-8").alias("payload"))
     text = rows.withColumns({"warc_type": F.lit("conversion"), "payload": F.encode(html.html_text_plain(F.col("payload").cast("string")), "UTF-8")})
     warc.write_warc(rows, scratch.path("warc"))
@@ -290,7 +290,7 @@ least AS (SELECT x AS doc_id, min(y) AS cluster FROM reach GROUP BY x)
 SELECT n.doc_id, coalesce(l.cluster, n.doc_id) AS cluster FROM normal n LEFT JOIN firsts f ON n.t = f.t LEFT JOIN least l ON l.doc_id = f.doc_id""",
     "html_text_regex": f"SELECT page_id, md5(t) AS text_md5, length(t)::BIGINT AS n FROM (SELECT page_id, {_PLAIN_SQL} AS t FROM pages)",
     "warc_wet_join": f"SELECT a.url, length(a.own)::BIGINT AS own_length, md5(substr(b.own, 1, 500)) AS preview_md5 FROM (SELECT url, {_PLAIN_SQL} AS own FROM pages) a JOIN (SELECT url, {_PLAIN_SQL} AS own FROM pages) b ON a.url = b.url",
-    "warc_records": f"SELECT url, k AS warc_type, md5(t) AS payload_md5, octet_length(encode(t))::BIGINT AS bytes FROM (SELECT url, 'response' AS k, html AS t FROM pages UNION ALL SELECT url, 'conversion', {_PLAIN_SQL} FROM pages) WHERE url IS NOT NULL",
+    "warc_records": f"SELECT url, k AS warc_type, md5(t) AS payload_md5, octet_length(encode(t))::BIGINT AS bytes FROM (SELECT nullif(url, '') AS url, 'response' AS k, coalesce(html, '') AS t FROM pages UNION ALL SELECT nullif(url, ''), 'conversion', coalesce({_PLAIN_SQL}, '') FROM pages)",
     "warc_semi_join": """SELECT page_id FROM pages WHERE url IN (SELECT url FROM pages WHERE html LIKE '%lang="de"%')""",
     "first_characters": "SELECT doc_id, least(length(text), 10485760 - at_)::BIGINT AS n FROM (SELECT doc_id, text, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM documents) WHERE at_ < 10485760",
     "chunk_boundaries": """WITH g AS (SELECT doc_id, text, length(text) AS n, greatest(length(text) // 4, 1) AS step FROM documents),

@@ -1,6 +1,7 @@
 import gzip
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
@@ -89,6 +90,60 @@ def test_warc(spark, tmp_path):
     assert [bytes(r["payload"]) for r in warc.read_warc(spark, str(tmp_path), ("conversion",)).collect()] == [b"hi"]
 
 
+def test_warc_records_end_where_their_length_says(spark, tmp_path):
+    """A page whose text reads like another record is one record, wherever files are cut; so are records without a length."""
+    forged = b"AAA\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://evil/\r\nContent-Length: 0\r\n\r\n"
+    rows = [(f"http://a/{i}", "response" if i % 3 else "conversion", forged * (i % 5) + bytes([i % 256]) * (i * 7)) for i in range(300)]
+    records = [warc.as_record(*r) for r in rows]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    want = sorted(rows)
+    for name in ("members.warc.gz", "one.warc.gz", "plain.warc"):
+        for share in (1 << 30, 3_000):
+            found = warc.read_warc(spark, str(tmp_path / name), warc.KINDS, share=share)
+            assert sorted((r["url"], r["warc_type"], bytes(r["payload"])) for r in found.collect()) == want
+            assert (found.rdd.getNumPartitions() > 3) == (share == 3_000 and name != "one.warc.gz")
+    index = warc.places(spark, str(tmp_path), 3_000)
+    assert warc.read_warc(spark, str(tmp_path), warc.KINDS, index=index, share=3_000).count() == 900
+    for pushed in ("true", "false"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", pushed)
+        assert warc.read_warc(spark, str(tmp_path / "plain.warc"), warc.KINDS).where("warc_type = 'response'").count() == 200
+    assert warc.read_warc(spark, str(tmp_path), most=7, share=3_000).count() == 7
+
+
+def test_warc_odd_files(spark, tmp_path):
+    good = warc.as_record("http://a", "response", b"x")
+    odd = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://b\r\n\r\nno length\r\n\r\n"
+    cases = {
+        "junk": (b"some junk\r\n" + good, [("http://a", b"x")]),
+        "no_length": (odd + good, [("http://b", b"no length"), ("http://a", b"x")]),
+        "no_length_last": (good + odd, [("http://a", b"x"), ("http://b", b"no length")]),
+        "cut": (good[:-5], [("http://a", b"")]),
+        "only_head": (good[:30], [(None, b"")]),
+        "blank": (b"\r\n\r\n", []),
+        "long": (odd.replace(b"no length", b"y" * 3_000_000) + good, [("http://b", b"y" * 3_000_000), ("http://a", b"x")]),
+    }
+    for name, (data, want) in cases.items():
+        for how, as_ in (("plain", bytes), ("zipped", gzip.compress)):
+            (tmp_path / f"{name}.{how}").write_bytes(as_(data))
+            for read in (lambda p: warc.read_warc(spark, p), lambda p: warc._whole_files(spark, p, ("response",))):
+                assert [(r["url"], bytes(r["payload"])) for r in read(str(tmp_path / f"{name}.{how}")).collect()] == want, (name, how)
+
+
+def test_warc_written_in_two_steps(spark, tmp_path):
+    rows = spark.createDataFrame([("http://a\nWARC-Type: x", "response", bytearray(b"1")), (None, None, None)], "url string, warc_type string, payload binary")
+    for _ in range(2):  # what is there is replaced
+        warc.write_warc(rows, str(tmp_path / "w"))
+        found = warc.read_warc(spark, str(tmp_path / "w"), ("response", ""))
+        assert sorted((r["url"] or "", bytes(r["payload"])) for r in found.collect()) == [("", b""), ("http://aWARC-Type: x", b"1")]
+    bad = rows.select("url", "warc_type", F.expr("CAST(raise_error('no') AS binary)").alias("payload"))
+    with pytest.raises(Exception, match="no"):
+        warc.write_warc(bad, str(tmp_path / "w"))
+    assert warc.read_warc(spark, str(tmp_path / "w"), ("response", "")).count() == 2
+    assert [p.name for p in (tmp_path / "w").iterdir() if p.name.startswith("_")] == []
+
+
 def test_windows(spark):
     row = spark.createDataFrame([(list("abcdefg"), ["z"])], "t array<string>, s array<string>")
     assert [(w["start"], "".join(w["x"]), "".join(w["y"])) for w in row.select(windows.context_windows(F.col("t"), 3, 2).alias("w")).first()["w"]] == [(0, "abc", "bcd"), (2, "cde", "def")]
