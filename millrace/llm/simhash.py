@@ -23,7 +23,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.components import components
@@ -147,14 +147,26 @@ def _marked(docs: DataFrame, one: str, two: str, mark: str) -> DataFrame:
     return docs.withColumns({one: F.xxhash64(F.lit(1), text), two: F.xxhash64(F.lit(2), text), mark: F.xxhash64(*every)})
 
 
-def _first(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """print, a, b: nodes b of rows (node, print) with one node a of the same fingerprint, the first in an order that differs
-    from fingerprint to fingerprint. The table name_firsts has print, a of all fingerprints."""
+def _first(rows: DataFrame, scratch: Scratch, name: str, ways: int = 1) -> DataFrame:
+    """print, a, b: nodes b of rows (node, print) with up to `ways` nodes a of the same fingerprint, the first ones in an order
+    that differs from fingerprint to fingerprint. The table name_firsts has print, a of all fingerprints."""
     first = F.min_by("node", F.xxhash64("node", "print"))
-    firsts = rows.groupBy("print").agg(first.alias("a"), F.count("*").alias("rows"))
+    part = F.pmod(F.xxhash64(F.lit(ways), "print", "node"), F.lit(ways)).alias("part")
+    firsts = rows.groupBy("print", part).agg(first.alias("a"), F.count("*").alias("rows"))
+    firsts = firsts.groupBy("print").agg(F.collect_list("a").alias("firsts"), F.sum("rows").alias("rows"))
     firsts = scratch.table(firsts, f"{name}_firsts")
-    met = lookup(rows, firsts.where("rows > 1"), ["print"], "rows", "inner")
-    return scratch.table(met.where("node <> a").select("print", "a", F.col("node").alias("b")), f"{name}_shared")
+    met = lookup(rows, firsts.where("rows > 1"), ["print"], "rows", "inner").select("print", F.explode("firsts").alias("a"), F.col("node").alias("b"))
+    return scratch.table(met.where("a <> b"), f"{name}_shared")
+
+
+def _firsts(scratch: Scratch, name: str) -> DataFrame:
+    """print, a of a table of _first()."""
+    return scratch.spark.read.parquet(scratch.path(f"{name}_firsts")).select("print", F.explode("firsts").alias("a"))
+
+
+def _ordered() -> tuple[Column, Column]:
+    """A pair, the lesser node first."""
+    return F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
 
 
 def _variants(firsts: DataFrame, near: Near) -> DataFrame:
@@ -169,7 +181,7 @@ def _between(firsts: DataFrame, near: Near) -> DataFrame:
     most bits + 1 fingerprints can meet, however many texts there are."""
     met = _variants(firsts, near).groupBy("variant").agg(F.collect_list(F.struct("print", "a")).alias("met")).where(F.size("met") > 1)
     pairs = met.select("met", F.explode("met").alias("one")).select("one", F.explode("met").alias("two"))
-    return pairs.where("one.print < two.print and one.a <> two.a").select(F.least("one.a", "two.a").alias("a"), F.greatest("one.a", "two.a").alias("b")).distinct()
+    return pairs.where("one.print < two.print and one.a <> two.a").select(F.col("one.a").alias("a"), F.col("two.a").alias("b")).select(*_ordered()).distinct()
 
 
 def _beside(firsts: DataFrame, further: DataFrame, near: Near) -> DataFrame:
@@ -177,7 +189,7 @@ def _beside(firsts: DataFrame, further: DataFrame, near: Near) -> DataFrame:
     mine = _variants(further, near).withColumnsRenamed({"print": "other", "a": "b"})
     every = _variants(firsts.unionByName(further), near)
     pairs = mine.join(every, "variant").where("print <> other and a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(*_ordered()).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, near: Near, scratch: Scratch, name: str) -> DataFrame:
@@ -234,10 +246,10 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
 
     rows = nodes.select("node", F.explode(F.array_distinct("prints")).alias("print"))
     left = _first(rows, scratch, "first")
-    firsts = scratch.spark.read.parquet(scratch.path("first_firsts")).select("print", "a")
+    firsts = _firsts(scratch, "first")
     between = scratch.table(_between(firsts, near), "between")
     scratch.release()
-    pairs = scratch.table(left.select("a", "b").unionByName(between).distinct(), "pairs")
+    pairs = scratch.table(left.select(*_ordered()).unionByName(between).distinct(), "pairs")
     # all nodes that share a fingerprint or are the first of theirs: who else is compared later is among them
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = scratch.table(nodes.join(named, "node").select("one", "two", "node", F.col("doc_id").alias("id"), F.col("mark").alias("of"), "rows"), "wanted")
@@ -255,16 +267,22 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
     texts = texts.where(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of"))).select("node", "text")
     sets = scratch.table(texts.mapInArrow(hashed, "node long, hashes binary").dropDuplicates(["node"]), "sets")
     edges = _verified(pairs, sets, near, scratch, "near0")
-    # whoever shares a fingerprint with others but isn't near the first of them is compared with the next, until none is left
+    # whoever shares a fingerprint with others but isn't near the first of them is compared with the next two, then the next
+    # four, and so on, until none is left
     last, turn, further = edges, 0, []
     while True:
-        far = scratch.table(left.join(last, ["a", "b"], "left_anti").select(F.col("b").alias("node"), "print"), f"far{turn}")
+        near_one = left.join(last, ["a", "b"]).select("print", F.col("b").alias("node")).unionByName(
+            left.join(last.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).select("print", F.col("b").alias("node"))
+        )
+        done = near_one.unionByName(left.select("print", F.col("a").alias("node"))).distinct()
+        far = left.select("print", F.col("b").alias("node")).distinct().join(done, ["print", "node"], "left_anti")
+        far = scratch.table(far, f"far{turn}")
         if not far.limit(1).count():
             break
-        left = _first(far, scratch, f"again{turn}")
-        further.append(scratch.spark.read.parquet(scratch.path(f"again{turn}_firsts")).select("print", "a"))
+        left = _first(far, scratch, f"again{turn}", 2 << turn)
+        further.append(_firsts(scratch, f"again{turn}"))
         turn += 1
-        last = _verified(left.select("a", "b").distinct(), sets, near, scratch, f"near{turn}")
+        last = _verified(left.select(*_ordered()).distinct(), sets, near, scratch, f"near{turn}")
         edges = edges.unionByName(last)
     if further:  # those next ones meet other fingerprints as well
         more = scratch.table(_beside(firsts, reduce(DataFrame.unionByName, further), near), "beside")
