@@ -2,8 +2,10 @@
 
 Rules name a host and the start of a path and hold for all subdomains. Hosts most of whose pages a rule allows are
 trusted seeds, hosts most of whose pages a rule blocks are blocked seeds. Trust goes along links by personalised
-PageRank from the trusted seeds, distrust against them from the blocked seeds: who links to a blocked host is
-distrusted. Both are compared for each host.
+PageRank from the trusted seeds. Distrust goes against links from the blocked seeds: who links to a blocked host is
+distrusted, by the share of its links that go there. So a host's distrust is the personalised PageRank that the blocked
+seeds have for a surfer who sets out from that host, a share from 0 to 1 whatever the number of hosts and seeds. It is held
+against a bar of each host's own, which trust raises.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from .common import HOT_ROWS, MAX_HOT_KEYS, Scratch, lookup
 
 #: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: The tolerance is on a host's rank times the number of hosts; ROUNDS go by between two tables.
-DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-3, 4
-#: A host is blocked if the distrust that reaches it is above this multiple of what each host had if one seed's were
-#: dealt evenly, and above the trust that reaches it.
-THRESHOLD = 0.5
+#: The tolerance is on distrust, and on trust as a multiple of the mean; ROUNDS go by between two tables.
+DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-4, 4
+#: A host is blocked if its distrust is above this. A host that has no links but to blocked seeds, which have none, has
+#: damping * (1 - damping) = 0.1275 in all, so this is about the third of its links. The bar is twice as high for hosts that have
+#: the mean trust or more, and in between for those with less.
+THRESHOLD = 0.04
 
 
 def host_of(url: Column) -> Column:
@@ -55,27 +58,25 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(hosts: DataFrame, links: DataFrame, scratch: Scratch, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """host, trust, distrust, trust_sum, distrust_sum, blocked: personalised PageRank along and against links.
+def spread(hosts: DataFrame, links: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust, bad, blocked: trust is a multiple of the mean, distrust a share from 0 to 1; blocked is the
+    host's own, bad whether its distrust is above its bar.
 
-    trust and distrust are shares of a host (mean 1). The sums are what reaches a host if each seed gives its own
-    weight, so they don't depend on how many other seeds there are or how much those weigh. blocked is the host's own.
-
-    hosts: host, trusted, blocked (weights of the seeds). Both go in one iteration, over edges that carry which of
-    the two they serve. Rounds go on until no host's rank is further than the tolerance from where it will end: what
-    moves in all shrinks by the damping with each round, so that comes, and bounds what is still to come.
+    hosts: host, trusted, blocked (weights of the seeds, at most 1 for blocked ones). Both go in one iteration, over edges that
+    carry which of the two they serve. What changes shrinks by the damping with each round, trust in all and distrust for
+    each host, which bounds what is still to come: rounds go on until it can't change any verdict, or is within the tolerance.
 
     A host that very many link to sends along all those edges in the distrust's direction. Such hosts are few (their
     edges add up to no more than all); their ranks are broadcast, all others are shuffled.
     """
-    both = links.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionByName(
-        links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n")
+    sent = links.groupBy("src").agg(F.sum("n").alias("all"), F.count("*").alias("rows"))
+    shares = scratch.table(lookup(links, sent, ["src"], "rows").select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "shares")
+    both = shares.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "w").unionByName(
+        shares.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "w")
     )
-    out = both.groupBy("kind", "a").agg(F.sum("n").alias("all"), F.count("*").alias("rows"))
-    out = scratch.table(out, "out")
+    out = scratch.table(both.groupBy("kind", "a").agg(F.count("*").alias("rows")), "out")
     limit = max(HOT_ROWS, (out.agg(F.sum("rows")).first()[0] or 0) // MAX_HOT_KEYS)
-    weighed = lookup(both, out, ["kind", "a"], "rows").select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w"))
-    edges = scratch.table(weighed, "edges")
+    edges = scratch.table(both, "edges")
     hot = scratch.table(out.where(F.col("rows") > limit).select("kind", "a"), "hot")  # MAX_HOT_KEYS rows at most
     hubs = hot.limit(1).count() > 0
     if hubs:
@@ -99,32 +100,46 @@ def spread(hosts: DataFrame, links: DataFrame, scratch: Scratch, damping: float
         rank = F.coalesce("sent", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0))
         return sent.join(seeds, ["kind", "host"], "full").select("kind", "host", rank.alias("rank"))
 
+    def judged(ranks: DataFrame, total: float) -> DataFrame:
+        """Hosts that have a rank, with bar: how high their distrust may be."""
+        mine = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
+        # what trust reaches dead ends goes back to the seeds, in proportion: shares are ranks over their sum
+        found = ranks.groupBy("host").agg((mine("trust") * (n / total)).alias("trust"), (mine("distrust") * (1 - damping)).alias("distrust"))
+        return found.withColumn("bar", threshold * (1 + F.least(F.col("trust"), F.lit(1.0))))
+
     ranks = seeds.withColumnRenamed("seed", "rank")
-    shrinks = damping**ROUNDS
-    for k in count() if edges.limit(1).count() else ():  # without links the seeds keep all
+    shrinks = damping**ROUNDS / (1 - damping**ROUNDS)
+    total = 1.0
+    for k in count():
         new = ranks
         for _ in range(ROUNDS):
             new = onward(new)
         new = scratch.table(new, f"ranks{k}")
-        moved = new.join(ranks.withColumnRenamed("rank", "old"), ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+        change = F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
+        of = lambda kind, x: F.when(F.col("kind") == kind, x)
+        moved = new.join(ranks.withColumnRenamed("rank", "old"), ["kind", "host"], "full").agg(
+            F.sum(of("trust", change)).alias("trust"), F.max(of("distrust", change)).alias("distrust"), F.sum(of("trust", F.col("rank"))).alias("total")
+        ).first()
         if k:
             scratch.drop(f"ranks{k - 1}")
-        ranks = new
-        if (moved or 0.0) * n * shrinks / (1 - shrinks) < tolerance:
+        ranks, total = new, moved["total"] or 1.0
+        # how far any host's trust and distrust may still move
+        more_trust = 2 * (moved["trust"] or 0.0) * shrinks * n / total
+        more_distrust = (moved["distrust"] or 0.0) * shrinks * (1 - damping)
+        if more_trust <= tolerance and more_distrust <= tolerance:
+            break
+        near = F.abs(F.col("distrust") - F.col("bar")) <= more_distrust + threshold * min(more_trust, 1.0)
+        if not judged(ranks, total).where(near).limit(1).count():
             break
-    score = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(f"{kind}_sum")
-    found = scratch.table(ranks.groupBy("host").agg(score("trust"), score("distrust")), "found")
-    # what reaches dead ends goes back to the seeds, in proportion: shares are the sums over their total
-    total = found.agg(F.sum("trust_sum").alias("trust"), F.sum("distrust_sum").alias("distrust")).first()
-    shares = {kind: F.col(f"{kind}_sum") * (n / (total[kind] or 1.0)) for kind in ("trust", "distrust")}
-    return hosts.select("host", "blocked").join(found.withColumns(shares), "host", "left").na.fill(0.0)
+    found = judged(ranks, total).select("host", "trust", "distrust", (F.col("distrust") > F.col("bar")).alias("bad"))
+    return hosts.select("host", "blocked").join(found, "host", "left").na.fill(0.0).na.fill(False)
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every row of pages (page_id, url, html).
 
-    The verdict is the rule's where one fits; else block if the host is a blocked seed, or if its distrust is above the
-    threshold and above its trust, else allow. Every seed weighs the same, so a host with very many pages changes
+    The verdict is the rule's where one fits; else block if the host is a blocked seed, or if its distrust is above its bar
+    (threshold, up to twice that with trust), else allow. Every seed weighs the same, so a host with very many pages changes
     nothing for what other seeds reach. A url that is null or has no :// has an empty host and path, no rule and no links, and is
     allowed. Pages without html give no links. Rows that repeat are judged alike.
     """
@@ -140,10 +155,9 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     weight = lambda mine, other: F.when((F.col(mine) > F.col(other)) & (2 * F.col(mine) > F.col("rows")), 1.0).otherwise(0.0)
     seeds = named.select("host", weight("allowed", "blocked").alias("trusted"), weight("blocked", "allowed").alias("blocked"))
     links = scratch.table(host_links(pages.select(host.alias("host"), "html")), "links")
-    ranks = scratch.table(spread(seeds, links, scratch), "ranks")
-    reached = (F.col("distrust_sum") * F.lit(float(ranks.count())) > threshold) & (F.col("distrust_sum") > F.col("trust_sum"))
-    ranks = ranks.select("host", "trust", "distrust", ((F.col("blocked") > 0) | reached).alias("bad"))
-    judged = scratch.table(hosts.select("host", "rows").join(ranks, "host", "left").na.fill(0.0), "judged")
+    ranks = scratch.table(spread(seeds, links, scratch, threshold), "ranks")
+    ranks = ranks.select("host", "trust", "distrust", ((F.col("blocked") > 0) | F.col("bad")).alias("bad"))
+    judged = scratch.table(hosts.select("host", "rows").join(ranks, "host", "left").na.fill(0.0).na.fill(False), "judged")
     found = lookup(rows, judged, ["host"], "rows")
     own = F.when(F.col("bad"), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "trust", "distrust")
