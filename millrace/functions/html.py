@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from millrace.functions import charset
+
 _HIDDEN = {"script", "style", "head", "title", "noscript", "template", "textarea", "select", "iframe", "object"}
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -87,13 +89,16 @@ def extract_text(html: str | None) -> str | None:
 
 
 def decode_bytes(data: bytes | None) -> str | None:
-    """UTF-8 if that fits, else what a byte-order mark or the page itself says, else UTF-8 with signs for what is broken."""
+    """As a byte-order mark says, else UTF-8 if that fits, else as the page itself says, else as its signs fit best; signs
+    for what is broken."""
     if data is None:
         return None
     data = bytes(data)
     named = [e for mark, e in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")) if data.startswith(mark)]
     said = re.search(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", data[:4096])
-    for name in [*named, "utf-8", *([said[1].decode("ascii")] if said else [])]:
+    guess = [charset.detect(data)] if not named else []
+    wide = [g for g in guess if g.startswith("utf-16")]  # which reads as UTF-8 with zeros
+    for name in [*named, *wide, "utf-8", *([said[1].decode("ascii")] if said else []), *guess]:
         try:
             return data.decode(name)
         except (LookupError, UnicodeDecodeError):

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.scratch import Scratch
 
-#: Distinct words that the driver trains on; with more of them every merge is a job of its own.
-MAX_DRIVER_WORDS = 5_000_000
+#: Bytes of distinct words that the driver trains on, which take some hundred times that; more are left on the executors.
+MAX_DRIVER_BYTES = 4_000_000
 #: Words whose ids a worker keeps.
 CACHE = 1_000_000
 
@@ -123,14 +126,14 @@ def merge(symbols: list[bytes], pair: tuple[bytes, bytes]) -> list[bytes]:
     return out
 
 
-def train(docs: DataFrame, vocab_size: int, specials: list[str] | None = None, max_driver_words: int = MAX_DRIVER_WORDS) -> tuple[dict[int, bytes], list[tuple[bytes, bytes]]]:
+def train(docs: DataFrame, vocab_size: int, specials: list[str] | None = None, max_driver_bytes: int = MAX_DRIVER_BYTES) -> tuple[dict[int, bytes], list[tuple[bytes, bytes]]]:
     """Vocabulary (bytes, then merges, then special tokens) and merges of docs (text). Null texts are left out."""
     specials = specials or []
     merges = max(0, vocab_size - 256 - len(specials))
     words = word_counts(docs, specials)
     scratch = Scratch(docs.sparkSession, "bpe")
     words = scratch.table(words, "words")
-    if words.count() <= max_driver_words:
+    if (words.agg(F.sum(F.octet_length("word"))).first()[0] or 0) <= max_driver_bytes:
         local = words.toArrow()
         learned = learn(dict(zip(local["word"].to_pylist(), local["n"].to_pylist(), strict=True)), merges)
     else:
@@ -139,26 +142,172 @@ def train(docs: DataFrame, vocab_size: int, specials: list[str] | None = None, m
     return dict(enumerate(tokens)), learned
 
 
+class Pairs:
+    """Counts of adjacent pairs of symbols, and the merges that come next. Symbols are numbers; the first 256 are bytes."""
+
+    def __init__(self):
+        self.tokens = [bytes([b]) for b in range(256)]
+        self.order = [_order(t) for t in self.tokens]
+        self.total: dict[tuple[int, int], int] = defaultdict(int)
+        self.after: dict[int, set[int]] = defaultdict(set)  # what has followed a symbol
+        self.before: dict[int, set[int]] = defaultdict(set)
+        self.heap: list[tuple] = []
+
+    def _entry(self, pair: tuple[int, int]) -> tuple:
+        return -self.total[pair], self.order[pair[0]], self.order[pair[1]], pair
+
+    def add(self, lefts: Iterable[int], rights: Iterable[int], changes: Iterable[int]) -> None:
+        for a, b, n in zip(lefts, rights, changes, strict=True):
+            self.total[a, b] += n
+            if self.total[a, b]:
+                self.after[a].add(b)
+                self.before[b].add(a)
+                heapq.heappush(self.heap, self._entry((a, b)))
+            else:
+                del self.total[a, b]
+                self.after[a].discard(b)
+                self.before[b].discard(a)
+
+    def next(self, most: int) -> list[tuple[int, int]]:
+        """The next merges, as many as are certain before any of them is made; each gets a new symbol.
+
+        A pair comes next if it shares no end with an earlier one of them (then its count stays) and no pair that those
+        make can come before it. A made pair is at most as frequent as the pair of symbols that it comes from, which was not
+        above the next one; where it may be as frequent, its bytes decide.
+        """
+        out: list[tuple[int, int]] = []
+        lefts: set[int] = set()
+        rights: set[int] = set()
+        made: dict[int, list[tuple]] = defaultdict(list)  # orders of pairs that may come up, by the most that they can count
+        while self.heap and len(out) < most:
+            n, *of, pair = entry = heapq.heappop(self.heap)
+            if -n != self.total.get(pair, 0):
+                continue  # an outdated entry: every change has put in its own
+            if self.heap and self.heap[0] == entry:
+                continue
+            a, b = pair
+            if a in rights or b in lefts or any(o <= tuple(of) for o in made[-n]):
+                heapq.heappush(self.heap, entry)
+                break
+            out.append(pair)
+            token = self.tokens[a] + self.tokens[b]
+            self.tokens.append(token)
+            order = _order(token)
+            self.order.append(order)
+            lefts.add(a)
+            rights.add(b)
+            for x in self.before[a]:
+                made[self.total[x, a]].append((self.order[x], order) if x not in rights else ((), ()))
+            for y in self.after[b]:
+                made[self.total[b, y]].append((order, self.order[y]) if y not in lefts else ((), ()))
+        return out
+
+
+def _apply(symbols: np.ndarray, counts: np.ndarray, batch: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols after the merges of a batch (left, right, made), keys of pairs whose counts change, by how much).
+
+    symbols: words one after another, each ended by -1; counts: of the words. No two merges of a batch meet at a symbol.
+    """
+    by = sorted((a << 32 | b, c) for a, b, c in batch)
+    keys, made = (np.array(x, np.int64) for x in zip(*by, strict=True))
+    pairs = (symbols[:-1].astype(np.int64) << 32) | symbols[1:]
+    pairs[(symbols[:-1] < 0) | (symbols[1:] < 0)] = -1
+    which = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+    at = np.flatnonzero(keys[which] == pairs)
+    if not len(at):
+        return symbols, at, at
+    # of the same sign many times in a row every other pair is merged, from the left
+    runs = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+    place = np.arange(len(at)) - np.repeat(runs, np.diff(np.r_[runs, len(at)]))
+    at = at[place % 2 == 0]
+    word = np.cumsum(symbols < 0) - (symbols < 0)
+    touched = np.zeros(len(counts), bool)
+    touched[word[at]] = True
+    after = symbols.copy()
+    after[at] = made[which[at]]
+    gone = np.zeros(len(symbols), bool)
+    gone[at + 1] = True
+    after, word_after = after[~gone], word[~gone]
+    changed, by_how_much = [], []
+    for s, w, sign in ((symbols, word, -1), (after, word_after, 1)):
+        here = np.flatnonzero(touched[w[:-1]] & (s[:-1] >= 0) & (s[1:] >= 0))
+        changed.append((s[here].astype(np.int64) << 32) | s[here + 1])
+        by_how_much.append(sign * counts[w[here]])
+    return after, *_summed(np.concatenate(changed), np.concatenate(by_how_much))
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sums of their values, where those aren't zero."""
+    if not len(keys):
+        return keys, values
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.r_[True, np.diff(keys) != 0])
+    sums = np.add.reduceat(values[by], first)
+    return keys[first][sums != 0], sums[sums != 0]
+
+
+_STATE = "symbols binary, counts binary, left int, right int, change long"
+
+
+def _state(blocks: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, changes: np.ndarray) -> pa.RecordBatch:
+    """Rows of words (symbols, counts) and rows of changes (left, right, change)."""
+    n, m = len(blocks), len(keys)
+    none = lambda k, kind: pa.nulls(k, kind)
+    both = lambda head, tail: pa.concat_arrays([head, tail])
+    words = [both(pa.array([b[i].tobytes() for b in blocks], pa.binary()), none(m, pa.binary())) for i in range(2)]
+    pairs = [both(none(n, kind), pa.array(x, kind)) for x, kind in ((keys >> 32, pa.int32()), (keys & 0xFFFFFFFF, pa.int32()), (changes, pa.int64()))]
+    return pa.RecordBatch.from_arrays([*words, *pairs], [c.split()[0] for c in _STATE.split(", ")])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (word, n) as symbols, with the counts of their pairs."""
+    for b in batches:
+        data = [w.encode("utf-8") for w in b.column(0).to_pylist()]
+        symbols = np.full(sum(map(len, data)) + len(data), -1, np.int32)
+        ends = np.cumsum([len(w) + 1 for w in data]) - 1
+        inside = np.ones(len(symbols), bool)
+        inside[ends] = False
+        symbols[inside] = np.frombuffer(b"".join(data), np.uint8)
+        counts = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        word = np.cumsum(~inside) - ~inside
+        at = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))
+        yield _state([(symbols, counts)], *_summed((symbols[at].astype(np.int64) << 32) | symbols[at + 1], counts[word[at]]))
+
+
 def _learn_spread(words: DataFrame, merges: int, scratch: Scratch) -> list[tuple[bytes, bytes]]:
-    """The same merges with the words left on the executors: one aggregation a merge, a table every 20."""
-    data = F.regexp_extract_all(F.hex(F.encode("word", "UTF-8")), F.lit(".."), F.lit(0))
-    rows, learned = scratch.table(words.select(data.alias("s"), "n"), "spread0"), []
-
-    @F.pandas_udf("array<string>")
-    def apply(s: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([merge(list(x), (p, q)) for x, p, q in zip(s, a, b, strict=True)])
-
-    while len(learned) < merges:
-        pairs = F.zip_with(F.slice("s", 1, F.size("s") - 1), F.slice("s", 2, F.size("s") - 1), lambda a, b: F.struct(a.alias("l"), b.alias("r")))
-        counted = rows.where(F.size("s") > 1).select(F.explode(pairs).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
-        best = counted.agg(F.max(F.struct("n", "p")).alias("b")).first()["b"]
-        if best is None:
-            break
-        learned.append((bytes.fromhex(best["p"]["l"]), bytes.fromhex(best["p"]["r"])))
-        rows = rows.withColumn("s", apply("s", F.lit(best["p"]["l"]), F.lit(best["p"]["r"])))
-        if len(learned) % 20 == 0:
-            rows = scratch.table(rows, f"spread{len(learned)}")
-    return learned
+    """The same merges as learn() with the words left on the executors.
+
+    The driver holds the counts of pairs alone. A round makes all merges that are certain without knowing what they change,
+    in one pass over the words (blocks of numbers, gone through as arrays), which writes the words as they are then
+    and, beside them, the changes of counts that each task has added up; only changes are shuffled and come to the driver.
+    """
+    pairs, learned, turn = Pairs(), [], 0
+    state = scratch.table(words.select("word", "n").mapInArrow(_blocks, _STATE), "merged0")
+    while True:
+        changes = state.where("change is not null").groupBy("left", "right").agg(F.sum("change").alias("change")).where("change <> 0").toArrow()
+        pairs.add(*(changes[c].to_pylist() for c in ("left", "right", "change")))
+        batch = pairs.next(merges - len(learned))
+        first = len(pairs.tokens) - len(batch)
+        learned += [(pairs.tokens[a], pairs.tokens[b]) for a, b in batch]
+        if not batch or len(learned) == merges:
+            return learned
+        numbered = [(a, b, first + k) for k, (a, b) in enumerate(batch)]
+
+        def go(batches: Iterator[pa.RecordBatch], numbered=numbered) -> Iterator[pa.RecordBatch]:
+            keys, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for b in batches:
+                for symbols, counts in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
+                    counts = np.frombuffer(counts, np.int64)
+                    after, k, v = _apply(np.frombuffer(symbols, np.int32), counts, numbered)
+                    keys.append(k)
+                    values.append(v)
+                    yield _state([(after, counts)], keys[0], values[0])
+            yield _state([], *_summed(np.concatenate(keys), np.concatenate(values)))
+
+        turn += 1
+        state = scratch.table(state.where("symbols is not null").mapInArrow(go, _STATE), f"merged{turn}")
+        scratch.drop(f"merged{turn - 1}")
 
 
 class _Words(dict):
@@ -171,8 +320,18 @@ class _Words(dict):
         self[word] = ids = self.make(word)
         return ids
 
-    def __reduce__(self):
-        return _Words, (self.make,)
+
+#: The codecs that a worker has met last, by key, so that the next task finds the words that it knows.
+_met: dict[str, "Codec"] = {}
+
+
+def _codec(key: str, *parts) -> "Codec":
+    if key not in _met:
+        if len(_met) >= 2:
+            _met.pop(next(iter(_met)))
+        _met[key] = Codec(*parts)
+        _met[key].key = key
+    return _met[key]
 
 
 class Codec:
@@ -181,10 +340,12 @@ class Codec:
     def __init__(self, vocab: dict[int, bytes], merges: list[tuple[bytes, bytes]], specials: Iterable[str] = ()):
         import regex
 
+        specials = tuple(specials)
         self.vocab = dict(vocab)
         self.specials = sorted(specials, key=len, reverse=True)
+        tokens = set(self.vocab.values())
         for s in self.specials:
-            if s.encode("utf-8") not in set(self.vocab.values()):
+            if s.encode("utf-8") not in tokens:
                 self.vocab[max(self.vocab, default=-1) + 1] = s.encode("utf-8")
         self.ids = {t: i for i, t in self.vocab.items()}
         self.rank = {p: k for k, p in enumerate(merges)}
@@ -192,6 +353,10 @@ class Codec:
         self.pattern = regex.compile(tx.PRETOKEN)
         self.special_ids = {s: self.ids[s.encode("utf-8")] for s in self.specials}
         self.known = _Words(self._make)
+        self.parts, self.key = (vocab, merges, tuple(specials)), uuid.uuid4().hex
+
+    def __reduce__(self):
+        return _codec, (self.key, *self.parts)
 
     def word(self, word: str) -> list[int]:
         """Ids of a word; remembered, up to CACHE words."""
@@ -229,7 +394,7 @@ class Codec:
 
 
 def encoder(codec: Codec):
-    """Column function: text to ids. Words are encoded once a worker, so nothing is shuffled."""
+    """Column function: text to ids. A worker keeps the words that it has met from task to task, so nothing is shuffled."""
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -18,6 +18,8 @@ FEATURES = 1 << 14
 # Words that the lexicon scorer counts
 NSFW_WORDS = ("porn", "xxx", "nude", "naked", "sex", "erotic", "hardcore", "nsfw", "fetish", "orgasm", "cock", "dick", "pussy", "tits", "cum", "fuck", "fucking", "blowjob", "anal", "milf")
 CJK_SHARE = 0.2
+#: Languages that are written with Chinese characters.
+HAN_LANGUAGES = ("zh", "ja", "yue", "wuu", "lzh")
 
 
 def character_grams(text: Column, n: int = 3) -> Column:
@@ -86,16 +88,20 @@ def fit_language(labelled: DataFrame, fit_rows: int = 2_000) -> Classifier:
 def language(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: int = 2_000, classifier: Classifier | None = None) -> DataFrame:
     """doc_id, label, score of every row of docs, by a classifier or by one that is fitted on labelled.
 
-    Texts of which a fifth or more of the letters are Chinese characters are zh, whether or not that was learned. Null
-    texts count as empty, ids may be null or repeat. Where there was nothing to learn from, the label is null.
+    Where no language was learned that is written with Chinese characters, texts of which a fifth or more of the letters are
+    such are zh, or ja if there are kana among them. Null texts count as empty, ids may be null or repeat. Where there was nothing
+    to learn from, the label is null.
     """
     classifier = classifier or fit_language(labelled, fit_rows)
     text = F.coalesce("text", F.lit(""))
+    learned = bool(set(HAN_LANGUAGES) & {x.lower().replace("_", "-").split("-")[0] for x in classifier.labels})
     letters, chinese = (F.length(F.regexp_replace(text, signs, "")) for signs in (r"[^\p{L}]", r"[^\p{IsHan}]"))
     share = F.coalesce(chinese / F.nullif(letters, F.lit(0)), F.lit(0.0))
-    found = classifier.scored(docs.select("doc_id", character_grams(F.col("text")).alias("grams"), share.alias("zh")))
-    is_zh = F.col("zh") >= CJK_SHARE
-    return found.select("doc_id", F.when(is_zh, "zh").otherwise(F.col("label")).alias("label"), F.when(is_zh, F.col("zh")).otherwise(F.col("score")).alias("score"))
+    kana = F.regexp_like(text, F.lit(r"[\p{IsHiragana}\p{IsKatakana}]"))
+    found = classifier.scored(docs.select("doc_id", character_grams(F.col("text")).alias("grams"), share.alias("han"), kana.alias("kana")))
+    by_signs = F.lit(not learned) & (F.col("han") >= CJK_SHARE)
+    label = F.when(by_signs, F.when(F.col("kana"), "ja").otherwise("zh")).otherwise(F.col("label"))
+    return found.select("doc_id", label.alias("label"), F.when(by_signs, F.col("han")).otherwise(F.col("score")).alias("score"))
 
 
 def fit_binary(docs: DataFrame, labels: DataFrame, column: str, names: tuple[str, str], fit_rows: int = 4_000) -> Classifier:

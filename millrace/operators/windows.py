@@ -106,6 +106,39 @@ def draw(probabilities: DataFrame, u: float) -> DataFrame:
     return placed.where((F.col(before) <= u) & (F.col(before) + F.col("p") > u)).orderBy(before).limit(1).select("item", "p")
 
 
+def race(weight: Column, *of: Column) -> Column:
+    """The time at which an item of this weight arrives, exponentially distributed with the weight as its rate, from a hash of
+    the columns. Of several items the first to arrive is each with a chance in proportion to its weight. Null where the weight
+    isn't above zero, so that such an item never comes."""
+    digits = F.substring(F.md5(F.encode(F.concat_ws(":", *[c.cast("string") for c in of]), "UTF-8")), 1, 12)
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return F.when(weight > 0, -F.log(u) / weight)
+
+
+def draws(weighted: DataFrame, times: int, seed: int) -> DataFrame:
+    """group, draw, item: `times` independent draws from the distribution of each group of weighted (group, item, weight), which
+    need not sum to 1. Each draw is a race: the least arrival, an aggregate that is taken before the shuffle, so a group
+    of any size costs one row a task and draw. Ties go to the lesser item; reruns agree; groups without a positive weight have none.
+    """
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("draw")
+    rows = weighted.where("weight > 0").select("group", "item", "weight", numbers)
+    arrives = race(F.col("weight"), F.lit(seed), F.col("draw"), F.col("group"), F.col("item"))
+    first = rows.groupBy("group", "draw").agg(F.min(F.struct(arrives.alias("at"), "item")).alias("first"))
+    return first.select("group", "draw", "first.item")
+
+
+def draw_without_return(weighted: DataFrame, most: int, seed: int) -> DataFrame:
+    """group, place, item: of each group up to `most` different items, drawn one after another in proportion to the weights of
+    those that are left: the first arrivals of one race."""
+    arrives = race(F.col("weight"), F.lit(seed), F.lit(0), F.col("group"), F.col("item"))
+    rows = weighted.where("weight > 0").select("group", "item", arrives.alias("at"))
+    # the first of each of some parts of a group, before its rows meet
+    part = F.pmod(F.xxhash64("item"), F.lit(64))
+    some = rows.withColumn("place", F.row_number().over(W.partitionBy("group", part).orderBy("at", "item"))).where(F.col("place") <= most)
+    placed = some.withColumn("place", F.row_number().over(W.partitionBy("group").orderBy("at", "item"))).where(F.col("place") <= most)
+    return placed.select("group", "place", "item")
+
+
 def round_robin(position: Column, n: int) -> Column:
     """Owner of the item at a position counted from 0."""
     return F.pmod(position, F.lit(n))

@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import curation, numeric, tokenizing
+from millrace.plans import curation, numeric, streams, tokenizing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return curation.QUERIES | tokenizing.QUERIES | numeric.QUERIES
+    return curation.QUERIES | tokenizing.QUERIES | numeric.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return curation.SQL | tokenizing.SQL | numeric.SQL
+    return curation.SQL | tokenizing.SQL | numeric.SQL | streams.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

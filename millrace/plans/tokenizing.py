@@ -37,16 +37,30 @@ def bpe_first_merge(spark: SparkSession, d: str) -> DataFrame:
     return bpe.first_merge(pair_counts_bytes(spark, d))
 
 
+#: Vocabularies of this application's tables, saved where all executors can read them.
+_saved: dict[tuple[str, str], str] = {}
+
+
+def _trained(spark: SparkSession, d: str) -> tuple[dict[int, bytes], list[tuple[bytes, bytes]]]:
+    """The vocabulary of all documents: trained once an application, then read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _saved:
+        path = Scratch(spark, "vocabulary").path("saved")
+        token_source.write_vocabulary(spark, path, *bpe.train(_docs(spark, d), VOCAB, SPECIALS))
+        _saved[key] = path
+    return token_source.read_vocabulary(spark, _saved[key])
+
+
 def bpe_train(spark: SparkSession, d: str) -> DataFrame:
     """rank, left, right (hex) of the merges learned from all documents."""
-    _, merges = bpe.train(_docs(spark, d), VOCAB, SPECIALS)
+    _saved.pop((spark.sparkContext.applicationId, d), None)  # this query always trains
+    _, merges = _trained(spark, d)
     rows = [(k, a.hex().upper(), b.hex().upper()) for k, (a, b) in enumerate(merges)]
     return spark.createDataFrame(rows, "rank long, left string, right string")
 
 
 def _codec(spark: SparkSession, d: str) -> bpe.Codec:
-    vocab, merges = bpe.train(_docs(spark, d), VOCAB, SPECIALS)
-    return bpe.Codec(vocab, merges, SPECIALS)
+    return bpe.Codec(*_trained(spark, d), SPECIALS)
 
 
 def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +176,9 @@ SQL = {
     "byte_unicode_map": "WITH b AS (SELECT range AS byte, (range BETWEEN 33 AND 126 OR range BETWEEN 161 AND 172 OR range >= 174) AS shown FROM range(256)) SELECT byte::BIGINT AS byte, CASE WHEN shown THEN byte ELSE 255 + sum(CASE WHEN shown THEN 0 ELSE 1 END) OVER (ORDER BY byte) END::BIGINT AS code FROM b",
     "next_token_pairs": f"WITH w AS (SELECT {_SPLIT} AS w FROM documents), p AS (SELECT w, unnest(range(1, len(w))) AS i FROM w) SELECT md5(w[i]) AS x_md5, md5(w[i + 1]) AS y_md5, count(*) AS n FROM p GROUP BY w[i], w[i + 1]",
     "context_windows": f"WITH w AS (SELECT doc_id, {_SPLIT} AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w) - 64, 64)) AS start FROM w) SELECT doc_id, start::BIGINT AS start, md5(array_to_string(w[start + 1:start + 64], ' ')) AS x_md5, md5(array_to_string(w[start + 2:start + 65], ' ')) AS y_md5 FROM s",
-    "top_k_tokens": _UNIGRAMS + f", k AS (SELECT min(p) AS least FROM (SELECT p FROM p ORDER BY p DESC LIMIT {TOP_K})) SELECT md5(item) AS item_md5, round(p, 8) AS p FROM p, k WHERE p >= least - 1e-12",
+    "top_k_tokens": f"""WITH words AS (SELECT unnest({_SPLIT}) AS item FROM documents), counted AS MATERIALIZED (SELECT item, count(*) AS n FROM words GROUP BY item),
+ranked AS (SELECT item, n, row_number() OVER (ORDER BY n DESC, item) AS place FROM counted), last AS (SELECT min(n) AS n FROM ranked WHERE place <= {TOP_K})
+SELECT md5(c.item) AS item_md5, round(c.n::DOUBLE / (SELECT sum(n)::DOUBLE FROM counted), 8) AS p FROM counted c, last WHERE c.n >= last.n""",
     "top_p_nucleus": _UNIGRAMS
     + f", o AS (SELECT item, p, coalesce(sum(p) OVER (ORDER BY p DESC, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p), k AS (SELECT p FROM o WHERE before <= {TOP_P}) SELECT count(*) AS n, round(sum(p) / (SELECT sum(p) FROM k), 6) AS mass, round(min(p) / (SELECT sum(p) FROM k), 8) AS least FROM k",
     "temperature_softmax": _UNIGRAMS + f" SELECT md5(item) AS item_md5, round(n ** (1 / {TEMPERATURE}) / sum(n ** (1 / {TEMPERATURE})) OVER (), 8) AS p FROM u",

@@ -148,14 +148,3 @@ def from_pretrained(spark: SparkSession, path: str) -> tuple[ModelConfig, dict[s
 def plain_name(name: Column) -> Column:
     """A parameter's name without the prefix that compiled models put before it."""
     return F.regexp_replace(name, r"^.*_orig_mod\.", "")
-
-
-def save_checkpoint(state: DataFrame, iteration: int, path: str) -> None:
-    """state: name, shape, values and what else a parameter carries, with the iteration beside it."""
-    state.withColumn("iteration", F.lit(iteration).cast("long")).write.mode("overwrite").parquet(path)
-
-
-def load_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    rows = spark.read.parquet(path)
-    first = rows.select("iteration").first()
-    return rows.drop("iteration").withColumn("name", plain_name(F.col("name"))), int(first[0]) if first else 0

@@ -1,12 +1,14 @@
 import gzip
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.operators import bpe, windows
 from millrace.scratch import Scratch
+from millrace.sources import checkpoints
 from millrace.sources import tokens as tk
 from millrace.sources import warc
 
@@ -36,12 +38,35 @@ def test_learn_by_hand_and_against_counting_again():
     assert bpe.learn({}, 5) == [] and bpe.learn({"a": 1}, 5) == []
 
 
+def test_merges_made_together_are_those_made_one_by_one():
+    """Rounds of all merges that are certain, over words as arrays, against one merge after another."""
+    rng = np.random.default_rng(8)
+    for size, letters, merges in ((300, 3, 60), (2_000, 8, 400), (40, 1, 12), (500, 200, 100)):
+        counts = {}
+        for _ in range(size):
+            w = "".join(chr(97 + int(c)) for c in rng.integers(0, letters, rng.integers(1, 12)))
+            counts[w] = int(rng.integers(1, 6))
+        block = next(bpe._blocks(iter([pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})])))
+        rows = block.to_pylist()
+        symbols, n = (np.frombuffer(rows[0][k], t) for k, t in (("symbols", np.int32), ("counts", np.int64)))
+        pairs, learned, rounds = bpe.Pairs(), [], 0
+        pairs.add(*zip(*[(r["left"], r["right"], r["change"]) for r in rows[1:]], strict=True))
+        while len(learned) < merges and (batch := pairs.next(merges - len(learned))):
+            first = len(pairs.tokens) - len(batch)
+            learned += [(pairs.tokens[a], pairs.tokens[b]) for a, b in batch]
+            symbols, keys, changes = bpe._apply(symbols, n, [(a, b, first + k) for k, (a, b) in enumerate(batch)])
+            pairs.add((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), changes.tolist())
+            rounds += 1
+        assert learned == bpe.learn(counts, merges) and (rounds < len(learned) or letters == 1)
+
+
 def test_train_encode_decode(spark):
     texts = ["low lower lowest", "newer<|endoftext|>newest wide", "", None, "🙂 naïve\n\n\nx", "<|endoftext|>\n\n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     vocab, merges = bpe.train(docs, 275, [tx.END_OF_TEXT])
     assert len(merges) == 18 and vocab[274] == tx.END_OF_TEXT.encode() and not any(b"<|" in a + b for a, b in merges)
-    assert bpe.train(docs, 275, [tx.END_OF_TEXT], max_driver_words=0) == (vocab, merges)
+    assert bpe.train(docs, 275, [tx.END_OF_TEXT], max_driver_bytes=0) == (vocab, merges)
+    assert bpe.train(docs.limit(0), 275, [], max_driver_bytes=-1)[1] == []
     codec = bpe.Codec(vocab, merges, [tx.END_OF_TEXT])
     back = docs.select("doc_id", bpe.encoder(codec)(F.col("text")).alias("ids")).select("doc_id", "ids", bpe.decoder(codec)(F.col("ids")).alias("t")).orderBy("doc_id").collect()
     assert [r["t"] for r in back] == [t or "" for t in texts]
@@ -66,8 +91,8 @@ def test_token_tables_and_vocabularies(spark, tmp_path):
     (tmp_path / "merges.txt").write_text("#version: 0.2\n\na Ġb\nbroken\n")
     assert tk.read_printable(spark, str(tmp_path / "vocab.json"), str(tmp_path / "merges.txt")) == ({0: b"a", 1: b" b"}, merges)
     state = spark.createDataFrame([("_orig_mod.w", [1.0])], "name string, vals array<double>")
-    tk.save_checkpoint(state, 7, scratch.path("c"))
-    loaded, iteration = tk.load_checkpoint(spark, scratch.path("c"))
+    checkpoints.save_checkpoint(state, 7, scratch.path("c"))
+    loaded, iteration = checkpoints.load_checkpoint(spark, scratch.path("c"))
     assert iteration == 7 and loaded.first()["name"] == "w"
     config = tk.RunConfig(tk.Paths("a", "b", "c"), training=tk.Training(steps=5))
     assert tk.RunConfig.from_json(config.to_json()) == config and tk.RunConfig.from_json('{"paths": {"train": "a", "valid": "b", "out": "c"}}').model == tk.ModelConfig()
