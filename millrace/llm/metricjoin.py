@@ -4,7 +4,8 @@ Cosine >= t is Euclidean distance <= radius of the unit vectors. Pivots drawn fr
 cells, each vector at home in the cell of its nearest pivot. The triangle inequality tells which other cells a vector
 must be copied to: if y lies within the radius of some x at home in cell i, then d(y, p_i) <= d(y, p_home) + 2 radius;
 for unit vectors the distance to the bisecting plane between the two pivots is the sharper form of the same bound,
-and both are applied. So all partners of a vector are at hand in its home cell, and cells are joined independently.
+and both are applied. Of two cells only one gets the other's vectors as copies, by their numbers, so each pair meets once:
+the partners of a vector are at hand in its home cell, or it is itself at hand in theirs. Cells are joined independently.
 
 The pivots of all labels are broadcast, MAX_PIVOTS of them at most. Cells that are still large are cut again in the
 same way by pivots of their own, level by level, as long as a sample shows that it halves their work at least.
@@ -69,6 +70,13 @@ def _members(x: np.ndarray, p: np.ndarray, between: np.ndarray, radius: float) -
     return home, member
 
 
+def _once(home: np.ndarray, cells: int) -> np.ndarray:
+    """Whether vectors at home in a cell go to each other cell (or stay at home), and not that one's vectors to theirs. Every cell
+    takes copies from about half of the others."""
+    one, two = home[:, None], np.arange(cells)[None, :]
+    return (one == two) | ((one > two) == ((one + two) % 2 == 0))
+
+
 def _pivots(distinct: DataFrame) -> dict[str, np.ndarray]:
     """Unit vectors of the pivots of each label: every vector is drawn with the same chance, by a hash."""
     sizes = {r["label"]: r["n"] for r in distinct.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_PIVOTS).collect()}
@@ -101,7 +109,7 @@ def _assign(pivots: dict[str, np.ndarray], radius: float):
                 for at in range(0, len(f), 1_000):
                     g = f.iloc[at : at + 1_000]
                     home, member = _members(_units(g["embedding"]), p, between[label], radius)
-                    r, c = np.nonzero(member)
+                    r, c = np.nonzero(member & _once(home, len(p)))
                     yield g.iloc[r].assign(cell=first[label] + c, home=c == home[r])
 
     return go
@@ -116,6 +124,7 @@ def _plan(radius: float):
         p, others = x[:FAN], x[FAN:]
         if len(others):
             home, member = _members(others, p, _between(p), radius)
+            member &= _once(home, len(p))
             work = (np.bincount(home, minlength=len(p)) / len(others) * member.mean(axis=0)).sum()
             if work <= 0.5:
                 return pd.DataFrame({"cell": int(key[0]), "k": np.arange(len(p)), "pivot": list(p)})
@@ -125,7 +134,8 @@ def _plan(radius: float):
 
 
 def _cut(radius: float, columns: list[str]):
-    """Rows of a cell and its pivots to rows of smaller cells; where a vector was a copy it stays one."""
+    """Rows of a cell and its pivots to rows of smaller cells. Where a vector was a copy it stays one, and goes to all cells that
+    may hold partners, since none of those comes to it."""
 
     def go(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
@@ -135,6 +145,7 @@ def _cut(radius: float, columns: list[str]):
         for at in range(0, len(rows), 1_000):
             f = rows.iloc[at : at + 1_000]
             home, member = _members(_units(f["embedding"]), p, between, radius)
+            member &= _once(home, len(p)) | ~f["home"].to_numpy(bool)[:, None]
             r, c = np.nonzero(member)
             g = f.iloc[r]
             out.append(g.assign(cell=(g["cell"].to_numpy() + 1) * FAN + c, home=g["home"].to_numpy() & (c == home[r])))
@@ -201,8 +212,9 @@ def _join(threshold: float):
             return pd.DataFrame({k: pd.Series(dtype="int64") for k in ("node", "links", "root")})  # 64-bit names bear no other type
         raw_a, raw_b = _vectors(left["embedding"]), _vectors(right["embedding"])
         norm_a, norm_b = np.linalg.norm(raw_a, axis=1), np.linalg.norm(raw_b, axis=1)
-        a, b, times = left["node"].to_numpy(), right["node"].to_numpy(), right["times"].to_numpy()
-        links, pairs = np.zeros(len(a), np.int64), []
+        a, b, times_a, times_b = left["node"].to_numpy(), right["node"].to_numpy(), left["times"].to_numpy(), right["times"].to_numpy()
+        # a copy meets its partner here alone; of two vectors at home each comes on both sides
+        links, of_copies, copy, pairs = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), ~right["home"].to_numpy(bool), []
         for at in range(0, len(a), 512):
             cos = (raw_a[at : at + 512] @ raw_b.T) / np.outer(norm_a[at : at + 512], norm_b)
             i, j = np.nonzero(cos >= threshold - SLACK)
@@ -214,13 +226,15 @@ def _join(threshold: float):
                 i, j = i[keep], j[keep]
             other = a[at + i] != b[j]
             i, j = i[other], j[other]
-            np.add.at(links, at + i, times[j])
+            np.add.at(links, at + i, times_b[j])
+            here = copy[j]
+            np.add.at(of_copies, j[here], times_a[at + i[here]])
             pairs.append((at + i, j))
         names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
         i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
         root = names[_forest(place[i], place[len(a) + j], len(names))]
         of_a = pd.DataFrame({"node": a, "links": links, "root": root[place[: len(a)]]})
-        of_b = pd.DataFrame({"node": b, "links": 0, "root": root[place[len(a) :]]})
+        of_b = pd.DataFrame({"node": b, "links": of_copies, "root": root[place[len(a) :]]})
         every = pd.concat([of_a, of_b])
         return every[(every["links"] > 0) | (every["root"] != every["node"])]
 
@@ -261,7 +275,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     spread = F.xxhash64(F.lit(3), "node")
     at_home = placed.where("home").select("*", F.lit(0).alias("side"), F.pmod(spread, "na").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"))
     anyone = placed.where("na > 0").select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("i"), F.pmod(spread, "nb").alias("j"))
-    both = at_home.unionByName(anyone).select("node", "label", "times", "embedding", "side", *at, "i", "j")
+    both = at_home.unionByName(anyone).select("node", "label", "times", "embedding", "home", "side", *at, "i", "j")
     met = both.groupBy(*at, "i", "j").applyInPandas(_join(threshold), "node long, links long, root long")
     met = scratch.table(met, "met")
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
