@@ -223,7 +223,8 @@ def take(docs: DataFrame, size: Column | None = None, **options) -> DataFrame:
     key = ["doc_id", "source", size_]
     sized = docs.withColumn(size_, size)
     split = (F.col(more) > 0) & (F.col(more) < F.col(n))
-    alike = lookup(sized, each.where(~split), key, rows, "inner")
+    # by a shuffle at every size, or small inputs would say nothing of large ones
+    alike = lookup(sized, each.where(~split).hint("merge"), key, rows, "inner")
     out = alike.select(*columns_of(docs), (F.col(low) + F.when(F.col(more) > 0, 1).otherwise(0)).alias(copies))
     if each.where(split).limit(1).count():
         mixed = scratch.table(lookup(sized, each.where(split), key, rows, "inner").withColumn(tie, F.monotonically_increasing_id()), "mixed")

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -159,11 +158,6 @@ def _first(rows: DataFrame, scratch: Scratch, name: str, ways: int = 1) -> DataF
     return scratch.table(met.where("a <> b"), f"{name}_shared")
 
 
-def _firsts(scratch: Scratch, name: str) -> DataFrame:
-    """print, a of a table of _first()."""
-    return scratch.spark.read.parquet(scratch.path(f"{name}_firsts")).select("print", F.explode("firsts").alias("a"))
-
-
 def _ordered() -> tuple[Column, Column]:
     """A pair, the lesser node first."""
     return F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
@@ -184,19 +178,51 @@ def _between(firsts: DataFrame, near: Near) -> DataFrame:
     return pairs.where("one.print < two.print and one.a <> two.a").select(F.col("one.a").alias("a"), F.col("two.a").alias("b")).select(*_ordered()).distinct()
 
 
-def _beside(firsts: DataFrame, further: DataFrame, near: Near) -> DataFrame:
-    """Pairs (a, b) of further (print, a) with firsts and with one another, of fingerprints within 2 * HALF bits."""
-    mine = _variants(further, near).withColumnsRenamed({"print": "other", "a": "b"})
-    every = _variants(firsts.unionByName(further), near)
-    pairs = mine.join(every, "variant").where("print <> other and a <> b")
-    return pairs.select(*_ordered()).distinct()
+#: Parts that hashes fall into, by their first bits; a sketch has a byte of the least hash of each.
+PARTS = 64
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte for each part of a text's sorted hashes: from the least in it, or 0 where there is none. Two texts have the same byte
+    in a part that either fills about as often as they share shingles."""
+    out = np.zeros(PARTS, np.uint8)
+    starts = np.searchsorted(hashes, np.arange(PARTS, dtype=np.uint64) << np.uint64(58))
+    ends = np.append(starts[1:], len(hashes))
+    some = np.flatnonzero(ends > starts)
+    least = hashes[starts[some]] * np.uint64(0x9E3779B97F4A7C15)
+    out[some] = 1 + (least >> np.uint64(40)) % np.uint64(255)
+    return out.tobytes()
+
+
+def may_be_near(one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows of two tables of sketches can be of texts of this similarity: all but those whose estimate is five standard
+    deviations below it, which holds for one pair in three million that is near."""
+    filled = ((one > 0) | (two > 0)).sum(axis=1)
+    same = ((one == two) & (one > 0)).sum(axis=1)
+    spread = np.sqrt(similarity * (1 - similarity) / np.maximum(filled, 1))
+    return same >= (similarity - 5 * spread) * filled
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
+    """Those of pairs (a, b) of nodes (node, sketch) that may be near."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, PARTS) for c in (2, 3))
+                yield b.select(["a", "b"]).filter(pa.array(may_be_near(one, two, near.similarity)))
+
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"of_{side}")), side)
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(go, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, near: Near, scratch: Scratch, name: str) -> DataFrame:
-    """Those of pairs (a, b) that are near. sets: node, hashes.
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, near: Near, scratch: Scratch, name: str) -> DataFrame:
+    """Those of pairs (a, b) that are near. nodes: node, sketch; sets: node, hashes.
 
-    A node that is the first of very many has its pairs dealt out to several tasks.
+    Sketches tell most pairs apart that aren't, so that only the hashes of the others are shuffled. A node that is the first of very many has its pairs dealt out to several tasks.
     """
+    pairs = scratch.table(_likely(pairs, nodes, near), f"{name}_likely")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).alias("parts"), F.count("*").alias("rows"))
     parts = scratch.table(parts, f"{name}_parts")
     placed = lookup(pairs, parts, ["a"], "rows").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
@@ -226,27 +252,32 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
 
     Two texts are linked if their shares of common shingles reach near.similarity and a fingerprint of one is within 2
     bits of the other's; groups are what links connect. Among texts of one fingerprint, each is compared with the first, those
-    that aren't near it with the next, and so on; these firsts and nexts are compared with those of other fingerprints.
+    that aren't near it with the next ones among themselves, and so on; the firsts of different fingerprints are compared.
     Texts without words are all alike.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = pa.array([short_prints(shingle_hashes(t, near.shingle), near) for t in values(b.column(4))], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), prints], ["doc_id", "one", "two", "mark", "prints"])
+            prints, sketches = [], []
+            for t in values(b.column(4)):
+                hashes = shingle_hashes(t, near.shingle)
+                prints.append(short_prints(hashes, near))
+                sketches.append(sketch(hashes))
+            columns = [*(b.column(i) for i in range(4)), pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "one", "two", "mark", "prints", "sketch"])
 
     names = free_names(3, docs)
     marked = _marked(docs, *names)
     marked = marked.select("doc_id", *[F.col(a).alias(b) for a, b in zip(names, ("one", "two", "mark"), strict=True)], "text")
-    rows = scratch.table(marked.mapInArrow(go, "doc_id long, one long, two long, mark long, prints array<long>"), "rows")
+    rows = scratch.table(marked.mapInArrow(go, "doc_id long, one long, two long, mark long, prints array<long>, sketch binary"), "rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    nodes = rows.groupBy("one", "two").agg(least.alias("least"), F.count("*").alias("rows"), F.min("prints").alias("prints"))
-    nodes = nodes.select("one", "two", "least.doc_id", "least.mark", "rows", "prints").sortWithinPartitions("one", "two")
+    nodes = rows.groupBy("one", "two").agg(least.alias("least"), F.count("*").alias("rows"), F.min("prints").alias("prints"), F.min("sketch").alias("sketch"))
+    nodes = nodes.select("one", "two", "least.doc_id", "least.mark", "rows", "prints", "sketch").sortWithinPartitions("one", "two")
     nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     rows = nodes.select("node", F.explode(F.array_distinct("prints")).alias("print"))
     left = _first(rows, scratch, "first")
-    firsts = _firsts(scratch, "first")
+    firsts = scratch.spark.read.parquet(scratch.path("first_firsts")).select("print", F.col("firsts")[0].alias("a"))
     between = scratch.table(_between(firsts, near), "between")
     scratch.release()
     pairs = scratch.table(left.select(*_ordered()).unionByName(between).distinct(), "pairs")
@@ -266,10 +297,10 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
         texts = lookup(marked, wanted, ["one", "two"], "rows", "inner")
     texts = texts.where(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of"))).select("node", "text")
     sets = scratch.table(texts.mapInArrow(hashed, "node long, hashes binary").dropDuplicates(["node"]), "sets")
-    edges = _verified(pairs, sets, near, scratch, "near0")
+    edges = _verified(pairs, nodes, sets, near, scratch, "near0")
     # whoever shares a fingerprint with others but isn't near the first of them is compared with the next two, then the next
     # four, and so on, until none is left
-    last, turn, further = edges, 0, []
+    last, turn = edges, 0
     while True:
         near_one = left.join(last, ["a", "b"]).select("print", F.col("b").alias("node")).unionByName(
             left.join(last.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).select("print", F.col("b").alias("node"))
@@ -280,15 +311,11 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
         if not far.limit(1).count():
             break
         left = _first(far, scratch, f"again{turn}", 2 << turn)
-        further.append(_firsts(scratch, f"again{turn}"))
         turn += 1
-        last = _verified(left.select(*_ordered()).distinct(), sets, near, scratch, f"near{turn}")
+        last = _verified(left.select(*_ordered()).distinct(), nodes, sets, near, scratch, f"near{turn}")
         edges = edges.unionByName(last)
-    if further:  # those next ones meet other fingerprints as well
-        more = scratch.table(_beside(firsts, reduce(DataFrame.unionByName, further), near), "beside")
-        edges = edges.unionByName(_verified(more, sets, near, scratch, "near_beside"))
     of = components(nodes.select("node", F.col("doc_id").alias("rank")), edges, scratch)
-    return nodes.drop("prints").join(of.select("node", "top"), "node")
+    return nodes.drop("prints", "sketch").join(of.select("node", "top"), "node")
 
 
 def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:

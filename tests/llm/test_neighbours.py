@@ -107,6 +107,21 @@ def test_recall_and_precision_of_the_short_prints(spark):
     assert caught[0.97] == 100 and caught[0.9] >= 99 and caught[0.85] >= 97 and caught[0.8] >= 90
 
 
+def test_sketches_leave_out_no_near_pair():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 30, 200, 3_000):
+        kept = {0.8: [], 0.3: []}
+        for share in kept:
+            for _ in range(300):
+                common = round(n * 2 * share / (1 + share)) if n > 2 else n
+                shared, *own = (rng.integers(0, 1 << 64, size, np.uint64) for size in (common, n - common, n - common))
+                a, b = (np.unique(np.r_[shared, x]) for x in own)
+                one, two = (np.frombuffer(simhash.sketch(x), np.uint8)[None, :] for x in (a, b))
+                kept[share].append(bool(simhash.may_be_near(one, two, 0.8)[0]))
+        assert all(kept[0.8]) and (n < 200 or sum(kept[0.3]) < 15)
+    assert simhash.sketch(np.zeros(0, np.uint64)) == bytes(64)
+
+
 def test_groups_against_brute_force(spark):
     """Chains of texts each near the next, with unrelated texts that have a long passage in common. Components are those of
     all pairs that are near, but for links that no fingerprint finds, which are counted."""
@@ -130,7 +145,7 @@ def test_groups_against_brute_force(spark):
         least.setdefault(found[i], i)
     assert all(want[i] == want[least[found[i]]] for i in found)  # nothing is joined that isn't linked
     lost = [(i, j) for i, j in linked if found[i] != found[j]]
-    assert len(linked) > 400 and len(lost) <= 0.02 * len(linked)
+    assert len(linked) > 400 and len(lost) <= 0.05 * len(linked)
 
 
 def test_hot_groups_are_dealt_out(spark, monkeypatch):
