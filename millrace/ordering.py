@@ -34,3 +34,14 @@ def sums_before(scratch: Scratch, df: DataFrame, order: list[Column], sums: dict
     inside = W.partitionBy(part).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
     before = {k: F.col(start[k]) + F.coalesce(F.sum(value[k]).over(inside), F.lit(0).cast(kind[k])) for k in sums}
     return ordered.join(F.broadcast(offsets), part).withColumns(before).drop(at, part, *names)
+
+
+def places_in_groups(scratch: Scratch, df: DataFrame, group: str, order: list[Column], place: str, size: str, name: str) -> DataFrame:
+    """df with each row's place (from 0) among the rows of its group, in an order, and the group's size. Places come from one order
+    of all rows, so a group of any share of them is worked on by many tasks. A null group is one."""
+    at, first, key = [x for x in free_names(5, df) if x not in (place, size)][:3]
+    placed = sums_before(scratch, df, [F.col(group).asc_nulls_first(), *order], {at: F.lit(1).cast("long")}, name)
+    placed = scratch.table(placed, f"{name}_places")
+    groups = placed.groupBy(F.col(group).alias(key)).agg(F.min(at).alias(first), F.count("*").alias(size))
+    joined = placed.join(groups, placed[group].eqNullSafe(groups[key]))
+    return joined.withColumn(place, F.col(at) - F.col(first)).drop(at, first, key)

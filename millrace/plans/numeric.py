@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vectors as v
 from millrace.operators import attention, distributed, transformer, windows
+from millrace.ordering import places_in_groups
+from millrace.scratch import Scratch
 from millrace.session import table
 
 OUT = 4
@@ -150,17 +152,19 @@ def bucket_assignment(spark: SparkSession, d: str) -> DataFrame:
     return each.select("l_orderkey", F.col("z.line").cast("long").alias("line"), F.col("z.bucket").alias("bucket"))
 
 
+def _placed_parts(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part").select("p_partkey", "p_brand")
+    return places_in_groups(Scratch(spark, "places"), parts, "p_brand", [F.col("p_partkey")], "at", "n", "parts")
+
+
 def round_robin_shard(spark: SparkSession, d: str) -> DataFrame:
     """Parts of each brand dealt to 4 owners in turn."""
-    at = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    return table(spark, d, "part").select("p_partkey", windows.round_robin(at, 4).cast("long").alias("owner"))
+    return _placed_parts(spark, d).select("p_partkey", windows.round_robin(F.col("at"), 4).cast("long").alias("owner"))
 
 
 def contiguous_shard(spark: SparkSession, d: str) -> DataFrame:
     """Parts of each brand in 4 runs."""
-    w = W.partitionBy("p_brand")
-    at, n = F.row_number().over(w.orderBy("p_partkey")) - 1, F.count("*").over(w)
-    return table(spark, d, "part").select("p_partkey", windows.contiguous(at, n, 4).alias("shard"))
+    return _placed_parts(spark, d).select("p_partkey", windows.contiguous(F.col("at"), F.col("n"), 4).alias("shard"))
 
 
 def timing_mean_std(spark: SparkSession, d: str) -> DataFrame:
@@ -202,8 +206,9 @@ LM = transformer.Shape(vocab=50, context=64, width=16, layers=2, heads=4, hidden
 
 
 def _ids(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors as rows of ids below the vocabulary's size, no longer than the context."""
-    ids = F.transform(F.slice("x", 1, LM.context), lambda e: F.pmod(F.floor(e * 64), F.lit(LM.vocab)).cast("int"))
+    """Vectors as rows of ids below the vocabulary's size; one that is longer than the context is an error."""
+    x = F.when(F.size("x") > LM.context, F.raise_error(F.lit(f"more than {LM.context} components"))).otherwise(F.col("x"))
+    ids = F.transform(x, lambda e: F.pmod(F.floor(e * 64), F.lit(LM.vocab)).cast("int"))
     return _vectors(spark, d).select("vec_id", ids.alias("ids"))
 
 

@@ -21,7 +21,7 @@ def utf8_or_signs(data: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, text: one row for each file."""
+    """path, text: one row for each file that holds anything; signs for what is no UTF-8."""
     return spark.read.format("binaryFile").load(path).select("path", utf8_or_signs("content").alias("text"))
 
 
