@@ -137,15 +137,26 @@ def train(docs: DataFrame, vocab_size: int, specials: list[str] | None = None, m
         local = words.toArrow()
         learned = learn(dict(zip(local["word"].to_pylist(), local["n"].to_pylist(), strict=True)), merges)
     else:
-        learned = _learn_spread(words, merges, scratch)
+        from millrace.operators import merging
+
+        bytes_, slots = words.agg(F.sum(F.octet_length("word"))).first()[0] or 0, merging.slots(docs.sparkSession)
+        if slots and merges:
+            learned = merging.learn(words, merges, max(1, min(slots, -(-bytes_ // merging.SHARE))))
+        else:
+            learned = _learn_spread(words, merges, scratch)
     tokens = [bytes([b]) for b in range(256)] + [a + b for a, b in learned] + [s.encode("utf-8") for s in specials]
     return dict(enumerate(tokens)), learned
 
 
 class Pairs:
-    """Counts of adjacent pairs of symbols, and the merges that come next. Symbols are numbers; the first 256 are bytes."""
+    """Counts of adjacent pairs of symbols, and the merges that come next. Symbols are numbers; the first 256 are bytes.
+
+    kept: pairs that are held at most, those that count most; floor is the least count of which all are held. A pair's count only
+    falls once its symbols are there, so one that is below the floor never comes up to it.
+    """
 
-    def __init__(self):
+    def __init__(self, kept: int | None = None):
+        self.kept, self.floor = kept, 1
         self.tokens = [bytes([b]) for b in range(256)]
         self.order = [_order(t) for t in self.tokens]
         self.total: dict[tuple[int, int], int] = defaultdict(int)
@@ -159,15 +170,37 @@ class Pairs:
     def add(self, lefts: Iterable[int], rights: Iterable[int], changes: Iterable[int]) -> None:
         for a, b, n in zip(lefts, rights, changes, strict=True):
             self.total[a, b] += n
-            if self.total[a, b]:
+            if self.total[a, b] >= self.floor:
                 self.after[a].add(b)
                 self.before[b].add(a)
-                heapq.heappush(self.heap, self._entry((a, b)))
+                if n > 0:  # else its entry is put back with its count when it comes up
+                    heapq.heappush(self.heap, self._entry((a, b)))
             else:
                 del self.total[a, b]
                 self.after[a].discard(b)
                 self.before[b].discard(a)
 
+    def begin(self, keys: np.ndarray, counts: np.ndarray, floor: int) -> None:
+        """Hold these pairs (left << 32 | right) in place of all, which are all that count as much as the floor."""
+        self.floor = floor
+        if self.kept and np.count_nonzero(counts >= floor) > self.kept:
+            self.floor = int(np.partition(counts, -self.kept // 2)[-self.kept // 2])
+        for x in (self.total, self.after, self.before, self.heap):
+            x.clear()
+        some = counts >= self.floor
+        self.add((keys[some] >> 32).tolist(), (keys[some] & 0xFFFFFFFF).tolist(), counts[some].tolist())
+
+    def change(self, keys: np.ndarray, changes: np.ndarray) -> None:
+        """Add changes of pairs (left << 32 | right). New pairs below the floor, and what others lose that aren't held, are left out."""
+        some = (changes >= self.floor) | (changes < 0)
+        rows = zip((keys[some] >> 32).tolist(), (keys[some] & 0xFFFFFFFF).tolist(), changes[some].tolist(), strict=True)
+        rows = [r for r in rows if r[2] > 0 or r[:2] in self.total]
+        if rows:
+            self.add(*zip(*rows, strict=True))
+        if self.kept and len(self.total) > self.kept:
+            pairs, counts = list(self.total), np.fromiter(self.total.values(), np.int64, len(self.total))
+            self.begin(np.array([a << 32 | b for a, b in pairs], np.int64), counts, self.floor)
+
     def next(self, most: int) -> list[tuple[int, int]]:
         """The next merges, as many as are certain before any of them is made; each gets a new symbol.
 
@@ -182,7 +215,9 @@ class Pairs:
         while self.heap and len(out) < most:
             n, *of, pair = entry = heapq.heappop(self.heap)
             if -n != self.total.get(pair, 0):
-                continue  # an outdated entry: every change has put in its own
+                if pair in self.total:  # an outdated entry
+                    heapq.heappush(self.heap, self._entry(pair))
+                continue
             if self.heap and self.heap[0] == entry:
                 continue
             a, b = pair
@@ -200,6 +235,8 @@ class Pairs:
                 made[self.total[x, a]].append((self.order[x], order) if x not in rights else ((), ()))
             for y in self.after[b]:
                 made[self.total[b, y]].append((order, self.order[y]) if y not in lefts else ((), ()))
+            if a == b:
+                break  # in long runs the made symbol follows itself, as often as half of what the pair counted
         return out
 
 
