@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from millrace.functions import charset, multiset
 from millrace.operators import windows
@@ -25,16 +27,23 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents"))
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def byte_ids(texts: pd.Series) -> pd.Series:
-    """The bytes of a text and END; END alone for null."""
-    return texts.map(lambda t: np.r_[np.frombuffer((t or "").encode("utf-8"), np.uint8).astype(np.int32), np.int32(END)])
+def byte_ids(docs: DataFrame) -> DataFrame:
+    """doc_id, ids: the bytes of a text and END; END alone for null. One part of a batch of texts is made ids at a time."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in flat.slices(b, 2):
+                ids = [np.r_[np.frombuffer((t.as_py() or "").encode("utf-8"), np.uint8).astype(np.int32), np.int32(END)] for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    return rows.mapInArrow(go, "doc_id long, ids array<int>")
 
 
 def _stream(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
     """A flat file of all documents, and where each is."""
     path = Scratch(spark, "stream").path("tokens.bin")
-    placed = flat.write_flat(_docs(spark, d).select("doc_id", byte_ids("text").alias("ids")), _made(path))
+    placed = flat.write_flat(byte_ids(_docs(spark, d)), _made(path))
     return path, placed
 
 

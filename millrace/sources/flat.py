@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.ordering import free_names, sums_before
 from millrace.scratch import Scratch
+from millrace.session import small_batches
 from millrace.sources.stores import Commit, files_of, store
 from millrace.sources.tokens import MAX_ID
 
@@ -64,7 +65,8 @@ def write_flat(tokens: DataFrame, path: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
     try:
-        written = placed.select("start", data).mapInArrow(go, "name string").toArrow()["name"].to_pylist()
+        with small_batches(spark):
+            written = placed.select("start", data).mapInArrow(go, "name string").toArrow()["name"].to_pylist()
         if not whole:
             commit.finish(written, overwrite=True)
         else:
@@ -125,6 +127,16 @@ class Flat:
         return b"".join(out)
 
 
+def slices(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose column n, of lengths, comes to PIECE in all, or which are a single row."""
+    lengths = batch.column(n).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(lengths):
+        few = max(1, int(np.searchsorted(np.cumsum(lengths[at : at + 4096]), PIECE // 4, "right")))
+        yield batch.slice(at, few)
+        at += few
+
+
 def read_at(places: DataFrame, path: str) -> DataFrame:
     """places (start, length, and any other columns) with ids: the ids of a flat file there, fewer where it ends.
 
@@ -137,8 +149,7 @@ def read_at(places: DataFrame, path: str) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = Flat(path)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for part in slices(b, n):
                 ids = [np.frombuffer(file.read(s, m), "<u2").astype(np.int32) for s, m in zip(part.column(at).to_pylist(), part.column(n).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, name])
 
