@@ -103,7 +103,9 @@ def next_token_pairs(spark: SparkSession, d: str) -> DataFrame:
     """How often each word follows each other within a document."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     pairs = _docs(spark, d).select(F.explode(windows.next_tokens(words)).alias("p"))
-    return pairs.groupBy(F.md5(F.encode("p.x", "UTF-8")).alias("x_md5"), F.md5(F.encode("p.y", "UTF-8")).alias("y_md5")).agg(F.count("*").alias("n"))
+    # words are shorter than their digests, and alike, so it's they that are shuffled
+    counted = pairs.groupBy("p.x", "p.y").agg(F.count("*").alias("n"))
+    return counted.select(F.md5(F.encode("x", "UTF-8")).alias("x_md5"), F.md5(F.encode("y", "UTF-8")).alias("y_md5"), "n")
 
 
 def context_windows(spark: SparkSession, d: str) -> DataFrame:
