@@ -225,7 +225,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, near: Near, s
     pairs = scratch.table(_likely(pairs, nodes, near), f"{name}_likely")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).alias("parts"), F.count("*").alias("rows"))
     parts = scratch.table(parts, f"{name}_parts")
-    placed = lookup(pairs, parts, ["a"], "rows").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    # written, since lookup() and the join after it each read it, and would look every pair up again
+    placed = scratch.table(lookup(pairs, parts, ["a"], "rows").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")), f"{name}_placed")
     counts = placed.groupBy("b").agg(F.count("*").alias("rows"))
     other = lookup(placed, counts.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes")), "b"), ["b"], "rows", "inner")
     of_a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes"))

@@ -307,3 +307,19 @@ def test_top_k_prunes_pairs():
     tally = Counter()
     topk.search_run(asks | {"x": long[::20]}, every | {"x": long}, 20, tally)
     assert tally["verified"] < 0.25 * tally["pairs"]
+
+
+def test_pairs_are_looked_up_once(spark, monkeypatch):
+    """What the lookups of hashes read is written: no join of pairs stands below them, to be made again by each."""
+    plans, lookup = [], simhash.lookup
+
+    def watched(big, small, keys, rows, how="left"):
+        if keys == ["b"]:
+            plans.extend(x._jdf.queryExecution().optimizedPlan().toString() for x in (big, small.select("b", "rows")))
+        return lookup(big, small, keys, rows, how)
+
+    monkeypatch.setattr(simhash, "lookup", watched)
+    texts = near_texts(np.random.default_rng(8), 4, 0.9)
+    rows = [(2 * k + i, t) for k, pair in enumerate(texts) for i, t in enumerate(pair)]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, 2, 4, 6} and plans and not any("LeftOuter" in x for x in plans)
