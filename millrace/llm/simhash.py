@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators.components import components
 from millrace.ordering import free_names
+from millrace.session import small_batches
 
-from .common import MAX_BROADCAST_ROWS, Scratch, columns_of, lookup, values
+from .common import HOT_ROWS, MAX_BROADCAST_ROWS, MAX_HOT_KEYS, Scratch, columns_of, lookup, values
 
 SHINGLE = 3
 SEED = 42
@@ -154,8 +155,15 @@ def _first(rows: DataFrame, scratch: Scratch, name: str, ways: int = 1) -> DataF
     firsts = rows.groupBy("print", part).agg(first.alias("a"), F.count("*").alias("rows"))
     firsts = firsts.groupBy("print").agg(F.collect_list("a").alias("firsts"), F.sum("rows").alias("rows"))
     firsts = scratch.table(firsts, f"{name}_firsts")
-    met = lookup(rows, firsts.where("rows > 1"), ["print"], "rows", "inner").select("print", F.explode("firsts").alias("a"), F.col("node").alias("b"))
-    return scratch.table(met.where("a <> b"), f"{name}_shared")
+    # most rows are alone with their fingerprint: hot ones, at most MAX_HOT_KEYS, are told by their values, so that no join hands on all rows
+    many = firsts.where("rows > 1")
+    limit = max(HOT_ROWS, (many.agg(F.sum("rows")).first()[0] or 0) // MAX_HOT_KEYS)
+    hot = [r["print"] for r in many.where(F.col("rows") > limit).select("print").collect()]
+    many, is_hot = many.select("print", "firsts"), F.col("print").isin(hot)
+    met = rows.where(~is_hot).join(many.where(~is_hot), "print")
+    if hot:
+        met = met.unionByName(rows.where(is_hot).join(F.broadcast(many.where(is_hot)), "print"))
+    return scratch.table(met.select("print", F.explode("firsts").alias("a"), F.col("node").alias("b")).where("a <> b"), f"{name}_shared")
 
 
 def _ordered() -> tuple[Column, Column]:
@@ -170,23 +178,59 @@ def _variants(firsts: DataFrame, near: Near) -> DataFrame:
     return spread.select("print", "a", F.explode(flips).alias("flip")).select("print", "a", F.col("print").bitwiseXOR(F.col("flip")).alias("variant"))
 
 
-def _between(firsts: DataFrame, near: Near) -> DataFrame:
-    """Pairs (a, b) of the first nodes of fingerprints within 2 * HALF bits of each other: they meet at a variant, where at
-    most bits + 1 fingerprints can meet, however many texts there are."""
-    met = _variants(firsts, near).groupBy("variant").agg(F.collect_list(F.struct("print", "a")).alias("met")).where(F.size("met") > 1)
-    pairs = met.select("met", F.explode("met").alias("one")).select("one", F.explode("met").alias("two"))
-    return pairs.where("one.print < two.print and one.a <> two.a").select(F.col("one.a").alias("a"), F.col("two.a").alias("b")).select(*_ordered()).distinct()
+def _members(firsts: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
+    """a, at, size, sketch: the first nodes of fingerprints within 2 * HALF bits of others, with the variants where they meet
+    them. At most bits + 1 fingerprints can meet at a variant, however many texts there are."""
+    met = _variants(firsts, near).groupBy("variant").agg(F.collect_list("a").alias("met")).where(F.size("met") > 1)
+    at = met.select("variant", F.explode("met").alias("a")).groupBy("a").agg(F.collect_set("variant").alias("at"))
+    return at.join(nodes.select(F.col("node").alias("a"), "size", "sketch"), "a")
+
+
+def _met(members: DataFrame, near: Near, hubs: bool = False) -> DataFrame:
+    """Pairs (a, b) of members (a, at, size, sketch, top) that meet at a variant, may be near and have different tops; with
+    hubs for each member only that with the first of those before it, in an order by a hash. Sketches go to the variants once for
+    each member there, so no row is made for a pair that they tell apart or that has one top."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts, sizes = b.column(0).offsets.to_numpy(), b.column(0).value_lengths().to_numpy()
+            node, order, top, size, sketches = b.column(0).values.flatten()
+            node, order, top, size = (x.to_numpy() for x in (node, order, top, size))
+            sketches = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(node), -1)
+            for k in np.unique(sizes):
+                left, right = np.triu_indices(k, 1)
+                step = max(1, PIECE // 4 // len(left))
+                of = starts[:-1][sizes == k]
+                for at in range(0, len(of), step):
+                    x, y = ((of[at : at + step, None] + side).ravel() for side in (left, right))
+                    x, y = (side[top[x] != top[y]] for side in (x, y))
+                    keep = may_be_near(sketches[x], sketches[y], near.similarity, (size[x], size[y]))
+                    x, y = np.where(order[x] < order[y], x, y)[keep], np.where(order[x] < order[y], y, x)[keep]
+                    if hubs:
+                        by = np.lexsort((order[x], y))
+                        by = by[np.unique(y[by], return_index=True)[1]]
+                        x, y = x[by], y[by]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
+
+    each = members.select(F.struct("a", F.xxhash64("a").alias("order"), "top", "size", "sketch").alias("one"), F.explode("at").alias("variant"))
+    met = each.groupBy("variant").agg(F.collect_list("one").alias("met")).where(F.size("met") > 1)
+    pairs = met.select("met").mapInArrow(go, "a long, b long")
+    if hubs:
+        pairs = pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a"))
+    return pairs.select(*_ordered()).distinct()
 
 
 #: Parts that hashes fall into, by their first bits; a sketch has a byte of the least hash of each.
 PARTS = 64
+#: Parts of the sketches that candidates are told apart by: so many that those of a short text hold nearly all of its hashes.
+FINE = 256
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """A byte for each part of a text's sorted hashes: from the least in it, or 0 where there is none. Two texts have the same byte
-    in a part that either fills about as often as they share shingles."""
-    out = np.zeros(PARTS, np.uint8)
-    starts = np.searchsorted(hashes, np.arange(PARTS, dtype=np.uint64) << np.uint64(58))
+def sketch(hashes: np.ndarray, parts: int = PARTS) -> bytes:
+    """A byte for each part (a power of two) of a text's sorted hashes: from the least in it, or 0 where there is none. Two texts
+    have the same byte in a part that either fills about as often as they share shingles."""
+    out = np.zeros(parts, np.uint8)
+    starts = np.searchsorted(hashes, np.arange(parts, dtype=np.uint64) << np.uint64(65 - parts.bit_length()))
     ends = np.append(starts[1:], len(hashes))
     some = np.flatnonzero(ends > starts)
     least = hashes[starts[some]] * np.uint64(0x9E3779B97F4A7C15)
@@ -194,35 +238,46 @@ def sketch(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def may_be_near(one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
-    """Which rows of two tables of sketches can be of texts of this similarity: all but those whose estimate is five standard
-    deviations below it, which holds for one pair in three million that is near."""
+def may_be_near(one: np.ndarray, two: np.ndarray, similarity: float, sizes: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Which rows of two tables of sketches can be of texts of this similarity: all but those whose estimate is six standard
+    deviations below it, which holds for one pair in forty million that is near.
+
+    sizes are the numbers of hashes behind them. The parts' least hashes are drawn from all those of the two texts without putting
+    any back, so the more of them the parts hold, the less the estimate varies; and near texts are of like size.
+    """
     filled = ((one > 0) | (two > 0)).sum(axis=1)
     same = ((one == two) & (one > 0)).sum(axis=1)
     spread = np.sqrt(similarity * (1 - similarity) / np.maximum(filled, 1))
-    return same >= (similarity - 5 * spread) * filled
+    if sizes is None:
+        return same >= (similarity - 6 * spread) * filled
+    every = (sizes[0] + sizes[1]) / (1 + similarity)
+    spread *= np.sqrt(np.maximum(every - filled, 0) / np.maximum(every - 1, 1))
+    like = np.minimum(*sizes) >= similarity * np.maximum(*sizes) - 1e-6
+    return like & (same >= (similarity - 6 * spread) * filled - 1e-6)
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
-    """Those of pairs (a, b) of nodes (node, sketch) that may be near."""
+    """Those of pairs (a, b) of nodes (node, size, sketch) that may be near."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, PARTS) for c in (2, 3))
-                yield b.select(["a", "b"]).filter(pa.array(may_be_near(one, two, near.similarity)))
+                one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (4, 5))
+                sizes = b.column(2).to_numpy(), b.column(3).to_numpy()
+                yield b.select(["a", "b"]).filter(pa.array(may_be_near(one, two, near.similarity, sizes)))
 
     for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"of_{side}")), side)
-    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(go, "a long, b long")
+        of = nodes.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"of_{side}"))
+        pairs = pairs.join(of, side)
+    return pairs.select("a", "b", "size_a", "size_b", "of_a", "of_b").mapInArrow(go, "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, near: Near, scratch: Scratch, name: str) -> DataFrame:
-    """Those of pairs (a, b) that are near. nodes: node, sketch; sets: node, hashes.
+def _verified(pairs: DataFrame, sets: DataFrame, near: Near, scratch: Scratch, name: str) -> DataFrame:
+    """Those of pairs (a, b), none of them twice, that are near. sets: node, hashes.
 
-    Sketches tell most pairs apart that aren't, so that only the hashes of the others are shuffled. A node that is the first of very many has its pairs dealt out to several tasks.
+    A node that is the first of very many has its pairs dealt out to several tasks.
     """
-    pairs = scratch.table(_likely(pairs, nodes, near), f"{name}_likely")
+    pairs = scratch.table(pairs, f"{name}_likely")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).alias("parts"), F.count("*").alias("rows"))
     parts = scratch.table(parts, f"{name}_parts")
     # written, since lookup() and the join after it each read it, and would look every pair up again
@@ -253,37 +308,38 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
 
     Two texts are linked if their shares of common shingles reach near.similarity and a fingerprint of one is within 2
     bits of the other's; groups are what links connect. Among texts of one fingerprint, each is compared with the first, those
-    that aren't near it with the next ones among themselves, and so on; the firsts of different fingerprints are compared.
+    that aren't near it with the next ones among themselves, and so on. The firsts of different fingerprints are compared, each
+    with one of them at first, and with all of them that links don't connect by then: others would change no group.
     Texts without words are all alike.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, sketches = [], []
+            prints, sizes, sketches = [], [], []
             for t in values(b.column(4)):
                 hashes = shingle_hashes(t, near.shingle)
                 prints.append(short_prints(hashes, near))
-                sketches.append(sketch(hashes))
-            columns = [*(b.column(i) for i in range(4)), pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "one", "two", "mark", "prints", "sketch"])
+                sizes.append(len(hashes))
+                sketches.append(sketch(hashes, FINE))
+            columns = [*(b.column(i) for i in range(4)), pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "one", "two", "mark", "prints", "size", "sketch"])
 
     names = free_names(3, docs)
     marked = _marked(docs, *names)
     marked = marked.select("doc_id", *[F.col(a).alias(b) for a, b in zip(names, ("one", "two", "mark"), strict=True)], "text")
-    rows = scratch.table(marked.mapInArrow(go, "doc_id long, one long, two long, mark long, prints array<long>, sketch binary"), "rows")
+    rows = scratch.table(marked.mapInArrow(go, "doc_id long, one long, two long, mark long, prints array<long>, size long, sketch binary"), "rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    nodes = rows.groupBy("one", "two").agg(least.alias("least"), F.count("*").alias("rows"), F.min("prints").alias("prints"), F.min("sketch").alias("sketch"))
-    nodes = nodes.select("one", "two", "least.doc_id", "least.mark", "rows", "prints", "sketch").sortWithinPartitions("one", "two")
+    nodes = rows.groupBy("one", "two").agg(least.alias("least"), F.count("*").alias("rows"), F.min("prints").alias("prints"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
+    nodes = nodes.select("one", "two", "least.doc_id", "least.mark", "rows", "prints", "size", "sketch").sortWithinPartitions("one", "two")
     nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     rows = nodes.select("node", F.explode(F.array_distinct("prints")).alias("print"))
     left = _first(rows, scratch, "first")
     firsts = scratch.spark.read.parquet(scratch.path("first_firsts")).select("print", F.col("firsts")[0].alias("a"))
-    between = scratch.table(_between(firsts, near), "between")
+    members = scratch.table(_members(firsts, nodes, near), "members")
     scratch.release()
-    pairs = scratch.table(left.select(*_ordered()).unionByName(between).distinct(), "pairs")
-    # all nodes that share a fingerprint or are the first of theirs: who else is compared later is among them
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # all nodes that share a fingerprint or meet another: who else is compared later is among them
+    named = left.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select(F.col("a").alias("node"))).distinct()
     wanted = scratch.table(nodes.join(named, "node").select("one", "two", "node", F.col("doc_id").alias("id"), F.col("mark").alias("of"), "rows"), "wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +354,10 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
         texts = lookup(marked, wanted, ["one", "two"], "rows", "inner")
     texts = texts.where(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of"))).select("node", "text")
     sets = scratch.table(texts.mapInArrow(hashed, "node long, hashes binary").dropDuplicates(["node"]), "sets")
-    edges = _verified(pairs, nodes, sets, near, scratch, "near0")
+    with small_batches(scratch.spark):
+        hubs = scratch.table(_met(members.withColumn("top", F.col("a")), near, hubs=True), "hubs")
+    pairs = _likely(left.select(*_ordered()).distinct(), nodes, near)
+    edges = _verified(pairs.unionByName(hubs).distinct(), sets, near, scratch, "near0")
     # whoever shares a fingerprint with others but isn't near the first of them is compared with the next two, then the next
     # four, and so on, until none is left
     last, turn = edges, 0
@@ -313,10 +372,28 @@ def near_groups(docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
             break
         left = _first(far, scratch, f"again{turn}", 2 << turn)
         turn += 1
-        last = _verified(left.select(*_ordered()).distinct(), nodes, sets, near, scratch, f"near{turn}")
+        last = _verified(_likely(left.select(*_ordered()).distinct(), nodes, near), sets, near, scratch, f"near{turn}")
         edges = edges.unionByName(last)
-    of = components(nodes.select("node", F.col("doc_id").alias("rank")), edges, scratch)
-    return nodes.drop("prints", "sketch").join(of.select("node", "top"), "node")
+    of = scratch.table(components(nodes.select("node", F.col("doc_id").alias("rank")), edges, Scratch(scratch.spark, "linked")), "linked")
+    of = _bridged(of, members, sets, near, scratch)
+    return nodes.drop("prints", "size", "sketch").join(of, "node")
+
+
+def _bridged(of: DataFrame, members: DataFrame, sets: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
+    """node, top of all nodes, once all members that meet and are still in different groups of `of` (node, least, top) are compared."""
+    tops = of.select(F.col("node").alias("a"), "top")
+    with small_batches(scratch.spark):
+        apart = scratch.table(_met(members.join(tops, "a"), near), "apart")
+    found = _verified(apart, sets, near, scratch, "bridges")
+    ends = found.join(tops.withColumnRenamed("top", "one"), "a").join(tops.withColumnsRenamed({"a": "b", "top": "two"}), "b")
+    ends = scratch.table(ends.select(F.col("one").alias("a"), F.col("two").alias("b")).distinct(), "ends")
+    if not ends.limit(1).count():
+        return of.select("node", "top")
+    touched = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    joined = components(of.join(touched, "node", "left_semi").select("node", F.col("least").alias("rank")), ends, Scratch(scratch.spark, "bridged"))
+    moved = joined.where("node <> top").select(F.col("node").alias("top"), F.col("top").alias("onward"))
+    moved = scratch.table(of.groupBy("top").agg(F.count("*").alias("rows")).join(moved, "top"), "moved")
+    return lookup(of, moved, ["top"], "rows").select("node", F.coalesce("onward", "top").alias("top"))
 
 
 def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:

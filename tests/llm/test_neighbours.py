@@ -1,6 +1,6 @@
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -323,3 +323,54 @@ def test_pairs_are_looked_up_once(spark, monkeypatch):
     rows = [(2 * k + i, t) for k, pair in enumerate(texts) for i, t in enumerate(pair)]
     kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {0, 2, 4, 6} and plans and not any("LeftOuter" in x for x in plans)
+
+
+def test_pairs_of_near_copies_grow_with_the_texts(spark, monkeypatch):
+    """Many copies with a few words of their own, some near each other and some not: few pairs are compared for each of them, and
+    none that meet and are near stay in different groups."""
+    rng = np.random.default_rng(9)
+    base, rows, compared = [f"w{x}" for x in rng.integers(0, 900, 150)], [], {}
+    for i in range(400):
+        w = list(base)
+        for at in rng.choice(150, 2 if i % 2 else 5, replace=False):
+            w[at] = f"x{rng.integers(1 << 40)}"
+        rows.append((i, " ".join(w)))
+    verified = simhash._verified
+
+    def counted(pairs, *args):
+        compared[args[-1]] = pairs.count()
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near, scratch = simhash.Near(), simhash.Scratch(spark, "test")
+    top = {r["doc_id"]: r["top"] for r in simhash.near_groups(docs, near, scratch).collect()}
+    # but for later rounds within one fingerprint
+    assert compared["near0"] + compared.get("bridges", 0) < 4 * len(rows)
+    sets = [shingles(t) for _, t in rows]
+    prints = [simhash.short_prints(simhash.shingle_hashes(t, near.shingle), near) for _, t in rows]
+    met = defaultdict(list)
+    for i, p in enumerate(prints):
+        for x in set(p):
+            for flip in (0, *(1 << b for b in range(near.bits))):
+                met[x ^ flip].append((i, x))
+    shared = Counter(x for p in prints for x in set(p))
+    # fingerprints of one text alone, so that the text is the first of them
+    linked = {(i, j) for who in met.values() for i, x in who for j, y in who if i < j and shared[x] == shared[y] == 1 and similarity(sets[i], sets[j]) >= 0.8}
+    assert len(linked) > 200 and all(top[i] == top[j] for i, j in linked)
+
+
+def test_fine_sketches_tell_short_texts_apart():
+    rng = np.random.default_rng(4)
+    for n in (5, 30, 60, 120, 400):
+        kept = {0.8: [], 0.65: []}
+        for share in kept:
+            for _ in range(300):
+                common = math.ceil(n * 2 * share / (1 + share))
+                shared, *own = (rng.integers(0, 1 << 64, size, np.uint64) for size in (common, n - common, n - common))
+                a, b = (np.unique(np.r_[shared, x]) for x in own)
+                one, two = (np.frombuffer(simhash.sketch(x, simhash.FINE), np.uint8)[None, :] for x in (a, b))
+                kept[share].append(bool(simhash.may_be_near(one, two, 0.8, (np.array([len(a)]), np.array([len(b)])))[0]))
+        assert all(kept[0.8]) and (not 30 <= n <= 120 or sum(kept[0.65]) < 60)
+    one = np.frombuffer(simhash.sketch(np.arange(4, dtype=np.uint64) << np.uint64(61), simhash.FINE), np.uint8)[None, :]
+    assert simhash.may_be_near(one, one, 0.8, (np.array([4]), np.array([5])))[0] and not simhash.may_be_near(one, one, 0.8, (np.array([4]), np.array([6])))[0]
